@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderweave.llm import quality_rules
+from orderweave.llm import chat_format, quality_rules, secret_scan, source_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_chat_format": chat_format.op4_chat_format,
+    "op5_source_mixing": source_mixing.op5_source_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": chat_format.OP4_SQL,
+    "op5_source_mixing": source_mixing.OP5_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }

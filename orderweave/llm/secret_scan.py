@@ -32,11 +32,10 @@ BASE_RULES = [
 ]
 MORE_RULES = [
     ("private_key", r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", False, 0, 0),
-    ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 40, 0),
+    ("web_token", r"eyJhbGciOi[A-Za-z0-9._-]+", False, 40, 0),
     ("host_token", r"gh[pousr]_[A-Za-z0-9]+", False, 40, 0),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", False, 15, 0),
     ("cloud_key", r"AIza[A-Za-z0-9_-]+", False, 39, 0),
-    ("login_url", r"[a-z]+://[A-Za-z0-9._%-]+:[A-Za-z0-9._%+-]+@", False, 0, 0),
 ]
 RULES = BASE_RULES + MORE_RULES
 KINDS = [r[0] for r in RULES]
@@ -48,14 +47,24 @@ class Scanner:
     def __init__(self, rules: list[tuple[str, str, bool, int, int]] = RULES):
         self.rules = rules
         trees = [parse(p, fold) for _, p, fold, _, _ in rules]
-        # A bare run of one class, as hex digits are, has its least length in the automaton; else every letter a-f would end a match.
-        seek = [("rep", t[1][0][1], least, None) if len(t[1]) == 1 and t[1][0][0] == "rep" and t[1][0][1][0] == "set" else t for t, (_, _, _, least, _) in zip(trees, rules, strict=True)]
+        seek = [self._trigger(t, least) for t, (_, _, _, least, _) in zip(trees, rules, strict=True)]
         self.all = Automaton(seek, floating=True)
         self.forward = [Automaton([t], floating=False) for t in trees]
         self.backward = [Automaton([reverse(t)], floating=False) for t in trees]
         # The exact check of a group's length reads the span of a match alone.
         self.group = [re.compile(p.encode(), re.IGNORECASE if fold else 0) if group else None for _, p, fold, _, group in rules]
 
+    @staticmethod
+    def _trigger(tree: tuple, least: int) -> tuple:
+        """What the combined automaton looks for: a last ``+`` once, and of a bare run of one class its least length.
+
+        Without the loops behind a match, states needn't remember which runs they are in.
+        """
+        *head, last = tree[1] if tree[0] == "cat" else [tree]
+        if last[0] != "rep" or last[2:] != (1, None):
+            return tree
+        return ("cat", [*head, last[1]]) if head else ("rep", last[1], least, least)
+
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, by start, then rule."""
         ends: dict[int, list[int]] = {}
