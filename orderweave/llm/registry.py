@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderweave.llm import chat_format, fingerprints, quality_rules, secret_scan, simhash_dedup, source_mixing
+from orderweave.llm import chat_format, fingerprints, language_id, quality_rules, secret_scan, simhash_dedup, source_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_source_mixing": source_mixing.op5_source_mixing,
