@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderweave.llm import chat_format, fingerprints, language_id, quality_rules, secret_scan, simhash_dedup, source_mixing
+from orderweave.llm import chat_format, context_tree, fingerprints, language_id, piece_tokens, quality_rules, secret_scan, simhash_dedup, source_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_lm_scoring": context_tree.op3_lm_scoring,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_source_mixing": source_mixing.op5_source_mixing,
+    "op6_piece_tokens": piece_tokens.op6_piece_tokens,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
