@@ -35,7 +35,7 @@ from orderweave.llm.common import Scratch, crc_remainder, table
 
 DEPTH, SLOT_BITS = 4, 22
 FREQUENT = 1 << 16
-BLOCK = 8 << 20
+BLOCK = 2 << 20  # grams counted or scored at once
 _GAP = b"\xff" * DEPTH
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -204,7 +204,13 @@ def score_texts(texts: list[str | None], one: np.ndarray, share: np.ndarray) ->
 def _add_logs(total: np.ndarray, block: list[np.ndarray], owner: list[int], one: np.ndarray, share: np.ndarray) -> None:
     every = np.concatenate(block)
     keys = np.unique(every)
-    logs = gram_logs(keys, one, share)[np.searchsorted(keys, every)]
+    # Where each gram is among the keys: by a table of slots, and by search for those whose slot has another key.
+    index = np.zeros(1 << SLOT_BITS, np.int32)
+    index[slots(keys)] = np.arange(len(keys))
+    at = index[slots(every)]
+    other = np.flatnonzero(keys[at] != every)
+    at[other] = np.searchsorted(keys, every[other])
+    logs = gram_logs(keys, one, share)[at]
     starts = np.cumsum([0, *(len(b) for b in block[:-1])])
     np.add.at(total, owner, np.add.reduceat(logs, starts))
 
