@@ -33,7 +33,7 @@ from orderweave.llm.common import table
 
 MODEL_FILE = os.environ.get("ORDERWEAVE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-BLOCK_CHARS, MOST_UNITS = 2_000_000, 400_000
+BLOCK_ROWS, BLOCK_CHARS, MOST_UNITS = 1500, 6_000_000, 600_000
 # Numbers of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -214,6 +214,18 @@ class Neighbours:
         return ok
 
 
+class _Numbers(dict):
+    """Numbers units as they come; ``fresh`` has those that aren't encoded yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        self.fresh.append(unit)
+        return number
+
+
 class Encoder:
     """Encodes blocks of texts; keeps what it knows of units."""
 
@@ -232,7 +244,7 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -251,16 +263,14 @@ class Encoder:
     def _block(self, block: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > MOST_UNITS:
             self._empty()
-        new = [u for u in dict.fromkeys(u for units in block for u in units) if u not in self.known]
-        if new:
-            ids, counts = self._units(new)
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new)), strict=True))
+        numbers = [np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)) for units in block]
+        if self.known.fresh:
+            ids, counts = self._units(self.known.fresh)
+            self.known.fresh = []
             self.flat = np.concatenate([self.flat, ids])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         out = []
-        for units in block:
-            k = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        for k in numbers:
             start, count = self.starts[k], self.starts[k + 1] - self.starts[k]
             upto = np.cumsum(count)
             at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - (upto - count), count)
@@ -377,8 +387,8 @@ def _encoded(docs: DataFrame, model_file: str, id_col: str, text_col: str, diges
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
                 texts = batch.column(1).to_pylist()
                 ids = encoder.encode(texts)
                 decoded = [encoder.model.decode(i.tolist()) for i in ids]
@@ -387,9 +397,9 @@ def _encoded(docs: DataFrame, model_file: str, id_col: str, text_col: str, diges
                 if not digests:
                     yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
                     continue
+                same = [d == (t or "").replace(MARK, " ") for d, t in zip(decoded, texts, strict=True)]
                 sha = [hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids]
                 back = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded]
-                same = [d == (t or "").replace(MARK, " ") for d, t in zip(decoded, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(sha, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
