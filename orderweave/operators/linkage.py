@@ -77,24 +77,32 @@ def join_rarest_token(blocks: DataFrame, index: DataFrame, tokens: str) -> DataF
     return best.join(index.select("token", "code"), "token").select(*KEY, "code")
 
 
+def join_phrase(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(line, code) of hardware: entities that have every hardware word of the line, and every size word."""
+    asked = blocks.withColumn("types", T.hardware_types(F.col("client_description"))).where(F.size("types") > 0)
+    index = catalog.select(F.explode(T.hardware_types(F.col("nomenclature"))).alias("token"), "code", "search").distinct()
+    sizes = F.transform(T.matches(F.col("client_description"), r"(?iuU)\d+\s*мм|\d+\s*гр"), lambda m: F.lower(F.regexp_replace(m, r"(?U)\s+", "")))
+    hit = asked.select(*KEY, F.explode("types").alias("token"), F.size("types").alias("n"), sizes.alias("sizes")).join(index, "token")
+    packed = F.replace(F.lower(F.col("search")), F.lit(" "), F.lit(""))
+    return hit.where(F.forall("sizes", packed.contains)).groupBy(*KEY, "code").agg(F.count("*").alias("got"), F.min("n").alias("n")).where("got = n").select(*KEY, "code")
+
+
 def lexical_candidates(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(line, stage, code) of the first stage that has any: name 1, article 2, slug 3, dimension 4.
+    """(line, stage, code) of the first stage that has any: name 1, article 2, slug 3, dimension 4, hardware phrase 5.
 
     A line with articles skips the slug only if they lead to something; what later filters remove doesn't bring
     a later stage back.
     """
-    stages = [
-        join_exact(blocks, catalog, "name_key"),
-        join_all_tokens(blocks, inverted_index(catalog, "articles"), "articles"),
-        join_exact(blocks, catalog, "slug"),
-        join_rarest_token(blocks, inverted_index(catalog, "dims"), "dims"),
-    ]
-    every = None
-    for k, stage in enumerate(stages, 1):
-        one = stage.withColumn("stage", F.lit(k))
-        every = one if every is None else every.unionByName(one)
-    first = every.groupBy(*KEY).agg(F.min("stage").alias("first"))
-    return every.join(first, KEY).where("stage = first").select(*KEY, "stage", "code").distinct()
+    early = join_exact(blocks, catalog, "name_key").withColumn("stage", F.lit(1))
+    early = early.unionByName(join_all_tokens(blocks, inverted_index(catalog, "articles"), "articles").withColumn("stage", F.lit(2)))
+    early = early.unionByName(join_exact(blocks, catalog, "slug").withColumn("stage", F.lit(3)))
+    first = early.withColumn("first", F.min("stage").over(W.partitionBy(*KEY))).where("stage = first").select(*KEY, "stage", "code").distinct()
+    # Dimensions are the least selective key, so only lines that nothing else has reached are joined on them.
+    rest = blocks.join(first.select(*KEY), KEY, "left_anti")
+    last = join_rarest_token(rest, inverted_index(catalog, "dims"), "dims").withColumn("stage", F.lit(4))
+    last = last.select(*KEY, "stage", "code").distinct()
+    phrase = join_phrase(rest.join(last.select(*KEY), KEY, "left_anti"), catalog).withColumn("stage", F.lit(5))
+    return first.unionByName(last).unionByName(phrase.select(*KEY, "stage", "code"))
 
 
 def prefer_overlap(candidates: DataFrame) -> DataFrame:

@@ -54,6 +54,38 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 409
     return each.withColumn("rank0", rank).where(F.col("rank0") < k)
 
 
+def knn_lines(lines: DataFrame, vectors: DataFrame, k: int = TOP_K, slice_rows: int = 200_000) -> DataFrame:
+    """``lines(query_id, embedding)`` of any number against a catalog of ``vectors(vec_id, embedding)``.
+
+    The catalog goes to all tasks, ``slice_rows`` vectors at a time; of more than one slice the best are merged.
+    Lines are read as a stream and never moved for a catalog of one slice.
+    """
+    slices = max(1, -(-vectors.count() // slice_rows))
+    kinds = {f.name: f.dataType.simpleString() for f in [*lines.schema.fields, *vectors.schema.fields]}
+    out = None
+    for s in range(slices):
+        part = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s).orderBy("vec_id").collect()
+        shared = lines.sparkSession.sparkContext.broadcast(([r["vec_id"] for r in part], np.array([r["embedding"] for r in part], np.float64).reshape(len(part), -1)))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, x = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    b = batch.slice(at, 512)
+                    score = np.round(np.array(b.column(1).to_pylist(), np.float64) @ x.T, 12) if ids else np.zeros((b.num_rows, 0))
+                    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    n = order.shape[1]
+                    rows = pa.array(np.repeat(np.arange(b.num_rows), n))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([ids[j] for j in order.ravel().tolist()]), pa.array(np.take_along_axis(score, order, 1).ravel()), pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows))], names=["query_id", "vec_id", "score", "rank0"])
+
+        one = lines.select("query_id", "embedding").mapInArrow(best, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double, rank0 int")
+        out = one if out is None else out.unionByName(one)
+    if slices > 1:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")) - 1
+        out = out.withColumn("rank0", rank.cast("int")).where(F.col("rank0") < k)
+    return out
+
+
 def hash_embedding(text: Column, size: int = 64) -> Column:
     """Character trigrams hashed to a unit vector; stands for an embedding model where there is none."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
@@ -69,8 +101,8 @@ def overlap(terms: Column, value: Column) -> Column:
     return F.exists(terms, lambda t: low.contains(F.lower(t)) | F.lower(t).contains(low))
 
 
-def constraint_reason(pairs: DataFrame) -> Column:
-    """The first hard constraint that a (line, entity) pair breaks, or null."""
+def constraint_reason(pairs: DataFrame | None = None) -> Column:
+    """The first of the packaging, sub-brand, finish and dimension constraints that a (line, entity) pair breaks, or null."""
     brands = F.size(F.array_intersect("sub_brands", "entity_brands")) == 0
     clash = dimension_conflict(F.col("pairs"), F.col("entity_pairs"))
     finish = lambda c: F.coalesce(F.upper(F.nullif(F.regexp_extract(c, r"(?iuU)\(\s*(FE|SB|Д)\s*\)", 1), F.lit(""))), F.lit("None"))
@@ -82,6 +114,89 @@ def constraint_reason(pairs: DataFrame) -> Column:
     )
 
 
+def corpus_conflict(query: Column, entity: Column) -> Column:
+    """A corpus order (that doesn't ask for drawers itself) against a drawer or slide."""
+    drawers = r"ящик\s+с\s+доводчиком|комплект\s+ящиков|направляющ"
+    return query.rlike(r"(?iuU)\(\s*корпус\s*\)|\bкорпус\b") & ~query.rlike(f"(?iuU){drawers}") & entity.rlike(rf"(?iuU){drawers}|(?<!\d)\bящик\b")
+
+
+def widths_compatible(widths: Column, entity: Column) -> Column:
+    """Any width of the entity is among those asked for, in millimetres or centimetres; an entity without widths goes."""
+    allowed = F.concat(widths, F.transform(F.filter(widths, lambda w: (w >= 1000) & (w % 10 == 0)), lambda w: (w / 10).cast("int")), F.transform(F.filter(widths, lambda w: w < T.CM_LIMIT), lambda w: w * 10))
+    got = T.candidate_widths(entity)
+    return (F.size(got) == 0) | F.arrays_overlap(got, allowed)
+
+
+def linear_conflict(metres: Column, thick: Column, entity: Column) -> Column:
+    """Order in metres and thickness: the entity has every thickness, and if it has metres, one within 5 cm."""
+    packed = F.replace(F.lower(entity), F.lit(" "), F.lit(""))
+    found = T.linear_metres(entity)
+    wrong = F.exists(thick, lambda t: ~packed.contains(F.lower(t)))
+    far = (F.size(found) > 0) & ~F.exists(found, lambda m: F.abs(m - F.get(metres, F.lit(0))) <= 0.05)
+    return (F.size(metres) > 0) & (F.size(thick) > 0) & (wrong | far)
+
+
+def glass_conflict(item_type: Column, thick: Column, entity: Column) -> Column:
+    """An order for glass, by type or by its 4 mm, against anything that isn't glass or mirror or lacks that thickness."""
+    of_glass = lambda t: (F.lower(t) == "4мм") | F.lower(t).startswith("4мм/")
+    glass = (F.lower(F.trim(item_type)) == "стекло") | F.exists(thick, of_glass)
+    packed = F.replace(F.lower(entity), F.lit(" "), F.lit(""))
+    return glass & (~entity.rlike("(?iu)стекл|зеркал") | F.exists(F.filter(thick, of_glass), lambda t: ~packed.contains(F.lower(t))))
+
+
+def hardware_sizes(text: Column) -> Column:
+    return F.transform(T.matches(text, r"(?iuU)\d+\s*мм|\d+\s*гр|\d+[,.]?\d*\s*м\b"), lambda m: F.lower(F.regexp_replace(m, r"(?U)\s+", "")))
+
+
+def hardware_matches(query: Column, colors: Column, entity: Column, color: Column) -> Column:
+    """Types, one article, every size and a colour that the order names are the entity's."""
+    low = F.lower(entity)
+    packed = F.replace(low, F.lit(" "), F.lit(""))
+    articles = T.article_tokens(query)
+    typed = F.forall(T.hardware_types(query), low.contains)
+    numbered = (F.size(articles) == 0) | F.exists(articles, packed.contains)
+    sized = F.forall(hardware_sizes(query), packed.contains)
+    painted = (F.size(colors) == 0) | ((F.coalesce(color, F.lit("")) != "") & overlap(colors, color)) | F.exists(colors, lambda c: low.contains(F.lower(c)))
+    return typed & numbered & sized & painted
+
+
+def full_constraint_reason() -> Column:
+    """All hard constraints in order, over pairs that also have item_type, widths, thick, metres, colors and color.
+
+    Packaging, sub-brand, corpus and finish hold for all; dimensions and glass for what isn't hardware; the
+    hardware test for what is.
+    """
+    q, e = F.col("query"), F.col("search")
+    hardware = T.is_hardware(q)
+    cut = (F.size("pairs") > 0) & ((F.lower(F.trim("item_type")) == "стекло") | q.rlike("(?iu)стекл|зеркал"))
+    none = F.size("entity_pairs") == 0
+    met = F.arrays_overlap("pairs", "entity_pairs")
+    plain = constraint_reason(None)
+    size_ = (
+        F.when((F.size("widths") > 0) & ~widths_compatible(F.col("widths"), e), "dimension mismatch: none of the widths")
+        .when(linear_conflict(F.col("metres"), F.col("thick"), e), "linear dimension or thickness mismatch")
+        .when((F.size("widths") == 0) & cut & (none | ~met), "custom size not in catalog")
+    )
+    early = ~F.coalesce(plain.startswith("dimension conflict"), F.lit(True))
+    return (
+        F.when(early & plain.isin("Package ratio mismatch", "Sub-brand conflict"), plain)
+        .when(corpus_conflict(q, e), "Corpus vs drawer/slide isolation")
+        .when(early, plain)
+        .when(~hardware & size_.isNotNull(), size_)
+        .when(~hardware & (F.size("widths") == 0) & plain.isNotNull(), plain)
+        .when(~hardware & glass_conflict(F.col("item_type"), F.col("thick"), e), "glass/material mismatch")
+        .when(hardware & ~hardware_matches(q, F.col("colors"), e, F.col("color")), "hardware type/size/color mismatch")
+    )
+
+
+def high_confidence() -> Column:
+    """Model, packaging, colour and module of a pair all agree."""
+    module = F.lower(F.trim("entity_module"))
+    query = F.lower("query")
+    named = (module != "") & (query.contains(module) | ((F.size(T.significant_tokens(module)) > 0) & F.forall(T.significant_tokens(module), query.contains)))
+    return F.coalesce((F.size("models") > 0) & (F.col("label_model") != "") & overlap(F.col("models"), F.col("label_model")) & T.packaging_equal(F.col("ratio"), F.col("entity_ratio")) & (F.size("colors") > 0) & (F.col("color") != "") & overlap(F.col("colors"), F.col("color")) & named, F.lit(False))
+
+
 def boosted(pairs: DataFrame) -> DataFrame:
     """Adds packaging, model and colour boosts to scores of pairs that passed, one at most."""
     passed = F.col("reason").isNull()

@@ -295,11 +295,11 @@ def q_knn_topk(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Lines and entities of one colour, type and module; brands and colours are read off model and colour."""
+    """Lines and entities of one colour, type and width; brands and colours are read off model and colour."""
     v = views(spark, sf_dir)
     b = v["blk"].join(v["cat"].select(F.lpad(F.col("code"), 11, "0").alias("own"), F.col("color").alias("c0"), F.col("label_type").alias("t0"), F.col("label_model").alias("m0"), F.col("module").alias("d0")), F.lpad(F.col("partkey").cast("string"), 11, "0") == F.col("own"))
     c = v["cat"].select("code", "nomenclature", "label_model", "color", "module", "label_type", F.col("packaging").alias("entity_ratio"))
-    p = b.join(c, (F.col("c0") == F.col("color")) & (F.col("t0") == F.col("label_type")))
+    p = b.join(c, (F.col("c0") == F.col("color")) & (F.col("t0") == F.col("label_type")) & (F.split_part("d0", F.lit("x"), F.lit(1)) == F.split_part("module", F.lit("x"), F.lit(1))))
     half = lambda c: F.when(F.right(c, F.lit(1)).isin("1", "2", "3"), F.array(F.lit("pro"))).otherwise(F.array().cast("array<string>"))
     p = p.select(
         "order_id", "line_number", "code", "label_model", "color", "entity_ratio", F.col("module").alias("entity_module"), F.col("d0").alias("module"),
@@ -314,7 +314,7 @@ def _pairs(spark, sf_dir):
 _PAIRS = r""", p0 AS (SELECT b.order_id, b.line_number, c.code, c.label_model, c.color, c.packaging AS entity_ratio, c.module AS entity_module, o.module, o.label_model AS m0,
   coalesce(nullif(regexp_extract(b.client_description, '\d+/\d+'), ''), '1/1') AS ratio, 0.7::DOUBLE + cast(right(c.code, 2) AS INT) / 500.0::DOUBLE AS score, cast(right(c.code, 4) AS INT) AS rank0,
   right(o.label_model, 1) IN ('1', '2', '3') AS bb, right(c.label_model, 1) IN ('1', '2', '3') AS eb, c.label_model || '|' || c.color AS same_key
-  FROM blk b JOIN cat o ON o.code = lpad(cast(b.partkey AS VARCHAR), 11, '0') JOIN cat c ON c.color = o.color AND c.label_type = o.label_type),
+  FROM blk b JOIN cat o ON o.code = lpad(cast(b.partkey AS VARCHAR), 11, '0') JOIN cat c ON c.color = o.color AND c.label_type = o.label_type AND split_part(c.module, 'x', 1) = split_part(o.module, 'x', 1)),
 p AS (SELECT *, CASE WHEN ratio <> entity_ratio THEN 'Package ratio mismatch'
   WHEN module <> entity_module AND (split_part(module, 'x', 1) = split_part(entity_module, 'x', 1)) <> (split_part(module, 'x', 2) = split_part(entity_module, 'x', 2)) THEN 'dimension conflict: ' || module END AS reason FROM p0),
 s1 AS (SELECT *, CASE WHEN reason IS NULL THEN least(1.0, score + ((0.03::DOUBLE + CASE WHEN contains(label_model, m0) OR contains(m0, label_model) THEN 0.03::DOUBLE ELSE 0.0 END) + 0.02::DOUBLE)) ELSE score END AS s FROM p),
@@ -395,7 +395,37 @@ def q_llm_jobs_dedupe(spark, sf_dir):
     b, c = _prepared(spark, sf_dir)
     codes = linkage.lexical_candidates(b, c).groupBy("order_id", "line_number").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     open_ = linkage.decide(v["blk"], v["cat"]).where("status = 'NEEDS_LLM'").join(codes, ["order_id", "line_number"])
-    return scoring.resolver_jobs(open_).agg(F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_jobs"))
+    return scoring.resolver_jobs(open_).agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"), F.count("*").alias("n_jobs"))
+
+
+@query()
+def q_pipeline_full(spark, sf_dir):
+    """Lexical cascade, then for lines it leaves open the nearest entities, all constraints, adjustments and the decision."""
+    v = views(spark, sf_dir)
+    done = linkage.decide(v["blk"], v["cat"])
+    cat = linkage.prepared_catalog(v["cat"])
+    lines = done.where("status <> 'MATCHED_AUTO'").select("client_description").distinct()
+    q = lines.select(F.col("client_description").alias("query_id"), scoring.hash_embedding(T.search_text(F.col("client_description"))).alias("embedding"))
+    hits = scoring.knn_lines(q, cat.select(F.col("code").alias("vec_id"), scoring.hash_embedding(F.col("search")).alias("embedding")))
+    plain = T.expand_abbreviations(T.normalize(F.col("query_id")))
+    p = hits.join(cat.select(F.col("code").alias("vec_id"), F.col("code"), "search", "label_model", "color", F.col("ratio").alias("entity_ratio"), F.col("module").alias("entity_module")), "vec_id")
+    p = p.withColumns({"plain": plain, "query": T.search_text(F.col("query_id")), "order_id": F.col("query_id"), "line_number": F.lit(0)})
+    p = p.withColumns({
+        "ratio": T.default_ratio(T.package_ratio(F.col("plain")), F.lit("")), "sub_brands": T.sub_brands(F.col("query_id")), "entity_brands": T.sub_brands(F.col("label_model")), "pairs": T.dimension_pairs(F.col("plain")),
+        "entity_pairs": T.dimension_pairs(F.col("search")), "widths": T.alternative_widths(F.col("plain")), "thick": T.thicknesses(F.col("plain")), "metres": T.linear_metres(F.col("plain")), "item_type": F.lit(""),
+        "colors": F.filter(F.array("color"), lambda c: F.lower("query_id").contains(c)), "models": F.filter(F.array("label_model"), lambda m: F.lower("query_id").contains(F.lower(m))),
+        "composite": T.composite_color(F.col("plain")), "same_key": F.concat_ws("|", "label_model", "color", T.slug(F.col("search"))),
+    })
+    p = scoring.boosted(p.withColumn("reason", scoring.full_constraint_reason()))
+    p = p.withColumn("score", F.when(F.col("reason").isNull() & scoring.high_confidence(), F.greatest("score", F.lit(scoring.TUPLE_FLOOR))).otherwise(F.col("score")))
+    top = scoring.top1(scoring.color_barrier(scoring.sub_brand_barrier(p)))
+    top = top.select(F.col("query_id").alias("client_description"), F.col("code").alias("vector_code"), F.col("score"), scoring.status(top).alias("vector_status"))
+    out = done.join(top, "client_description", "left")
+    auto = (F.col("status") != "MATCHED_AUTO") & (F.col("vector_status") == "MATCHED_AUTO")
+    return out.select(
+        "order_id", "line_number", F.when(auto, "MATCHED_AUTO").when((F.col("status") != "MATCHED_AUTO") & F.col("vector_code").isNotNull(), "NEEDS_LLM").otherwise(F.col("status")).alias("status"),
+        F.coalesce("code", F.when(auto, F.col("vector_code"))).alias("code"), F.round("score", 6).alias("score"), F.when(auto, "vector_auto").otherwise(F.col("match_method")).alias("match_method"), "status_detail",
+    )
 
 
 # Reports

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 CAT_SQL = """
 SELECT lpad(cast(p_partkey AS {string}), 11, '0') AS code,
-  concat(p_name, ' ', lower(p_type), ' ', cast(p_size AS {string}), 'x', cast(p_size + 10 AS {string}),
+  concat(p_name, ' ', lower(p_type), ' ', cast(p_size AS {string}), 'x', cast(p_size + 10 + p_partkey % 97 AS {string}),
     CASE WHEN p_partkey % 3 = 0 THEN concat(' art ', cast(10000 + p_partkey AS {string})) ELSE '' END, ' ',
     CASE p_partkey % 4 WHEN 0 THEN '1/1' WHEN 1 THEN '1/2' WHEN 2 THEN '2/2' ELSE '1/3' END) AS nomenclature,
   p_brand AS label_model, p_type AS label_type, split_part(p_name, ' ', 1) AS color,
-  concat(cast(p_size AS {string}), 'x', cast(p_size + 10 AS {string})) AS module,
+  concat(cast(p_size AS {string}), 'x', cast(p_size + 10 + p_partkey % 97 AS {string})) AS module,
   CASE p_partkey % 4 WHEN 0 THEN '1/1' WHEN 1 THEN '1/2' WHEN 2 THEN '2/2' ELSE '1/3' END AS packaging,
   CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE concat('2000', lpad(cast(p_partkey AS {string}), 9, '0')) END AS barcode,
   p_retailprice AS weight
@@ -30,7 +30,7 @@ SELECT l.l_orderkey AS order_id, row_number() OVER (PARTITION BY l.l_orderkey OR
     WHEN 4 THEN concat(c.color, ' thing ', replace(c.module, 'x', ' * '), ' ', c.packaging)
     WHEN 5 THEN concat('unknown article ', cast(900000 + l.l_partkey AS {string}))
     WHEN 6 THEN concat(c.color, ' ', lower(c.label_type), ' ', c.module, ' ', c.packaging)
-    ELSE concat('something else ', c.color) END AS client_description,
+    ELSE concat('something else ', c.color, CASE WHEN l.l_partkey % 2 = 0 THEN concat(' ', c.module, ' 3/4') ELSE '' END) END AS client_description,
   cast(greatest(1, l.l_quantity) AS int) AS quantity, concat('Customer ', cast(o.o_custkey AS {string})) AS customer_name,
   cast(o.o_orderdate AS date) AS shift_date, l.l_partkey AS partkey
 FROM lineitem l JOIN cat c ON c.code = lpad(cast(l.l_partkey AS {string}), 11, '0') JOIN orders o ON o.o_orderkey = l.l_orderkey

@@ -226,3 +226,81 @@ def test_files_are_linked_as_they_come(spark, tmp_path):
     q = shifts.link_files(spark, str(tmp_path / "in"), lines.schema, lambda df: df.withColumn("u", F.upper("t")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert sorted(r.u for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "B"]
+
+
+def test_full_constraints(spark):
+    cols = "code string, query string, search string, item_type string, ratio string, entity_ratio string, color string, colors array<string>"
+    rows = [
+        ("ok", "комод", "комод", "", "1/1", "1/1", "", []),
+        ("corpus", "шкаф (корпус)", "ящик с доводчиком", "", "1/1", "1/1", "", []),
+        ("widths", "чикаго 160/140/120", "чикаго 900", "", "1/1", "1/1", "", []),
+        ("widths ok", "чикаго 160/140/120", "чикаго 1400", "", "1/1", "1/1", "", []),
+        ("linear", "столешница 40мм 2,00м", "столешница 40мм 3,00м", "", "1/1", "1/1", "", []),
+        ("thick", "столешница 40мм 2,00м", "столешница 26мм 2,00м", "", "1/1", "1/1", "", []),
+        ("custom", "зеркало 500x700", "зеркало", "", "1/1", "1/1", "", []),
+        ("glass", "дверца 4мм", "фасад белый", "стекло", "1/1", "1/1", "", []),
+        ("hardware", "планка 1516 38мм", "планка 1516 26мм", "", "1/1", "1/1", "", []),
+        ("hardware ok", "планка 1516 38мм", "планка 1516 38 мм", "", "1/1", "1/1", "белый", ["белый"]),
+    ]
+    df = spark.createDataFrame(rows, cols)
+    from orderweave.functions import text as T
+
+    q = F.col("query")
+    none = F.array().cast("array<string>")
+    df = df.withColumns({"pairs": T.dimension_pairs(q), "entity_pairs": T.dimension_pairs(F.col("search")), "widths": T.alternative_widths(q), "thick": T.thicknesses(q), "metres": T.linear_metres(q), "sub_brands": none, "entity_brands": none})
+    got = {r.code: r.r for r in df.select("code", scoring.full_constraint_reason().alias("r")).collect()}
+    assert {k for k, v in got.items() if v is None} == {"ok", "widths ok", "hardware ok"}
+    assert got["corpus"] == "Corpus vs drawer/slide isolation" and got["custom"] == "custom size not in catalog" and got["glass"] == "glass/material mismatch"
+    assert got["hardware"] == "hardware type/size/color mismatch" and got["widths"].startswith("dimension mismatch") and got["linear"] == got["thick"] == "linear dimension or thickness mismatch"
+
+
+def test_hardware_phrases(spark):
+    cat = linkage.prepared_catalog(spark.createDataFrame([("1", "Планка угловая 38мм"), ("2", "Планка 26мм"), ("3", "Заглушка")], "code string, nomenclature string").selectExpr("*", "'' module", "'' label_type", "'' color", "null packaging"))
+    blocks = spark.createDataFrame([(1, 1, "планка 38 мм"), (1, 2, "планка корнер"), (1, 3, "комод")], "order_id long, line_number long, client_description string")
+    assert [(r.line_number, r.code) for r in linkage.join_phrase(blocks, cat).collect()] == [(1, "1")]
+
+
+def test_knn_by_slices(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 4)).tolist()
+    v = spark.createDataFrame([(f"c{i:02d}", r) for i, r in enumerate(x)], "vec_id string, embedding array<double>")
+    q = v.limit(4).withColumnRenamed("vec_id", "query_id")
+    rows = lambda df: sorted((r.query_id, r.rank0, r.vec_id) for r in df.collect())
+    assert rows(scoring.knn_lines(q, v, 5, slice_rows=7)) == rows(scoring.knn_lines(q, v, 5))
+
+
+def test_composite_document(spark):
+    grid = [
+        (1, 1, "Отборочная ведомость корпусная мебель"), (2, 1, "№"), (2, 2, "Наименование"), (2, 3, "Кол-во"), (3, 1, "1"), (3, 2, "Комод"), (3, 3, "2"), (4, 2, "Заказ № ЦНТ-001415"), (5, 1, "2"), (5, 2, "Стол"), (5, 3, "1"), (6, 1, "Итого мест: 3"),
+        (8, 1, "Отборочная ведомость мягкая мебель"), (9, 1, "№"), (9, 2, "Наименование"), (9, 3, "Кол-во"), (10, 1, "1"), (10, 2, "Диван"), (10, 3, "1"), (11, 1, "Ткань: велюр"), (12, 1, "Итого мест 1"),
+    ]
+    cells = spark.createDataFrame([("d", r, c, t, "") for r, c, t in grid], sheet.CELLS)
+    assert documents.document_class(cells).first().kind == "COMPOSITE_PICKING_LIST"
+    assert [(r.kind, r.first_row, r.last_row, r.declared) for r in documents.sections(cells).orderBy("section").collect()] == [("STANDARD", 1, 6, 3), ("SOFT", 8, 12, 1)]
+    got = documents.parse_composite(cells).orderBy("line_number").collect()
+    assert [(r.line_number, r.client_description, r.quantity, r.order_reference, r.is_soft_furniture) for r in got] == [(1, "Комод", 2, "ЦНТ-001415", False), (2, "Стол", 1, "ЦНТ-001415", False), (3, "Диван", 1, None, True)]
+    assert documents.parse(cells).count() == 3
+
+
+def test_workbooks_can_be_read_back(spark, tmp_path):
+    from orderweave.sources import export
+
+    d = spark.createDataFrame([(7, 2, "QUARANTINE", None, 3, None, "Стол & <стул>", "u"), (7, 1, "MATCHED_AUTO", "0123", 2, "Комод", "c", "u")], "order_id long, line_number long, status string, barcode string, quantity int, nomenclature string, client_description string, customer_name string")
+    book = export.workbooks(d).first().content
+    cells = {(r, c): t for r, c, t, _ in sheet.xlsx_cells(bytes(book))}
+    assert [cells.get((2, c)) for c in range(1, 6)] == ["1", "Комод", "0123", "2", "u"] and cells[3, 2] == "Стол & <стул>" and cells[5, 1] == "Итого"
+    names = zipfile.ZipFile(__import__("io").BytesIO(export.zipped([("a.xlsx", bytes(book))]))).namelist()
+    assert names == ["a.xlsx"]
+
+
+def test_history(spark, tmp_path):
+    from orderweave.sources import export
+
+    run = lambda *rows: spark.createDataFrame(list(rows), "order_id string, timestamp string, places int, shift_date string")
+    path = str(tmp_path / "runs")
+    export.save_runs(spark, run(("a", "2026-01-01 10:00:00", 1, "2026-01-01"), ("b", "2026-01-02 10:00:00", 2, "2026-01-02")), path)
+    export.save_runs(spark, run(("a", "2026-01-01 11:00:00", 5, "2026-01-01"), ("c", "2026-01-01 12:00:00", 3, "2026-01-01")), path)
+    assert [(r.order_id, r.places) for r in export.run_history(spark, path).collect()] == [("b", 2), ("c", 3), ("a", 5)]
+    (tmp_path / "m1.json").write_text('{"runs": [{"order_id": "x", "total_rows": 3}]}')
+    (tmp_path / "m2.json").write_text('[{"order_id": "y", "customer_name": "c"}]')
+    assert sorted((r.order_id, r.total_rows, r.customer_name) for r in export.read_manifest(spark, str(tmp_path / "m*.json")).collect()) == [("x", 3, None), ("y", None, "c")]
