@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm.common import Scratch, crc_remainder, table
+from orderweave.llm.common import Scratch, crc_remainder, table, tidy
 
 DEPTH, SLOT_BITS = 4, 22
 FREQUENT = 1 << 16
@@ -104,7 +104,7 @@ def _gram_counts(docs: DataFrame) -> DataFrame:
         for at in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], names=["gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _deepest(grams_: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _deepest(grams_: DataFrame) -> DataFrame:
                 a, b = (np.bincount(where, n * x, len(keys)).astype(np.int64) for x in (1 - one, one))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
 
-    return grams_.mapInArrow(run, "cell long, a long, b long").groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return grams_.mapInArrow(tidy(run), "cell long, a long, b long").groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def _weigh(cells: DataFrame, leaves: bool) -> DataFrame:
@@ -133,7 +133,7 @@ def _weigh(cells: DataFrame, leaves: bool) -> DataFrame:
             share = np.ones(len(own)) if leaves else np.exp(own - np.logaddexp(own, below))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, a, b, weighted, share)], names=["cell", "a", "b", "weighted", "share"])
 
-    return cells.mapInArrow(run, "cell long, a long, b long, weighted double, share double")
+    return cells.mapInArrow(tidy(run), "cell long, a long, b long, weighted double, share double")
 
 
 def _parents(level: DataFrame, depth: int) -> DataFrame:
@@ -158,7 +158,7 @@ def build(scratch: Scratch, training: DataFrame) -> tuple[np.ndarray, np.ndarray
     cells = kept[0]
     for level in kept[1:]:
         cells = cells.union(level)
-    best = cells.mapInArrow(slotted, "slot long, n long, cell long, one double, share double").groupBy("slot").agg(F.max_by(F.struct(F.col("one").cast("float").alias("one"), F.col("share").cast("float").alias("share")), F.struct("n", "cell")).alias("x"))
+    best = cells.mapInArrow(tidy(slotted), "slot long, n long, cell long, one double, share double").groupBy("slot").agg(F.max_by(F.struct(F.col("one").cast("float").alias("one"), F.col("share").cast("float").alias("share")), F.struct("n", "cell")).alias("x"))
     got = best.select(F.col("slot").cast("int"), "x.one", "x.share").toArrow()  # at most 2 ** SLOT_BITS rows of 12 bytes
     one, share = np.full(1 << SLOT_BITS, 0.5, np.float32), np.full(1 << SLOT_BITS, -1, np.float32)
     at = got["slot"].to_numpy()
@@ -225,7 +225,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 c.update(tokens(text))
             yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def score_documents(docs: DataFrame, training: DataFrame, keep: list[str]) -> DataFrame:
@@ -257,7 +257,7 @@ def score_documents(docs: DataFrame, training: DataFrame, keep: list[str]) -> Da
 
     chosen = docs.select(*keep, "text")
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    scored = chosen.mapInArrow(run, f"{head}, row long, n_tokens long, known long, logs double, score double, rare array<binary>")
+    scored = chosen.mapInArrow(tidy(run), f"{head}, row long, n_tokens long, known long, logs double, score double, rare array<binary>")
     scored = scratch.keep(scored, "scored")
     rare = scored.select("row", F.explode("rare").alias("word"))
     found = rare.join(words, "word").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("l"))

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm.common import crc_remainder, table
+from orderweave.llm.common import crc_remainder, table, tidy
 
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGS = 300, 20_000, 256
 GRAMS, BUCKET_BITS, DIM = (2, 3, 4), 16, 16
 SEGMENT, BATCH, EPOCHS, RATE, SEED = 96, 64, 4, 4.0, 5
 FALSE_REJECTS, MOST_THRESHOLD = 0.002, 0.5
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _NONE = 1 << BUCKET_BITS
 _LETTER = re.compile(r"[^\W\d_]")
 #: Letters and the bytes of all that isn't ASCII stay; the rest ends words.
@@ -217,7 +217,7 @@ def _mapped(docs: DataFrame, model: Model, text_col: str, make: Callable[[pa.Rec
         for batch in batches:
             yield make(batch, shared.value.predict(batch.column(at).to_pylist()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from orderweave.llm.common import table
+from orderweave.llm.common import table, tidy
 
 MODEL_FILE = os.environ.get("ORDERWEAVE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-BLOCK_ROWS, BLOCK_CHARS, MOST_UNITS = 1500, 6_000_000, 600_000
+BLOCK_ROWS, BLOCK_CHARS, UNITS_AT_ONCE, MOST_UNITS = 800, 4_000_000, 40_000, 400_000
 # Numbers of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -264,11 +264,14 @@ class Encoder:
         if len(self.known) > MOST_UNITS:
             self._empty()
         numbers = [np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)) for units in block]
-        if self.known.fresh:
-            ids, counts = self._units(self.known.fresh)
-            self.known.fresh = []
-            self.flat = np.concatenate([self.flat, ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        fresh, self.known.fresh = self.known.fresh, []
+        flat, counts = [self.flat], [np.zeros(0, np.int64)]
+        for at in range(0, len(fresh), UNITS_AT_ONCE):
+            ids, each = self._units(fresh[at : at + UNITS_AT_ONCE])
+            flat.append(ids)
+            counts.append(each)
+        self.flat = np.concatenate(flat)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))])
         out = []
         for k in numbers:
             start, count = self.starts[k], self.starts[k + 1] - self.starts[k]
@@ -404,7 +407,7 @@ def _encoded(docs: DataFrame, model_file: str, id_col: str, text_col: str, diges
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
     schema = "n_pieces long, ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean" if digests else "ids array<int>, decoded string"
-    return chosen.mapInArrow(run, f"doc_id {kind}, {schema}")
+    return chosen.mapInArrow(tidy(run), f"doc_id {kind}, {schema}")
 
 
 def encode_digests(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:

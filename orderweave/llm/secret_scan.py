@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from orderweave.llm.byte_automaton import Automaton, parse, reverse
-from orderweave.llm.common import table
+from orderweave.llm.common import table, tidy
 
 # Kind, pattern, whether letters match in either case, least length, and the group it is measured on (0: all).
 BASE_RULES = [
@@ -130,7 +130,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return chosen.mapInArrow(tidy(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
@@ -163,7 +163,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 columns[length_at] = pa.array(lengths, batch.schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

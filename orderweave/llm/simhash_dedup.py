@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm.common import Scratch, table
+from orderweave.llm.common import Scratch, table, tidy
 from orderweave.llm.components import connected_components
 
 BITS, MOST, BLOCKS = 64, 3, 4
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, fp long")
+    return chosen.mapInArrow(tidy(run), f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
         if len(keys):
             yield done(keys, fps)
 
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(run, "u long, v long")
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(tidy(run), "u long, v long")
 
 
 def _deal(rows: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _deal(rows: DataFrame) -> DataFrame:
             cols = [pa.array(np.concatenate(c).view(np.int64) if c else np.zeros(0, np.int64)) for c in out]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "used", "fp"])
 
-    return rows.mapInArrow(run, "key long, used long, fp long")
+    return rows.mapInArrow(tidy(run), "key long, used long, fp long")
 
 
 def near_edges(scratch: Scratch, distinct: DataFrame) -> DataFrame:
