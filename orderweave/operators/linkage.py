@@ -87,40 +87,60 @@ def join_phrase(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
     return hit.where(F.forall("sizes", packed.contains)).groupBy(*KEY, "code").agg(F.count("*").alias("got"), F.min("n").alias("n")).where("got = n").select(*KEY, "code")
 
 
+#: Stages in the order in which they count; lower ones are tried only where higher ones find nothing.
+NAME, ARTICLE, SLUG, DIMENSION, PHRASE = 1, 2, 3, 4, 5
+
+
+def _keys(stage: int, tokens, need=None, sizes=None):
+    """Array of (stage, token, pos, need, sizes); ``need`` is how many tokens an entity must have, null for all that are known."""
+    none = F.array().cast("array<string>")
+    return F.transform(tokens, lambda t, i: F.struct(F.lit(stage).alias("stage"), t.alias("token"), i.alias("pos"), (F.lit(None).cast("int") if need is None else need).alias("need"), (none if sizes is None else sizes).alias("sizes")))
+
+
+def _held(stage: int, tokens):
+    return F.transform(tokens, lambda t: F.struct(F.lit(stage).alias("stage"), t.alias("token")))
+
+
+def _one(key):
+    return F.filter(F.array(key), lambda k: k != "")
+
+
+def candidate_table(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(line, stage, code, known) of the first stage that has any; a line with known articles but no entity has one row without a code.
+
+    All stages share their joins: the keys of lines meet first the sizes of postings, which drops what can't
+    count and leaves of the dimensions the rarest, and only then the postings themselves.
+    """
+    d = F.col("client_description")
+    types = T.hardware_types(d)
+    sizes = F.transform(T.matches(d, r"(?iuU)\d+\s*мм|\d+\s*гр"), lambda m: F.lower(F.regexp_replace(m, r"(?U)\s+", "")))
+    asked = F.concat(_keys(NAME, _one(F.col("name_key"))), _keys(ARTICLE, F.array_distinct("articles")), _keys(SLUG, _one(F.col("slug"))), _keys(DIMENSION, F.array_distinct("dims")), _keys(PHRASE, types, F.size(types), sizes))
+    asked = blocks.select(*KEY, F.explode(asked).alias("k")).select(*KEY, "k.*")
+    packed = F.replace(F.lower("search"), F.lit(" "), F.lit(""))
+    held = F.concat(_held(NAME, _one(F.col("name_key"))), _held(ARTICLE, F.array_distinct("articles")), _held(SLUG, _one(F.col("slug"))), _held(DIMENSION, F.array_distinct("dims")), _held(PHRASE, T.hardware_types(F.col("nomenclature"))))
+    index = catalog.select("code", F.explode(held).alias("k"), packed.alias("packed")).select("k.*", "code", F.when(F.col("k.stage") == PHRASE, F.col("packed")).alias("packed"))
+    index = index.dropDuplicates(["stage", "token", "code"])
+    sized = asked.join(index.groupBy("stage", "token").agg(F.count("*").alias("n")), ["stage", "token"])
+    line = W.partitionBy(*KEY)
+    has = lambda stage: F.max(F.col("stage") == stage).over(line)
+    rare = F.min(F.when(F.col("stage") == DIMENSION, F.struct("n", (-F.length("token")).alias("short"), "pos", "token"))).over(line)
+    kept = sized.withColumns({"named": has(NAME), "slugged": has(SLUG), "rare": rare})
+    late = ~F.col("named") & ~F.col("slugged") & ((F.col("stage") == PHRASE) | (F.col("token") == F.col("rare.token")))
+    kept = kept.where((F.col("stage") == NAME) | (~F.col("named") & F.col("stage").isin(ARTICLE, SLUG)) | (F.col("stage").isin(DIMENSION, PHRASE) & late))
+    kept = kept.withColumn("need", F.coalesce("need", F.count("*").over(W.partitionBy(*KEY, "stage"))))
+    hit = kept.select(*KEY, "stage", "token", "need", "sizes").join(index, ["stage", "token"]).where((F.col("stage") != PHRASE) | F.forall("sizes", F.col("packed").contains))
+    met = hit.groupBy(*KEY, "stage", "code").agg((F.count("*") == F.min("need")).alias("valid"))
+    met = met.withColumns({"first": F.min(F.when(F.col("valid"), F.col("stage"))).over(line), "known": has(ARTICLE), "rn": F.row_number().over(line.orderBy("stage", "code"))})
+    out = met.where((F.col("valid") & (F.col("stage") == F.col("first"))) | (F.col("first").isNull() & (F.col("rn") == 1)))
+    return out.select(*KEY, "stage", F.when(F.col("first").isNotNull(), F.col("code")).alias("code"), "known")
+
+
 def lexical_candidates(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
     """(line, stage, code) of the first stage that has any: name 1, article 2, slug 3, dimension 4, hardware phrase 5.
 
-    A line with articles skips the slug only if they lead to something; what later filters remove doesn't bring
-    a later stage back.
+    What later filters remove doesn't bring a later stage back.
     """
-    early = join_exact(blocks, catalog, "name_key").withColumn("stage", F.lit(1))
-    early = early.unionByName(join_all_tokens(blocks, inverted_index(catalog, "articles"), "articles").withColumn("stage", F.lit(2)))
-    early = early.unionByName(join_exact(blocks, catalog, "slug").withColumn("stage", F.lit(3)))
-    first = early.withColumn("first", F.min("stage").over(W.partitionBy(*KEY))).where("stage = first").select(*KEY, "stage", "code").distinct()
-    # Dimensions are the least selective key, so only lines that nothing else has reached are joined on them.
-    rest = blocks.join(first.select(*KEY), KEY, "left_anti")
-    last = join_rarest_token(rest, inverted_index(catalog, "dims"), "dims").withColumn("stage", F.lit(4))
-    last = last.select(*KEY, "stage", "code").distinct()
-    phrase = join_phrase(rest.join(last.select(*KEY), KEY, "left_anti"), catalog).withColumn("stage", F.lit(5))
-    return first.unionByName(last).unionByName(phrase.select(*KEY, "stage", "code"))
-
-
-def prefer_overlap(candidates: DataFrame) -> DataFrame:
-    """Keeps a line's candidates with most shared tokens, if one alone has them or they are two and more."""
-    w = W.partitionBy(*KEY)
-    c = candidates.withColumn("overlap", F.size(F.array_intersect("tokens", T.significant_tokens(T.slug(F.col("search"))))))
-    c = c.withColumns({"best": F.max("overlap").over(w)}).withColumn("winners", F.count_if(F.col("overlap") == F.col("best")).over(w))
-    keep = (F.col("best") <= 0) | (F.col("overlap") == F.col("best")) | ((F.col("winners") > 1) & (F.col("best") < 2))
-    return c.where(keep)
-
-
-def lexical_matches(blocks: DataFrame, catalog: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(line, stage, code) of lines left with one entity after the packaging, overlap and constraint filters."""
-    c = candidates.join(blocks.select(*KEY, "ratio", "tokens", "pairs"), KEY).join(catalog.select("code", "search", F.col("ratio").alias("entity_ratio")), "code")
-    c = c.where(packaging_compatible(F.col("ratio"), F.col("entity_ratio")))
-    c = prefer_overlap(c)
-    one = c.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("stage").alias("stage"), F.min("code").alias("code"), F.min("pairs").alias("pairs"), F.min("search").alias("search")).where("n = 1")
-    return one.where(dimension_conflict(F.col("pairs"), T.dimension_pairs(F.col("search"))).isNull()).select(*KEY, "stage", "code")
+    return candidate_table(blocks, catalog).where("code IS NOT NULL").select(*KEY, "stage", "code")
 
 
 def packaging_compatible(ratio, entity_ratio):
@@ -140,22 +160,32 @@ def dimension_conflict(order_pairs, entity_pairs):
 
 
 def decide(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row a line: status, method, entity and reason. Lines without a match are kept, with why there is none."""
-    # Features are read by every stage; kept partitions of a lost executor are computed again.
+    """One row a line: status, method, entity and reason. Lines without a match are kept, with why there is none.
+
+    Candidates come to their line by a left join; packaging, shared tokens and constraints are windows over the
+    line, and the row that is left of each line carries the answer, so no line can be lost or doubled.
+    """
+    # Features are read by both sides of the join; kept partitions of a lost executor are computed again.
     b, c = prepared_blocks(blocks).persist(), prepared_catalog(catalog).persist()
-    candidates = lexical_candidates(b, c)
-    hits = lexical_matches(b, c, candidates)
-    any_ = candidates.groupBy(*KEY).agg(F.count("*").alias("n_candidates"))
-    known = b.select(*KEY, F.explode("articles").alias("token")).join(inverted_index(c, "articles").select("token").distinct(), "token", "left_semi")
-    known = known.select(*KEY).distinct().withColumn("known", F.lit(True))
-    out = b.join(hits, KEY, "left").join(any_, KEY, "left").join(known, KEY, "left").join(c.select("code", "nomenclature", "barcode"), "code", "left")
-    matched = F.col("code").isNotNull()
-    status = F.when(matched, "MATCHED_AUTO").when(F.col("n_candidates") > 0, "NEEDS_LLM").otherwise("QUARANTINE")
-    reason = F.when((F.size("articles") > 0) & F.col("known").isNull(), NO_ARTICLE).when(F.col("client_description").rlike(r"(?iu)заказн|нестандарт|под\s+заказ"), CUSTOM).otherwise(MISSING)
-    return out.select(
-        *KEY, "client_description", "quantity", "customer_name", "shift_date", status.alias("status"), F.coalesce("stage", F.lit(0)).alias("stage"), "code", "nomenclature", "barcode",
-        F.when(matched, F.when(F.col("barcode").isNotNull(), "exact_article").otherwise("AUTO_NO_BARCODE")).alias("match_method"),
-        F.when(status == "QUARANTINE", reason).alias("status_detail"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
+    entities = c.select("code", "nomenclature", "barcode", F.col("ratio").alias("entity_ratio"), T.significant_tokens(T.slug(F.col("search"))).alias("entity_tokens"), T.dimension_pairs(F.col("search")).alias("entity_pairs"))
+    j = b.join(candidate_table(b, c), KEY, "left").join(entities, "code", "left")
+    line = W.partitionBy(*KEY)
+    j = j.withColumns({"fits": F.col("code").isNotNull() & packaging_compatible(F.col("ratio"), F.col("entity_ratio")), "overlap": F.size(F.array_intersect("tokens", "entity_tokens"))})
+    j = j.withColumns({"best": F.max(F.when(F.col("fits"), F.col("overlap"))).over(line), "n_candidates": F.count("code").over(line)})
+    j = j.withColumn("winners", F.count_if(F.col("fits") & (F.col("overlap") == F.col("best"))).over(line))
+    # Most shared tokens win, if one alone has them or they are two and more.
+    keep = F.col("fits") & ((F.col("best") <= 0) | (F.col("overlap") == F.col("best")) | ((F.col("winners") > 1) & (F.col("best") < 2)))
+    j = j.withColumn("keep", F.coalesce(keep, F.lit(False)))
+    j = j.withColumns({"n_kept": F.count_if("keep").over(line), "rn": F.row_number().over(line.orderBy(F.desc("keep"), "code"))}).where("rn = 1")
+    matched = F.col("keep") & (F.col("n_kept") == 1) & dimension_conflict(F.col("pairs"), F.col("entity_pairs")).isNull()
+    j = j.withColumn("matched", matched)
+    only = lambda c: F.when(F.col("matched"), F.col(c))
+    status = F.when(F.col("matched"), "MATCHED_AUTO").when(F.col("n_candidates") > 0, "NEEDS_LLM").otherwise("QUARANTINE")
+    reason = F.when((F.size("articles") > 0) & ~F.coalesce("known", F.lit(False)), NO_ARTICLE).when(F.col("client_description").rlike(r"(?iu)заказн|нестандарт|под\s+заказ"), CUSTOM).otherwise(MISSING)
+    return j.select(
+        *KEY, "client_description", "quantity", "customer_name", "shift_date", status.alias("status"), F.coalesce(only("stage"), F.lit(0)).alias("stage"), only("code").alias("code"), only("nomenclature").alias("nomenclature"), only("barcode").alias("barcode"),
+        F.when(F.col("matched"), F.when(F.col("barcode").isNotNull(), "exact_article").otherwise("AUTO_NO_BARCODE")).alias("match_method"),
+        F.when(status == "QUARANTINE", reason).alias("status_detail"), "n_candidates",
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -86,13 +87,24 @@ def knn_lines(lines: DataFrame, vectors: DataFrame, k: int = TOP_K, slice_rows:
     return out
 
 
+def trigram_vector(text: str, size: int) -> np.ndarray:
+    """Character trigrams counted by hash, of unit length."""
+    codes = np.frombuffer(f" {text.lower()}  "[: max(3, len(text) + 2)].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = (codes[:-2] * np.uint64(1_000_003) + codes[1:-1]) * np.uint64(1_000_003) + codes[2:]
+    h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    counts = np.bincount((h % np.uint64(size)).astype(np.int64), minlength=size).astype(np.float64)
+    return counts / np.linalg.norm(counts)
+
+
 def hash_embedding(text: Column, size: int = 64) -> Column:
-    """Character trigrams hashed to a unit vector; stands for an embedding model where there is none."""
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, F.lit(3))), F.lit(size)))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.size(F.filter(grams, lambda g: g == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(raw, lambda v: v / norm)
+    """Stands for an embedding model where there is none."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: trigram_vector(t or "", size))
+
+    return run(text)
 
 
 def overlap(terms: Column, value: Column) -> Column:

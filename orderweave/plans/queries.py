@@ -207,7 +207,7 @@ def q_inverted_index(spark, sf_dir):
 
 def _prepared(spark, sf_dir):
     v = views(spark, sf_dir)
-    return linkage.prepared_blocks(v["blk"]), linkage.prepared_catalog(v["cat"])
+    return linkage.prepared_blocks(v["blk"]).persist(), linkage.prepared_catalog(v["cat"]).persist()
 
 
 _KEYS = f", b AS (SELECT *, {_NAME.format('client_description')} AS name_key, {_SLUG.format('client_description')} AS slug FROM blk), c AS (SELECT *, {_NAME.format('nomenclature')} AS name_key, {_SLUG.format('nomenclature')} AS slug FROM cat)"
@@ -403,19 +403,22 @@ def q_pipeline_full(spark, sf_dir):
     """Lexical cascade, then for lines it leaves open the nearest entities, all constraints, adjustments and the decision."""
     v = views(spark, sf_dir)
     done = linkage.decide(v["blk"], v["cat"])
-    cat = linkage.prepared_catalog(v["cat"])
+    cat = linkage.prepared_catalog(v["cat"]).persist()
+    # Features of a text are worked out once a text, before it meets its candidates.
+    d, plain = F.col("client_description"), F.col("plain")
     lines = done.where("status <> 'MATCHED_AUTO'").select("client_description").distinct()
-    q = lines.select(F.col("client_description").alias("query_id"), scoring.hash_embedding(T.search_text(F.col("client_description"))).alias("embedding"))
-    hits = scoring.knn_lines(q, cat.select(F.col("code").alias("vec_id"), scoring.hash_embedding(F.col("search")).alias("embedding")))
-    plain = T.expand_abbreviations(T.normalize(F.col("query_id")))
-    p = hits.join(cat.select(F.col("code").alias("vec_id"), F.col("code"), "search", "label_model", "color", F.col("ratio").alias("entity_ratio"), F.col("module").alias("entity_module")), "vec_id")
-    p = p.withColumns({"plain": plain, "query": T.search_text(F.col("query_id")), "order_id": F.col("query_id"), "line_number": F.lit(0)})
-    p = p.withColumns({
-        "ratio": T.default_ratio(T.package_ratio(F.col("plain")), F.lit("")), "sub_brands": T.sub_brands(F.col("query_id")), "entity_brands": T.sub_brands(F.col("label_model")), "pairs": T.dimension_pairs(F.col("plain")),
-        "entity_pairs": T.dimension_pairs(F.col("search")), "widths": T.alternative_widths(F.col("plain")), "thick": T.thicknesses(F.col("plain")), "metres": T.linear_metres(F.col("plain")), "item_type": F.lit(""),
-        "colors": F.filter(F.array("color"), lambda c: F.lower("query_id").contains(c)), "models": F.filter(F.array("label_model"), lambda m: F.lower("query_id").contains(F.lower(m))),
-        "composite": T.composite_color(F.col("plain")), "same_key": F.concat_ws("|", "label_model", "color", T.slug(F.col("search"))),
-    })
+    lines = lines.withColumns({"plain": T.expand_abbreviations(T.normalize(d)), "query": T.search_text(d)}).persist()
+    lines = lines.withColumns({
+        "ratio": T.default_ratio(T.package_ratio(plain), F.lit("")), "sub_brands": T.sub_brands(d), "pairs": T.dimension_pairs(plain), "widths": T.alternative_widths(plain), "thick": T.thicknesses(plain),
+        "metres": T.linear_metres(plain), "item_type": F.lit(""), "composite": T.composite_color(plain), "order_id": d, "line_number": F.lit(0), "embedding": scoring.hash_embedding(F.col("query")),
+    }).persist()
+    cat = cat.select(
+        "code", "search", "label_model", "color", F.col("ratio").alias("entity_ratio"), F.col("module").alias("entity_module"), T.sub_brands(F.col("label_model")).alias("entity_brands"),
+        T.dimension_pairs(F.col("search")).alias("entity_pairs"), F.concat_ws("|", "label_model", "color", T.slug(F.col("search"))).alias("same_key"), scoring.hash_embedding(F.col("search")).alias("entity_embedding"),
+    ).persist()
+    hits = scoring.knn_lines(lines.select(d.alias("query_id"), "embedding"), cat.select(F.col("code").alias("vec_id"), F.col("entity_embedding").alias("embedding")))
+    p = hits.withColumnRenamed("vec_id", "code").join(cat.drop("entity_embedding"), "code").join(lines.drop("embedding"), F.col("query_id") == d)
+    p = p.withColumns({"colors": F.filter(F.array("color"), lambda c: F.lower("query_id").contains(c)), "models": F.filter(F.array("label_model"), lambda m: F.lower("query_id").contains(F.lower(m)))})
     p = scoring.boosted(p.withColumn("reason", scoring.full_constraint_reason()))
     p = p.withColumn("score", F.when(F.col("reason").isNull() & scoring.high_confidence(), F.greatest("score", F.lit(scoring.TUPLE_FLOOR))).otherwise(F.col("score")))
     top = scoring.top1(scoring.color_barrier(scoring.sub_brand_barrier(p)))
