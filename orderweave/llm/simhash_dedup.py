@@ -14,7 +14,7 @@ tables, and components are found by ``connected_components``.
 Defined results: a null or empty text, or one of white space only, has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle of them all; repeated rows and equal texts share a node;
 an empty table gives an empty result; other columns are ignored by ``simhash_groups`` and kept by
-``drop_near_copies``; a null id forms a row of its own, and counts as larger than any other.
+``drop_near_copies``; a null id is never a component's least unless it has no other, and such a row is never dropped.
 """
 
 from __future__ import annotations
@@ -201,9 +201,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the row, or rows, whose id is the least of its component."""
+    """``docs`` with one document of each group: the row, or rows, whose id is the least of its component; and rows without an id."""
     groups = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

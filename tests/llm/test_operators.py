@@ -266,7 +266,7 @@ def _cut(texts, width=400):
             if c[t[i : i + width]] > 1:
                 gone[i : i + width] = b"\1" * width
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        out.append((len(t), len(t) - len(kept), len(re.findall(rb"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), len(t) - len(kept), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return out
 
 
@@ -351,6 +351,9 @@ def test_simhash(spark):
         assert r.component_id == min(i for i in fp if root[fp[i]] == root[fp[r.doc_id]])
     kept = simhash_dedup.drop_near_copies(documents(spark, clash=True))
     assert {r.doc_id for r in kept.collect()} == {r.component_id for r in got}
+    some = rows()[:4]
+    odd = documents(spark, [*some, (None, "alone here", None, None, None), (None, some[0][1], None, None, None)])
+    assert sorted(str(r.doc_id) for r in simhash_dedup.drop_near_copies(odd).collect()) == ["0", "1", "2", "3", "None", "None"]
 
 
 @pytest.mark.parametrize("large", [4096, 60])
