@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -6,6 +7,7 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, [os.environ.get("PYTHONPATH")])])  # for the workers
 
 
 @pytest.fixture(scope="session")
@@ -13,9 +15,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.executorEnv.PYTHONPATH", str(ROOT)).config("spark.ui.showConsoleProgress", "false").config("spark.log.level", "ERROR")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.log.level", "ERROR")
         .getOrCreate()
     )
-    session.sparkContext.addPyFile(str(ROOT / "__spark_entry__.py"))
     yield session
     session.stop()
