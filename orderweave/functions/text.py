@@ -146,7 +146,12 @@ def wrap_ratios(text: Column) -> Column:
 
 def search_text(text: Column) -> Column:
     """The form in which order and catalog texts are compared."""
-    return wrap_ratios(expand_collections(expand_abbreviations(normalize(text))))
+    return search_form(expand_abbreviations(normalize(text)))
+
+
+def search_form(plain: Column) -> Column:
+    """The same of a text that is normalised and has its abbreviations expanded."""
+    return wrap_ratios(expand_collections(plain))
 
 
 def sanitize_topology(text: Column) -> Column:
@@ -168,7 +173,11 @@ def core_slug(text: Column) -> Column:
 
 
 def name_key(text: Column) -> Column:
-    return squeeze(F.lower(normalize(text)))
+    return name_form(normalize(text))
+
+
+def name_form(normal: Column) -> Column:
+    return squeeze(F.lower(normal))
 
 
 def significant_tokens(text: Column) -> Column:
@@ -217,8 +226,13 @@ def candidate_widths(text: Column) -> Column:
 
 
 def sub_brands(text: Column) -> Column:
+    return brand_words(normalize(text))
+
+
+def brand_words(normal: Column) -> Column:
+    """Sub-brand words of a normalised text, distinct, sorted."""
     words = "|".join(sorted(SUB_BRANDS, reverse=True))
-    return F.array_sort(F.array_distinct(F.transform(matches(normalize(text), rf"(?iuU)\b(?:{words})\b"), F.lower)))
+    return F.array_sort(F.array_distinct(F.transform(matches(normal, rf"(?iuU)\b(?:{words})\b"), F.lower)))
 
 
 def composite_color(text: Column) -> Column:

@@ -32,20 +32,22 @@ def prepared_catalog(catalog: DataFrame) -> DataFrame:
 
 
 def prepared_blocks(blocks: DataFrame) -> DataFrame:
-    """Order lines with their features; a description that repeats is still worked out line by line, in one projection."""
+    """Order lines with their features. Each layer reads the one before, so that a text is normalised once."""
     d = F.col("client_description")
-    plain = T.expand_abbreviations(T.normalize(d))
-    b = blocks.withColumns({"plain": plain, "query": T.search_text(d), "name_key": T.name_key(d)})
-    same = ~d.rlike(r"(?iuU)\bбез\s+цвета\b")
-    b = b.withColumn("slug", F.when(same, T.slug(F.col("query"))).otherwise(T.core_slug(d)))
-    return b.withColumns({
+    b = blocks.withColumn("normal", T.normalize(d))
+    b = b.withColumns({"plain": T.expand_abbreviations(F.col("normal")), "name_key": T.name_form(F.col("normal")), "sub_brands": T.brand_words(F.col("normal"))})
+    b = b.withColumn("query", T.search_form(F.col("plain")))
+    colored = d.rlike(r"(?iuU)\bбез\s+цвета\b")
+    b = b.withColumn("bare", T.slug(F.col("query")))
+    b = b.withColumns({
+        "slug": F.when(colored, T.core_slug(d)).otherwise(F.col("bare")),
+        "tokens": F.filter(T.significant_tokens(F.col("bare")), lambda t: (F.length(t) >= 4) & ~t.isin(T.GENERIC_TOKENS)),
         "articles": T.article_tokens(d),
         "dims": T.dimension_tokens(d),
         "pairs": T.dimension_pairs(F.col("plain")),
         "ratio": T.default_ratio(T.package_ratio(F.col("plain")), F.lit("")),
-        "tokens": F.filter(T.significant_tokens(T.slug(F.col("query"))), lambda t: (F.length(t) >= 4) & ~t.isin(T.GENERIC_TOKENS)),
-        "sub_brands": T.sub_brands(d),
     })
+    return b.drop("normal", "bare")
 
 
 def inverted_index(catalog: DataFrame, tokens: str) -> DataFrame:

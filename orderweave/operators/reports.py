@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderweave.functions import text as T
@@ -84,3 +85,42 @@ def model_terms(catalog: DataFrame, least: int = 2, most: int = 50, length: int
     models = distinct_terms(catalog, "label_model")
     words = models.select(F.explode(T.matches(F.col("term"), "[А-Яа-яA-Za-z]+")).alias("term")).where(F.length("term") >= length)
     return words.groupBy("term").count().where(F.col("count").between(least, most)).select("term").union(models).distinct()
+
+
+# Labels that operators see.
+QUARANTINED, WAITING = "🟡 Карантин", "🟠 Ожидает LLM"
+BY_MODEL, BY_MODEL_BARE = "🔵 LLM", "🔵 LLM (без ШК)"
+AUTO, AUTO_BARE = "🟢 Авто (со штрихкодом)", "🟢 Авто (без ШК)"
+SNIPPET, NAME_MOST = 5, 80
+
+
+def badge() -> Column:
+    """The label of a decision, by status, method and barcode."""
+    coded = T.optional_text(F.col("barcode")).isNotNull()
+    model = (F.col("status") == "MATCHED_LLM") | F.upper(F.coalesce("match_method", F.lit(""))).startswith("LLM")
+    return F.when(F.col("status") == "QUARANTINE", QUARANTINED).when(F.col("status") == "NEEDS_LLM", WAITING).when(model, F.when(coded, BY_MODEL).otherwise(BY_MODEL_BARE)).when(coded, AUTO).otherwise(AUTO_BARE)
+
+
+def order_cards(decisions: DataFrame) -> DataFrame:
+    """(order_id, card, label): a warning if anything is quarantined, and the station's label of the order."""
+    s = order_stats(decisions)
+    label = F.concat(F.col("order_id").cast("string"), F.lit(" (Строк: "), F.col("n_rows").cast("string"), F.lit(" | Мест: "), F.col("places").cast("string"), F.lit(" | Карантин: "), F.col("n_quarantine").cast("string"), F.lit(")"))
+    return s.select("order_id", F.when(F.col("n_quarantine") > 0, "WARNING").otherwise("SUCCESS").alias("card"), label.alias("label"))
+
+
+def quarantine_snippets(decisions: DataFrame) -> DataFrame:
+    """(order_id, snippet): the first lines in quarantine, and how many more there are; no order's lines are gathered whole."""
+    w = W.partitionBy("order_id").orderBy("line_number")
+    q = decisions.where("status = 'QUARANTINE'").withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(W.partitionBy("order_id"))}).where(F.col("rn") <= SNIPPET)
+    name = F.substring("client_description", 1, NAME_MOST)
+    line = F.concat(F.lit("• Строка #"), F.col("line_number").cast("string"), F.lit(": "), name, F.lit(" — ["), F.coalesce("status_detail", F.lit("QUARANTINE")), F.lit("]"))
+    g = q.groupBy("order_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"), F.max("n").alias("n"))
+    more = F.when(F.col("n") > SNIPPET, F.concat(F.lit("\n• … ещё "), (F.col("n") - SNIPPET).cast("string"))).otherwise("")
+    return g.select("order_id", F.concat("lines", more).alias("snippet"))
+
+
+def shown_names(decisions: DataFrame) -> DataFrame:
+    """(order_id, line_number, factory_name, shown_barcode, method): what the console shows."""
+    name = F.coalesce("nomenclature", F.when(F.col("status") == "QUARANTINE", "— (Отсутствует в 1С 8)").otherwise("—"))
+    method = F.coalesce("match_method", F.when(F.col("status") == "MATCHED_AUTO", "vector_auto").otherwise(F.col("status")))
+    return decisions.select("order_id", "line_number", name.alias("factory_name"), F.coalesce(T.optional_text(F.col("barcode")), F.lit("—")).alias("shown_barcode"), method.alias("method"), badge().alias("badge"))

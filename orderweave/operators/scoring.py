@@ -261,6 +261,13 @@ def status(top: DataFrame) -> Column:
     return F.when((F.col("score") >= AUTO) & clear, "MATCHED_AUTO").otherwise("NEEDS_LLM")
 
 
+def explain(top: DataFrame) -> Column:
+    """Why a line's best pair isn't taken by itself, or that it is."""
+    close = F.col("rival").isNotNull() & (F.round(F.col("score") - F.col("rival"), 9) < GAP)
+    gap = F.format_number(F.col("score") - F.col("rival"), 3)
+    return F.when(close, F.concat(F.lit("ambiguous collision among same-characteristic candidates (gap="), gap, F.lit(f" < {GAP})"))).when(F.col("score") < AUTO, F.concat(F.lit("score "), F.format_number("score", 3), F.lit(f" below auto threshold {AUTO}"))).otherwise("auto-matched")
+
+
 def resolver_jobs(decisions: DataFrame) -> DataFrame:
     """One job for all lines that ask the same of the same candidates; ``resolve`` is called once a job."""
     key = F.sha2(F.concat_ws("", F.lower(F.trim("client_description")), F.array_join(F.array_sort("codes"), ",")), 256)

@@ -356,6 +356,13 @@ def q_top1_collision_gap(spark, sf_dir):
     return t.select("order_id", "line_number", "code", F.round("score", 6).alias("score"), F.round("rival", 6).alias("rival"), scoring.status(t).alias("status"))
 
 
+@query(_TOP + """ SELECT order_id, line_number, CASE WHEN rival IS NOT NULL AND round(t - rival, 9) < 0.03 THEN 'ambiguous collision among same-characteristic candidates (gap=' || printf('%.3f', t - rival) || ' < 0.03)'
+  WHEN t < 0.83 THEN 'score ' || printf('%.3f', t) || ' below auto threshold 0.83' ELSE 'auto-matched' END AS why FROM top""")
+def q_explain_rejection(spark, sf_dir):
+    t = scoring.top1(scoring.sub_brand_barrier(scoring.boosted(_pairs(spark, sf_dir))))
+    return t.select("order_id", "line_number", scoring.explain(t).alias("why"))
+
+
 _DECIDE = _CASCADE + rf""", kept AS (SELECT cand.*, b.slug AS bs, c.slug AS cs, b.name_key AS bk, c.name_key AS ck FROM cand JOIN b USING (order_id, line_number) JOIN c USING (code)
   WHERE coalesce(nullif(regexp_extract(b.client_description, '\d+/\d+'), ''), '1/1') = c.packaging),
 ov AS (SELECT *, len(list_intersect(list_distinct(list_filter(regexp_extract_all(bs, '[a-z0-9]+'), lambda t: length(t) >= 4)), list_filter(regexp_extract_all(cs, '[a-z0-9]+'), lambda t: length(t) >= 3))) AS v FROM kept),
@@ -456,6 +463,25 @@ def q_attention_by_order(spark, sf_dir):
     return reports.attention(_decisions(spark, sf_dir))
 
 
+@query(_DECIDE + f""" SELECT order_id, line_number, coalesce(nomenclature, CASE WHEN status = 'QUARANTINE' THEN '— (Отсутствует в 1С 8)' ELSE '—' END) AS factory_name, coalesce(barcode, '—') AS shown_barcode,
+  coalesce(match_method, status) AS method, CASE WHEN status = 'QUARANTINE' THEN '{reports.QUARANTINED}' WHEN status = 'NEEDS_LLM' THEN '{reports.WAITING}' WHEN barcode IS NOT NULL THEN '{reports.AUTO}' ELSE '{reports.AUTO_BARE}' END AS badge FROM d""")
+def q_status_badges(spark, sf_dir):
+    return reports.shown_names(_decisions(spark, sf_dir))
+
+
+@query(_DECIDE + """ SELECT order_id, CASE WHEN bool_or(status = 'QUARANTINE') THEN 'WARNING' ELSE 'SUCCESS' END AS card,
+  order_id || ' (Строк: ' || count(*) || ' | Мест: ' || sum(quantity) || ' | Карантин: ' || count(*) FILTER (status = 'QUARANTINE') || ')' AS label FROM d GROUP BY 1""")
+def q_order_cards(spark, sf_dir):
+    return reports.order_cards(_decisions(spark, sf_dir))
+
+
+@query(_DECIDE + f""", z AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY line_number) AS rn, count(*) OVER (PARTITION BY order_id) AS n FROM d WHERE status = 'QUARANTINE')
+SELECT order_id, string_agg('• Строка #' || line_number || ': ' || client_description || ' — [' || status_detail || ']', chr(10) ORDER BY rn) FILTER (rn <= {reports.SNIPPET})
+  || CASE WHEN max(n) > {reports.SNIPPET} THEN chr(10) || '• … ещё ' || (max(n) - {reports.SNIPPET}) ELSE '' END AS snippet FROM z GROUP BY 1""")
+def q_quarantine_snippets(spark, sf_dir):
+    return reports.quarantine_snippets(_decisions(spark, sf_dir))
+
+
 _ROWS = _DECIDE + ", x AS (SELECT order_id, line_number AS no, coalesce(nomenclature, client_description) AS name, coalesce(barcode, '') AS barcode, quantity, customer_name AS customer FROM d)"
 
 
