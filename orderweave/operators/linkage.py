@@ -182,12 +182,19 @@ def decide(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
     matched = F.col("keep") & (F.col("n_kept") == 1) & dimension_conflict(F.col("pairs"), F.col("entity_pairs")).isNull()
     j = j.withColumn("matched", matched)
     only = lambda c: F.when(F.col("matched"), F.col(c))
-    status = F.when(F.col("matched"), "MATCHED_AUTO").when(F.col("n_candidates") > 0, "NEEDS_LLM").otherwise("QUARANTINE")
-    reason = F.when((F.size("articles") > 0) & ~F.coalesce("known", F.lit(False)), NO_ARTICLE).when(F.col("client_description").rlike(r"(?iu)заказн|нестандарт|под\s+заказ"), CUSTOM).otherwise(MISSING)
+    d = F.col("client_description")
+    hint = d.rlike(r"(?iuU)заказн|нестандарт|под\s+заказ")
+    glass = d.rlike("(?iu)стекло|зеркал") & (F.size(T.dimensions(F.col("plain"))) > 0)
+    custom = ~d.rlike("(?iu)полкодерж") & (hint | glass)
+    # Hardware that nothing was found for passes without an entity, unless it is made to measure.
+    passes = ~F.col("matched") & (F.col("n_candidates") == 0) & T.is_hardware(d) & ~custom
+    status = F.when(F.col("matched"), "MATCHED_AUTO").when(F.col("n_candidates") > 0, "NEEDS_LLM").when(passes, "MATCHED_AUTO").otherwise("QUARANTINE")
+    reason = F.when((F.size("articles") > 0) & ~F.coalesce("known", F.lit(False)), NO_ARTICLE).when(custom, CUSTOM).otherwise(MISSING)
+    j = j.withColumns({"status": status, "reason": reason})
     return j.select(
-        *KEY, "client_description", "quantity", "customer_name", "shift_date", status.alias("status"), F.coalesce(only("stage"), F.lit(0)).alias("stage"), only("code").alias("code"), only("nomenclature").alias("nomenclature"), only("barcode").alias("barcode"),
-        F.when(F.col("matched"), F.when(F.col("barcode").isNotNull(), "exact_article").otherwise("AUTO_NO_BARCODE")).alias("match_method"),
-        F.when(status == "QUARANTINE", reason).alias("status_detail"), "n_candidates",
+        *KEY, "client_description", "quantity", "customer_name", "shift_date", "status", F.coalesce(only("stage"), F.lit(0)).alias("stage"), only("code").alias("code"), only("nomenclature").alias("nomenclature"), only("barcode").alias("barcode"),
+        F.when(F.col("matched") & F.col("barcode").isNotNull(), "exact_article").when(F.col("status") == "MATCHED_AUTO", "AUTO_NO_BARCODE").alias("match_method"),
+        F.when(F.col("status") == "QUARANTINE", F.col("reason")).alias("status_detail"), "n_candidates",
     )
 
 

@@ -304,3 +304,24 @@ def test_history(spark, tmp_path):
     (tmp_path / "m1.json").write_text('{"runs": [{"order_id": "x", "total_rows": 3}]}')
     (tmp_path / "m2.json").write_text('[{"order_id": "y", "customer_name": "c"}]')
     assert sorted((r.order_id, r.total_rows, r.customer_name) for r in export.read_manifest(spark, str(tmp_path / "m*.json")).collect()) == [("x", 3, None), ("y", None, "c")]
+
+
+def test_decisions_on_order_texts(spark):
+    cat = spark.createDataFrame(
+        [("1", "Комод Йорк 1/1 белый", "4600000000017", "1/1"), ("2", "Планка угловая 38мм арт 1516", None, None), ("3", "Шкаф 600x720 1/1", "46", "1/1"), ("4", "Шкаф 600x720 1/1 графит", "47", "1/1")],
+        "code string, nomenclature string, barcode string, packaging string",
+    ).selectExpr("*", "'' module", "'' label_type", "'' color")
+    texts = ["Комод  ЙОРК 1/1 белый", "Планка 1516 угловая", "Полка 600 х 720", "Петля накладная", "Зеркало 500x700 под заказ", "Артикул 777777", "Диван", "Комод Йорк 1/2 белый", "Полкодержатели стекло 30x40", None]
+    blocks = spark.createDataFrame([(1, i, t, 1, "c", "d") for i, t in enumerate(texts)], "order_id long, line_number long, client_description string, quantity int, customer_name string, shift_date string")
+    got = {r.line_number: r for r in linkage.decide(blocks, cat).collect()}
+    assert len(got) == len(texts)
+    assert (got[0].code, got[0].stage, got[0].match_method) == ("1", linkage.NAME, "exact_article")
+    assert (got[1].code, got[1].stage, got[1].match_method) == ("2", linkage.ARTICLE, "AUTO_NO_BARCODE")
+    assert (got[2].status, got[2].n_candidates) == ("NEEDS_LLM", 2)
+    assert (got[3].status, got[3].code, got[3].match_method) == ("MATCHED_AUTO", None, "AUTO_NO_BARCODE")
+    assert (got[4].status, got[4].status_detail) == ("QUARANTINE", linkage.CUSTOM)
+    assert (got[5].status, got[5].status_detail) == ("QUARANTINE", linkage.NO_ARTICLE)
+    assert (got[6].status, got[6].status_detail) == (got[9].status, got[9].status_detail) == ("QUARANTINE", linkage.MISSING)
+    assert (got[7].status, got[7].code) == ("NEEDS_LLM", None)
+    assert got[8].status == "MATCHED_AUTO"
+    spark.catalog.clearCache()
