@@ -8,10 +8,13 @@ product of its children's, which also gives the cell's weight against all deeper
 the product over its bits of the estimates of all depths mixed by those weights, so every byte has a code length
 and -score / log10(2) / bytes is the code length per byte in bits.
 
-What each scoring task gets is bounded by construction: two float arrays of ``2 ** SLOT_BITS`` slots, into which
-cells are hashed (of cells that share a slot the one seen most often stays, the others are as if unseen). Base
-scores need counts of all words, which has no bound: counts stay in a table; a fixed number of the most frequent
-words is sent to the tasks, and all other words of a document are joined with the table.
+The model keeps every cell, by its exact key, in tables of the shared folder. From the root down each cell gets
+the mixed estimate of a text whose deepest seen cell it is, so the log probability of a byte after a context is
+the sum, over its bits, of the logarithms of one cell each. A scoring task gets a bounded part of the model: the
+log probabilities of at most ``KNOWN`` training grams, the most frequent, with their keys, which are compared.
+All other distinct grams of a document are joined with the table of training grams, and those never seen with the
+cells. In the same way a fixed number of the most frequent words is sent to the tasks, and all other words of a
+document are joined with the table of counts.
 
 Defined results: a null text is empty and has its end alone; a text ends with a byte that UTF-8 never has, so
 probabilities of all texts add up to one; without training documents every bit has probability one half and N
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 from orderweave.llm.common import Scratch, crc_remainder, table, tidy
 
 DEPTH, SLOT_BITS = 4, 22
-FREQUENT = 1 << 16
+FREQUENT, KNOWN = 1 << 16, 1 << 20
+_HALF = math.log10(0.5)
 BLOCK = 2 << 20  # grams counted or scored at once
 _GAP = b"\xff" * DEPTH
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
@@ -142,51 +146,119 @@ def _parents(level: DataFrame, depth: int) -> DataFrame:
     return level.groupBy(F.expr(up).alias("cell")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("below"))
 
 
-def build(scratch: Scratch, training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Two arrays by slot: the estimate of a one, and its weight against deeper estimates (negative: unseen)."""
-    level, kept = _deepest(scratch.keep(_gram_counts(training), "grams")).withColumn("below", F.lit(0.0)), []
-    for depth in range(DEPTH, -1, -1):
-        kept.append(scratch.keep(_weigh(level, depth == DEPTH), "level"))
-        if depth:
-            level = _parents(kept[-1], depth)
+def _descend(level: DataFrame, above: DataFrame | None, depth: int) -> DataFrame:
+    """(cell, p, base, rest): the mixed estimate of a one if nothing deeper is seen; with deeper cells it is base + rest * theirs."""
+    one = F.expr("(b + 0.5) / (a + b + 1.0)")
+    if above is None:
+        base, rest = F.lit(0.0), F.lit(1.0)
+    else:
+        up = f"shiftleft({depth}L, 56) | shiftleft(shiftrightunsigned(cell, 8) & {(1 << 8 * (depth - 1)) - 1}L, 8) | (cell & 255L)"
+        level = level.withColumn("up", F.expr(up)).join(above.select(F.col("cell").alias("up"), "base", "rest"), "up")
+        base, rest = F.col("base"), F.col("rest")
+    return level.select("cell", (base + rest * one).alias("p"), (base + rest * F.col("share") * one).alias("base"), (rest * (1 - F.col("share"))).alias("rest"))
+
 
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bit_cells(grams_: DataFrame, depth: int) -> DataFrame:
+    """(gram, bit, cell, hit): the cells of each gram at a depth, and whether the bit is a one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, a, b, _, share = _columns(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(slots(cell.view(np.uint64))), pa.array(a + b), pa.array(cell), pa.array((b + 0.5) / (a + b + 1.0)), pa.array(share)], names=["slot", "n", "cell", "one", "share"])
-
-    cells = kept[0]
-    for level in kept[1:]:
-        cells = cells.union(level)
-    best = cells.mapInArrow(tidy(slotted), "slot long, n long, cell long, one double, share double").groupBy("slot").agg(F.max_by(F.struct(F.col("one").cast("float").alias("one"), F.col("share").cast("float").alias("share")), F.struct("n", "cell")).alias("x"))
-    got = best.select(F.col("slot").cast("int"), "x.one", "x.share").toArrow()  # at most 2 ** SLOT_BITS rows of 12 bytes
-    one, share = np.full(1 << SLOT_BITS, 0.5, np.float32), np.full(1 << SLOT_BITS, -1, np.float32)
-    at = got["slot"].to_numpy()
-    one[at], share[at] = got["one"].to_numpy(), got["share"].to_numpy()
-    return one, share
-
-
-def gram_logs(gram: np.ndarray, one: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each gram's last byte after the bytes before it."""
-    out = np.zeros(len(gram))
-    for bit in range(8):
-        p = np.full(len(gram), 0.5)
-        deeper = np.zeros(len(gram), bool)
-        for depth in range(DEPTH, -1, -1):
-            at = slots(cells_of(gram, depth, bit))
-            w = share[at].astype(np.float64)
-            w = np.where(w < 0, 0.0, np.where(deeper, w, 1.0))  # nothing seen below: this depth has all the weight
-            seen = share[at] >= 0
-            p = np.where(seen, w * one[at] + (1 - w) * p, p)
-            deeper |= seen
-        hit = (gram >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-        out += np.log10(np.where(hit, p, 1 - p))
-    return out
+            gram = batch.column(0).to_numpy().view(np.uint64)
+            for bit in range(8):
+                hit = (gram >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(gram), bit, np.int32)), pa.array(cells_of(gram, depth, bit).view(np.int64)), pa.array(hit)], names=["gram", "bit", "cell", "hit"])
 
+    return grams_.select("gram").mapInArrow(tidy(run), "gram long, bit int, cell long, hit boolean")
 
-def score_texts(texts: list[str | None], one: np.ndarray, share: np.ndarray) -> list[float]:
-    """log10 probability of each text; equal grams of a block are computed once."""
+
+def _logs(grams_: DataFrame, cells: list[DataFrame], depths: range) -> DataFrame:
+    """(gram, log) of distinct grams: log10 of the last byte after the bytes before it; grams without any seen cell have no row."""
+    found = None
+    for depth in depths:
+        known = cells[depth].select("cell", "p")
+        part = _bit_cells(grams_, depth).join(F.broadcast(known) if depth < 2 else known, "cell")  # fewer than 2 ** 16 cells
+        part = part.select("gram", "bit", F.lit(depth).alias("depth"), F.when(F.col("hit"), F.col("p")).otherwise(1 - F.col("p")).alias("p"))
+        found = part if found is None else found.union(part)
+    if len(depths) > 1:
+        found = found.groupBy("gram", "bit").agg(F.max_by("p", "depth").alias("p"))
+    return found.groupBy("gram").agg((F.sum(F.log10("p")) + (8 - F.count("*")) * F.lit(_HALF)).alias("log"))
+
+
+def build(scratch: Scratch, training: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """All cells by depth, as (cell, p, base, rest), and (gram, n, log) of all training grams."""
+    counts = scratch.keep(_gram_counts(training), "grams")
+    level, kept = _deepest(counts).withColumn("below", F.lit(0.0)), []
+    for depth in range(DEPTH, -1, -1):
+        kept.append(scratch.keep(_weigh(level, depth == DEPTH), "level"))
+        if depth:
+            level = _parents(kept[-1], depth)
+    cells = []
+    for depth, level in enumerate(reversed(kept)):
+        cells.append(scratch.keep(_descend(level, cells[-1] if depth else None, depth), "cells"))
+    scratch.drop(*kept)
+    return cells, scratch.keep(counts.join(_logs(counts, cells, range(DEPTH, DEPTH + 1)), "gram").select("gram", "n", "log"), "learnt")
+
+
+def gram_logs(gram: np.ndarray, cells: list[DataFrame], learnt: DataFrame) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after the bytes before it, for a few grams."""
+    asked = learnt.sparkSession.createDataFrame([(int(g),) for g in np.unique(gram)], "gram long")
+    logs = dict(_logs(asked, cells, range(DEPTH + 1)).collect())
+    return np.array([logs.get(int(g), 8 * _HALF) for g in gram])
+
+
+def _most_frequent(learnt: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, n, log) of the training grams of at least some count, sorted by gram; ``KNOWN`` at most."""
+    step = F.floor(F.log2("n") * 8)
+    total, least = 0, None
+    for r in learnt.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred rows
+        total += r["count"]
+        if total > KNOWN:
+            break
+        least = r["step"]
+    got = learnt.where(step >= least if least is not None else F.lit(False)).toArrow()
+    gram, n, log = (got[c].to_numpy() for c in ("gram", "n", "log"))
+    order = np.argsort(gram)
+    return gram[order].astype(np.uint64), n[order], log[order]
+
+
+class Known:
+    """Log probabilities by gram: by a table of slots, and by search for those whose slot has another key."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs
+        self.index = np.zeros(1 << SLOT_BITS, np.int32)
+        order = np.argsort(n, kind="stable")  # the most frequent of a slot comes last and stays
+        self.index[slots(keys[order])] = order
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log of each gram, zero where it isn't known, and the positions of those."""
+        if not len(self.keys):
+            return np.zeros(len(gram)), np.arange(len(gram))
+        at = self.index[slots(gram)]
+        other = np.flatnonzero(self.keys[at] != gram)
+        at[other] = np.minimum(np.searchsorted(self.keys, gram[other]), len(self.keys) - 1)
+        absent = other[self.keys[at[other]] != gram[other]]
+        out = self.logs[at]
+        out[absent] = 0
+        return out, absent
+
+
+def score_texts(texts: list[str | None], known: Known) -> tuple[list[float], list[list[np.ndarray]], list[list[np.ndarray]]]:
+    """Of each text the log10 probability of its known grams, and its other grams with their counts, in parts."""
     total, block, owner, held = np.zeros(len(texts)), [], [], 0
+    others, counts = [[] for _ in texts], [[] for _ in texts]
+
+    def add() -> None:
+        every, starts = np.concatenate(block), np.cumsum([0, *(len(b) for b in block[:-1])])
+        logs, absent = known.find(every)
+        np.add.at(total, owner, np.add.reduceat(logs, starts))
+        cuts = np.searchsorted(absent, [*starts, len(every)])
+        for i, lo, hi in zip(owner, cuts, cuts[1:], strict=False):
+            if lo < hi:
+                keys, n = np.unique(every[absent[lo:hi]], return_counts=True)
+                others[i].append(keys.view(np.int64))
+                counts[i].append(n)
+
     for i, text in enumerate(texts):
         g = grams(text)
         for at in range(0, len(g), BLOCK):
@@ -194,25 +266,16 @@ def score_texts(texts: list[str | None], one: np.ndarray, share: np.ndarray) ->
             owner.append(i)
             held += len(block[-1])
             if held >= BLOCK:
-                _add_logs(total, block, owner, one, share)
+                add()
                 block, owner, held = [], [], 0
     if block:
-        _add_logs(total, block, owner, one, share)
-    return total.tolist()
+        add()
+    return total.tolist(), others, counts
 
 
-def _add_logs(total: np.ndarray, block: list[np.ndarray], owner: list[int], one: np.ndarray, share: np.ndarray) -> None:
-    every = np.concatenate(block)
-    keys = np.unique(every)
-    # Where each gram is among the keys: by a table of slots, and by search for those whose slot has another key.
-    index = np.zeros(1 << SLOT_BITS, np.int32)
-    index[slots(keys)] = np.arange(len(keys))
-    at = index[slots(every)]
-    other = np.flatnonzero(keys[at] != every)
-    at[other] = np.searchsorted(keys, every[other])
-    logs = gram_logs(keys, one, share)[at]
-    starts = np.cumsum([0, *(len(b) for b in block[:-1])])
-    np.add.at(total, owner, np.add.reduceat(logs, starts))
+def _lists(parts: list[list[np.ndarray]]) -> pa.Array:
+    flat = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64), pa.int64()))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -235,15 +298,16 @@ def score_documents(docs: DataFrame, training: DataFrame, keep: list[str]) -> Da
     words = scratch.keep(word_counts(training), "words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = {bytes(r[0]): math.log10(r[1] + 1) for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
-    one, share = build(scratch, training)
-    shared = spark.sparkContext.broadcast((top, one, share))
+    cells, learnt = build(scratch, training)
+    shared = spark.sparkContext.broadcast((top, *_most_frequent(learnt)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, one_, share_ = shared.value
+        frequent, *arrays = shared.value
+        known = Known(*arrays)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts, rows = batch.column(batch.num_columns - 1).to_pylist(), []
-            scores = score_texts(texts, one_, share_)
+            scores, others, counts = score_texts(texts, known)
             for text, score in zip(texts, scores, strict=True):
                 said = tokens(text)
                 logs = [frequent.get(w) for w in said]
@@ -253,18 +317,23 @@ def score_documents(docs: DataFrame, training: DataFrame, keep: list[str]) -> Da
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
             arrays = [*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "row", "n_tokens", "known", "logs", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([*arrays, _lists(others), _lists(counts)], names=[*batch.schema.names[:-1], "row", "n_tokens", "known", "logs", "score", "rare", "others", "counts"])
 
     chosen = docs.select(*keep, "text")
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    scored = chosen.mapInArrow(tidy(run), f"{head}, row long, n_tokens long, known long, logs double, score double, rare array<binary>")
+    scored = chosen.mapInArrow(tidy(run), f"{head}, row long, n_tokens long, known long, logs double, score double, rare array<binary>, others array<long>, counts array<long>")
     scored = scratch.keep(scored, "scored")
     rare = scored.select("row", F.explode("rare").alias("word"))
     found = rare.join(words, "word").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("l"))
     found = found.withColumnRenamed("row", "of")
     base = F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    out = scored.join(found, F.col("row") == F.col("of"), "left")
-    return out.select(*keep, "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    # Grams that weren't sent: from the table of training grams, or from the cells where training never had them.
+    other = scratch.keep(scored.select("row", F.explode(F.arrays_zip("others", "counts")).alias("x")).select("row", F.col("x.others").alias("gram"), F.col("x.counts").alias("times")), "other")
+    logs, asked = learnt.select("gram", "log"), other.select("gram").distinct()
+    logs = scratch.keep(asked.join(logs, "gram").union(_logs(scratch.keep(asked.join(logs, "gram", "left_anti"), "unseen"), cells, range(DEPTH + 1)).select("gram", "log")), "logs")
+    more = other.join(logs, "gram", "left").groupBy(F.col("row").alias("in")).agg(F.sum(F.col("times") * F.coalesce("log", F.lit(8 * _HALF))).alias("more"))
+    out = scored.join(found, F.col("row") == F.col("of"), "left").join(more, F.col("row") == F.col("in"), "left")
+    return out.select(*keep, "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,25 @@ def test_lm_without_training(spark):
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0)
 
 
+@pytest.mark.parametrize("known", [40, 1 << 20])
+def test_lm_unseen_context_is_not_another_cell(spark, monkeypatch, known):
+    """A context never seen, whose cell has the slot of a training cell; with few grams sent to the tasks, and with all."""
+    monkeypatch.setattr(context_tree, "KNOWN", known, raising=False)
+    training = ["the cat " * 30, "a cat sat"]
+    g = np.concatenate([context_tree.grams(t) for t in training])
+    taken = np.concatenate([context_tree.slots(context_tree.cells_of(g, d, bit)) for d in range(5) for bit in range(8)])
+    letters = np.arange(97, 123, dtype=np.uint64)
+    free = letters[:, None, None, None] << np.uint64(32) | letters[:, None, None] << np.uint64(24) | letters[:, None] << np.uint64(16) | letters << np.uint64(8)
+    free = free.ravel()[~np.isin(free.ravel() >> np.uint64(8), g >> np.uint64(8))] | np.uint64(101)
+    hit = np.concatenate([free[np.isin(context_tree.slots(context_tree.cells_of(free, 4, bit)), taken)][:8] for bit in range(3, 8)])
+    texts = [*training, *(int(x).to_bytes(5, "big").decode() for x in hit), "où the cab"]
+    assert len(hit) >= 20
+    df = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.score for r in context_tree.score_documents(df, df.where("doc_id < 2"), ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(_tree_probability(training, text), rel=1e-4)
+
+
 CHAT = [
     (1, 0, "system", "be <s>[INST] good"), (1, 1, "user", None), (1, 2, "assistant", "\\</s>\\\\"), (1, 3, "user", "q"), (1, 4, "assistant", ""), (1, 5, "assistant", "[/INST]é"),
     (2, 0, "user", "alone"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, None, None, "x"), (3, 1, "assistant", "y" * 50_000), (3, 1, "assistant", "y" * 50_000), (3, 2, "user", "z"),
