@@ -4,8 +4,9 @@ A text is lower-cased, what isn't a letter is a word end, and each word's byte n
 hashed to rows of an embedding table; their mean goes through one linear layer. Embeddings and layer are trained
 together by minibatch stochastic gradient descent in numpy, on the driver, from a bounded sample: at most
 ``SAMPLE_DOCS`` documents of each language of no more than ``SAMPLE_CHARS`` code points, and at most ``MOST_LANGS``
-languages. A part of the sample is kept from training; on it a temperature is fitted and the score below which a
-text is rejected, so that no more than ``FALSE_REJECTS`` of right answers are.
+languages. Another sample, of about ``CALIBRATE_DOCS`` documents of all languages together, is kept from training;
+on it a temperature is fitted and the score below which a text is rejected, so that no more than ``FALSE_REJECTS``
+of right answers are.
 
 For prediction the table is folded with the layer into one score a bucket and language (of bounded size, and
 broadcast), and all whole texts of a batch are scored together as arrays, a bounded block at a time.
@@ -32,7 +33,7 @@ from orderweave.llm.common import crc_remainder, table, tidy
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGS = 300, 20_000, 256
 GRAMS, BUCKET_BITS, DIM = (2, 3, 4), 16, 16
 SEGMENT, BATCH, EPOCHS, RATE, SEED = 96, 64, 4, 4.0, 5
-FALSE_REJECTS, MOST_THRESHOLD = 0.002, 0.5
+FALSE_REJECTS, CALIBRATE_DOCS = 0.002, 4000
 BLOCK = 1 << 20
 _NONE = 1 << BUCKET_BITS
 _LETTER = re.compile(r"[^\W\d_]")
@@ -180,26 +181,32 @@ def train(rows: list[tuple[str, str, bool]]) -> Model:
         p = model.probabilities([t for t, _, _ in held])
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == mine])
         if len(right):
-            model.threshold = min(float(right[int(FALSE_REJECTS * len(right))]), MOST_THRESHOLD)
+            model.threshold = float(right[int(FALSE_REJECTS * len(right))])
     return model
 
 
 def sample(docs: DataFrame, may_learn: Column, calibrate: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str, bool]]:
     """The bounded sample: of each language about the same number, by a hash of the id."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGS).collect()
+    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("n"), F.count_if(calibrate).alias("held")).orderBy(F.desc("n"), lang_col).limit(MOST_LANGS).collect()
     if not sizes:
         return []
-    share = F.create_map(*(F.lit(v) for r in sizes for v in (r[0], min(1.0, 1.5 * SAMPLE_DOCS / r[1]))))
+    most = {False: SAMPLE_DOCS, True: max(SAMPLE_DOCS // 3, -(-CALIBRATE_DOCS // len(sizes)))}
+
+    def share(held: bool) -> Column:
+        rates = ((r[0], min(1.0, 1.5 * most[held] / max(r["held"] if held else r["n"] - r["held"], 1))) for r in sizes)
+        rates = F.create_map(*(F.lit(v) for pair in rates for v in pair))
+        return F.get(F.map_values(F.map_filter(rates, lambda k, v: k == F.col(lang_col))), F.lit(0))
+
     order = F.xxhash64(F.lit(SEED), id_col)
     draw = (order.bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).alias("draw")
-    few = rows.where(draw < F.coalesce(F.get(F.map_values(F.map_filter(share, lambda k, v: k == F.col(lang_col))), F.lit(0)), F.lit(0.0)))
+    few = rows.where(draw < F.coalesce(F.when(calibrate, share(True)).otherwise(share(False)), F.lit(0.0)))
     few = few.where(F.length(text_col) <= SAMPLE_CHARS).select(order.alias("o"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), calibrate.alias("c"))
     taken, out = {}, []
-    for o, text, lang, held in few.orderBy("o").limit(2 * SAMPLE_DOCS * len(sizes)).collect():
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= SAMPLE_DOCS:
-            out.append((text, lang, bool(held)))
+    for o, text, lang, held in few.orderBy("o").limit(2 * sum(most.values()) * len(sizes)).collect():
+        taken[lang, held] = taken.get((lang, held), 0) + 1
+        if taken[lang, held] <= most[held]:
+            out.append((text, lang, held))
     return out
 
 

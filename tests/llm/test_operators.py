@@ -14,7 +14,7 @@ import pytest
 
 from orderweave.llm import chat_format, context_tree, fingerprints, language_id, piece_tokens, quality_rules, repeat_removal, secret_scan, simhash_dedup, source_mixing
 
-from .helpers import SCHEMA, digests, documents, rows
+from .helpers import ENGLISH, FRENCH, SCHEMA, digests, documents, prose, rows
 
 BY_DOCUMENT = {
     "op1": lambda d: language_id.predict_languages(d, language_id.fit(d)),
@@ -58,6 +58,17 @@ def test_languages(spark):
         assert got[i].held_out == (crc32(str(i).encode()) % 4 == 2)
 
 
+def test_languages_never_learnt_are_rejected(spark):
+    rnd = random.Random(3)
+    model = language_id.fit(documents(spark, [(i, prose(rnd, FRENCH if i % 2 else ENGLISH, rnd.randint(60, 300)), "fr" if i % 2 else "en", None, 0) for i in range(400)]))
+    finnish = "ja on ei että se hän olla mutta kun niin kuin myös vain tämä joka sitten vielä kaikki mitä minä".split()
+    polish = "nie się jest że na do jak ale czy tylko już był może tego przez wszystko gdzie kiedy bardzo".split()
+    texts = [prose(rnd, words, 100) for words in (finnish, polish) for _ in range(10)]
+    assert all(model.predict([*texts, "这是一个没有学过的语言的文本" * 20])[2])
+    langs, _, rejected = model.predict([prose(rnd, ENGLISH, 150) for _ in range(50)])
+    assert set(langs) == {"en"} and sum(rejected) <= 5
+
+
 def test_language_of_a_long_text_is_that_of_its_blocks(monkeypatch):
     model = language_id.train([(t, lang, k % 5 == 0) for k, (_, t, lang, *_) in enumerate(rows()) if t and lang and len(t) < 20_000])
     texts = [t for _, t, *_ in rows() if t]
