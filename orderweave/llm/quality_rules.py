@@ -1,8 +1,12 @@
 """Quality rules: a threshold table compiled into one projection, evaluated by built-in functions alone.
 
-Each rule is a row of ``RULES``: a measure, a bound on either side, and the least number of words from which
-the rule speaks. ``quality_rules`` turns the table into columns of a single ``select``; there is no shuffle, so
-the work is spread as the scan is and no key can be hot.
+Each rule is a row of ``RULES``: a measure, a bound on either side, the least number of words from which the rule
+speaks, and the words that the measure counts, if it counts any. ``quality_rules`` turns the table into columns of
+a single ``select``; there is no shuffle, so the work is spread as the scan is and no key can be hot.
+
+Repeated windows are found through numbers: each window's 32-bit hash above its position, sorted as longs. Only
+windows whose hash comes twice are looked at again, and their words are compared; where two of equal hash differ,
+which is rare, the text's windows are sorted by content instead. So the count is exact.
 
 Defined results: a null text counts as empty (no word, fails the base rule); repeated rows are judged each by
 itself; an empty table gives an empty result; columns of the input other than id and text are ignored, so names
@@ -11,10 +15,12 @@ cannot clash; a text of any length is judged whole.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm.common import table, words
+from orderweave.llm.common import SPACE_CLASS, table
 
 # Frequent function words of the four languages.
 STOP_WORDS = [
@@ -24,59 +30,95 @@ STOP_WORDS = [
     "el", "y", "los", "se", "del", "las", "por", "con", "no", "una", "su", "para", "al", "lo", "como",
 ]
 
-#: measure, least, most, from how many words on. A bound of None is open.
+
+class Rule(NamedTuple):
+    """A bound of None is open; ``counted`` are the words whose share a measure of words is."""
+
+    measure: str
+    least: float | None
+    most: float | None
+    from_words: int
+    counted: tuple[str, ...] = ()
+
+
 RULES = [
-    ("mean_word_chars", 2.0, 14.0, 50),
-    ("symbols_per_word", None, 0.2, 50),
-    ("stop_share", 0.02, None, 50),
-    ("dup_line_share", None, 0.5, 50),
-    ("bang_share", None, 0.5, 50),
+    Rule("mean_word_chars", 2.0, 14.0, 50),
+    Rule("symbols_per_word", None, 0.2, 50),
+    Rule("stop_share", 0.02, None, 50, tuple(STOP_WORDS)),
+    Rule("dup_line_share", None, 0.5, 50),
+    Rule("bang_share", None, 0.5, 50),
 ]
+_SPACES = " \t\n\v\f\r"
 
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _repeat_words(words_: Column, n: Column) -> Column:
-    """Words in 3-word windows that occur twice or more: windows sorted by content, neighbours compared, then positions swept.
+def _window(i: Column) -> list[Column]:
+    return [F.get("w", i + k) for k in range(3)]
+
+
+def _same_hash(x: Column, y: Column) -> Column:
+    return F.coalesce(F.shiftright(x.bitwiseXOR(y), 32) == 0, F.lit(False))
 
-    ``words_`` and ``n`` are columns of an earlier projection, so that no lambda computes them anew.
-    """
-    at = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.get(words_, i - 1), F.get(words_, i), F.get(words_, i + 1)).alias("g"), i.alias("i"))))
 
+def _sorted_hashes() -> Column:
+    """A long for each window, sorted: its hash above its position."""
+    high = lambda i: F.shiftleft(F.hash(*_window(i)).cast("long"), 32)
+    return F.when(F.col("n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: high(i).bitwiseOR(i.cast("long")))))
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list = RULES, min_words: int = 50) -> DataFrame:
+
+def _position(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
+def _collide(x: Column, y: Column) -> Column:
+    """Whether two windows of equal hash differ in a word."""
+    one, two, three = (p != q for p, q in zip(_window(_position(x)), _window(_position(y)), strict=True))
+    return _same_hash(x, y) & (one | two | three)
+
+
+def _by_content() -> Column:
+    """Positions of the windows that come twice, by sorting their words."""
+    s = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.struct(F.array(*_window(i)).alias("g"), i.alias("i"))))
+    both = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x["g"] == y["g"], F.array(x["i"], y["i"])))
+    return F.sort_array(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, min_words: int = 50) -> DataFrame:
     """Measures of each text and the verdict; one row for each row of ``docs``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    a = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), words(F.col(text_col)).alias("w"))
-    b = a.select(
-        "doc_id", "w", F.size("w").alias("n"),
-        F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-    )
+    counted = sorted({w for r in rules for w in r.counted}) or [""]
+    text = F.coalesce(docs[text_col], F.lit(""))
+    a = docs.select(docs[id_col].alias("doc_id"), text.alias("t"))
+    inner = F.btrim("t", F.lit(_SPACES))
+    split = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_CLASS + "+"))
+    # Each step reads columns of the one before more than once, so that no lambda computes them anew.
+    b = a.select("doc_id", "t", split.alias("w"), F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(_SPACES)) != "").alias("lines"))
     c = b.select(
-        "doc_id", "n", "n_symbols", F.col("n").cast("long").alias("n_words"),
+        "doc_id", "w", F.size("w").alias("n"), F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop"),
+        F.size(F.filter("w", lambda x: F.lower(x).isin(counted))).cast("long").alias("n_stop"),
         F.size(F.filter("w", lambda x: x.endswith("!!"))).cast("long").alias("n_bang"),
-        _repeat_words(F.col("w"), F.col("n")).alias("s"),
     )
-    rest = [k for k in c.columns if k not in ("n", "s")]
-    # A window is repeated if the one before or after it in the sorted order has the same content.
-    same = F.zip_with("s", F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), lambda x, y: F.when(x["g"] == y["g"], x["i"]).otherwise(F.lit(0)))
-    d = c.select(*rest, "s", same.alias("eq"))
-    hit = F.zip_with(F.col("s"), F.zip_with(F.col("eq"), F.concat(F.array(F.lit(0)), F.col("eq")), lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))), lambda x, e: F.when(e > 0, x["i"]))
-    found = F.array_sort(F.filter(hit, lambda x: x.isNotNull()))
+    rest = [k for k in c.columns if k not in ("w", "n")]
+    d = c.select(*rest, "w", "n", _sorted_hashes().alias("s"))
+    twice = F.filter("s", lambda x, k: _same_hash(x, F.get("s", k - 1)) | _same_hash(x, F.get("s", k + 1)))
+    e = d.select(*rest, "w", "n", twice.alias("twice"))
+    collide = F.exists(F.zip_with("twice", F.slice("twice", 2, F.greatest(F.size("twice"), F.lit(1))), _collide), lambda z: z)
+    at = F.when(collide, _by_content()).otherwise(F.sort_array(F.transform("twice", _position)))
+    f = e.select(*rest, F.when(F.size("twice") > 0, at).alias("at"))
+    low = F.lit(0xFFFFFFFF)
+    # The words covered so far, above the last position and three.
     swept = F.aggregate(
-        found, F.struct(F.lit(0).alias("sum"), F.lit(-2).alias("last")),
-        lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(3), i - acc["last"])).alias("sum"), i.alias("last")),
-        lambda acc: acc["sum"].cast("long"),
+        "at", F.lit(0).cast("long"),
+        lambda acc, i: F.shiftleft(F.shiftright(acc, 32) + F.least(F.lit(3).cast("long"), i + 3 - acc.bitwiseAND(low)), 32).bitwiseOR(i.cast("long") + 3),
+        lambda acc: F.shiftright(acc, 32),
     )
-    e = d.select(*rest, swept.alias("n_repeat_words"))
+    g = f.select(*rest, F.coalesce(swept, F.lit(0).cast("long")).alias("n_repeat_words"))
     n = F.col("n_words")
     measures = {
         "mean_word_chars": _ratio(F.col("word_chars"), n), "symbols_per_word": _ratio(F.col("n_symbols"), n), "stop_share": _ratio(F.col("n_stop"), n),
@@ -84,14 +126,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     }
     base_failed = (n < min_words) | (100 * F.col("n_repeat_words") > 50 * n)
     passed = F.lit(True)
-    for name, least, most, start in rules:
+    for r in rules:
         ok = F.lit(True)
-        if least is not None:
-            ok = ok & (measures[name] >= least)
-        if most is not None:
-            ok = ok & (measures[name] <= most)
-        passed = passed & ((n < start) | ok)
-    return e.select(
+        if r.least is not None:
+            ok = ok & (measures[r.measure] >= r.least)
+        if r.most is not None:
+            ok = ok & (measures[r.measure] <= r.most)
+        passed = passed & ((n < r.from_words) | ok)
+    return g.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
         F.when(base_failed, F.lit(False)).otherwise(passed).alias("kept"), "n_lines", "n_stop", "n_bang",
     )
@@ -106,9 +148,9 @@ def _sql_list(items: list[str]) -> str:
     return ", ".join(f"'{x}'" for x in items)
 
 
-def _rules_sql(rules: list) -> str:
+def _rules_sql(rules: list[Rule]) -> str:
     out = []
-    for name, least, most, start in rules:
+    for name, least, most, start, _ in rules:
         bounds = ([f"{name} >= {least}"] if least is not None else []) + ([f"{name} <= {most}"] if most is not None else [])
         out.append(f"(n_words < {start} OR ({' AND '.join(bounds)}))")
     return " AND ".join(out)
