@@ -1,20 +1,21 @@
 """LM scoring by context-tree weighting over binary-decomposed bytes.
 
 A byte is eight binary choices, each at a node of a 255-node tree; every node has its own binary context tree
-over the ``DEPTH`` bytes before. Training counts are aggregated from all training documents: each task counts
-the distinct byte strings of length ``DEPTH + 1`` that it sees, Spark adds them up, and the tree is built level
-by level, deepest first: a cell's Krichevsky-Trofimov block probability is weighted half and half with the
-product of its children's, which also gives the cell's weight against all deeper ones. A text's probability is
-the product over its bits of the estimates of all depths mixed by those weights, so every byte has a code length
-and -score / log10(2) / bytes is the code length per byte in bits.
-
-The model keeps every cell, by its exact key, in tables of the shared folder. From the root down each cell gets
-the mixed estimate of a text whose deepest seen cell it is, so the log probability of a byte after a context is
-the sum, over its bits, of the logarithms of one cell each. A scoring task gets a bounded part of the model: the
-log probabilities of at most ``KNOWN`` training grams, the most frequent, with their keys, which are compared.
-All other distinct grams of a document are joined with the table of training grams, and those never seen with the
-cells. In the same way a fixed number of the most frequent words is sent to the tasks, and all other words of a
-document are joined with the table of counts.
+over the ``DEPTH`` bytes before. A cell is a context of some depth and a node. Deepest first, a cell's
+Krichevsky-Trofimov block probability is weighted half and half with the product of its children's, which also
+gives the cell's weight against all deeper ones. A text's probability is the product over its bits of the estimates
+of all depths mixed by those weights, so every byte has a code length and -score / log10(2) / bytes is the code
+length per byte in bits.
+
+One pass over all documents counts grams (the ``DEPTH`` bytes before, and the byte) and words: each task adds up what
+it sees, Spark adds up the tasks. Grams that training never has come along with a count of zero. All cells of depth 2
+and more below one two-byte context are worked out together, from its grams, by whatever task has them (2 ** 24 grams
+at most, whatever the corpus); a first round brings the sums for the 65,280 cells of depth 1 to the driver, a second
+takes the mixed estimates of depth 0 and 1 and gives the log probability of every gram of the corpus. So no cell is
+left out or stands for another, and nothing is joined by cell.
+
+A scoring task gets a bounded part of the result: the ``KNOWN`` most frequent grams and the ``FREQUENT`` most frequent
+words, with their keys, which are compared. All other grams and words of a document are joined with the tables.
 
 Defined results: a null text is empty and has its end alone; a text ends with a byte that UTF-8 never has, so
 probabilities of all texts add up to one; without training documents every bit has probability one half and N
@@ -25,190 +26,274 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderweave.llm.common import Scratch, crc_remainder, table, tidy
-
-DEPTH, SLOT_BITS = 4, 22
-FREQUENT, KNOWN = 1 << 16, 1 << 20
+from orderweave.llm.word_blocks import LOWER, Lookup, binary_array, distinct, loads, mixed, parts, text_bytes, word_bounds, word_keys
+
+DEPTH = 4
+FREQUENT, KNOWN = 1 << 16, 1 << 21
+LONGEST_SENT = 64  # bytes of a word that is sent to all tasks
+BLOCK = 1 << 21  # bytes whose grams are counted or scored at once
+PART = 1 << 23  # bytes of text whose words are, or one text
+HELD = 1 << 22  # distinct grams that a task holds before it adds them up
+GROUPED = 1 << 19  # grams worked out together, unless one two-byte context has more
 _HALF = math.log10(0.5)
-BLOCK = 2 << 20  # grams counted or scored at once
-_GAP = b"\xff" * DEPTH
-_LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
+_END = 0xFF
+_U = np.uint64
+_TABLE = 1 << 16
+_LG_HALF = np.array([math.lgamma(k + 0.5) for k in range(_TABLE)])
+_LG_ONE = np.array([math.lgamma(k + 1.0) for k in range(_TABLE)])
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of the text with A-Z lower-cased; the end token, the empty string, comes last."""
-    return [*(text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split(), b""]
+def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts with ``DEPTH`` end bytes before each and one after; which bytes count; where each text begins.
 
+    Eight bytes of padding are in front.
+    """
+    n, width = len(offsets) - 1, DEPTH + 1
+    begins = offsets[:-1] + width * np.arange(n)
+    out = np.full(len(data) + width * n + 8, _END, np.uint8)
+    counts = np.ones(len(out) - 8, bool)
+    counts[(begins[:, None] + np.arange(DEPTH)).ravel()] = False
+    plain = counts.copy()
+    plain[begins + np.diff(offsets) + DEPTH] = False
+    out[8:][plain] = data
+    return out, counts, begins
 
-def grams(text: str | None) -> np.ndarray:
-    """The ``DEPTH`` bytes before and the byte itself, as one number, for each byte of the text and its end."""
-    data = np.frombuffer(_GAP + (text or "").encode("utf-8", "surrogatepass") + b"\xff", np.uint8).astype(np.uint64)
-    n = len(data) - DEPTH
-    out = np.zeros(n, np.uint64)
-    for k in range(DEPTH + 1):
-        out = out << np.uint64(8) | data[k : k + n]
-    return out
 
+def grams_at(out: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The gram that ends at each place of a stream: the ``DEPTH`` bytes before and the byte, as one number."""
+    return loads(out[lo + 1 : hi + 8]).byteswap() & _U((1 << 8 * (DEPTH + 1)) - 1)
 
-def cells_of(gram: np.ndarray, depth: int, bit: int) -> np.ndarray:
-    """The cell of each gram at a depth and bit: depth, the last ``depth`` bytes, and the node (a leading one and the bits so far)."""
-    byte = gram & np.uint64(255)
-    node = np.uint64(1 << bit) | byte >> np.uint64(8 - bit)
-    context = gram >> np.uint64(8) & np.uint64((1 << 8 * depth) - 1)
-    return np.uint64(depth + 1) << np.uint64(56) | context << np.uint64(8) | node
 
-
-def slots(cells: np.ndarray) -> np.ndarray:
-    h = cells * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(31)
-    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def grams(text: str | None) -> np.ndarray:
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    out, counts, _ = stream(data, np.array([0, len(data)]))
+    return grams_at(out, 0, len(counts))[counts]
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting the argument to 8 or more."""
-    x, shift = x.astype(np.float64).copy(), np.zeros(len(x))
-    while (small := x < 8).any():
-        shift[small] -= np.log(x[small])
-        x[small] += 1
-    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-
-
-def kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the Krichevsky-Trofimov probability of ``a`` zeros and ``b`` ones."""
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - math.log(math.pi) - _log_gamma(a + b + 1.0)
-
-
-def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
-    return [c.to_numpy(zero_copy_only=False) for c in b.columns]
-
-
-def _gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n) over all of ``docs``; what a task holds is its distinct grams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, fresh, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-        for text in (t for b in batches for t in [*b.column(0).to_pylist(), False]):
-            if text is not False:
-                fresh.append(grams(text))
-                held += len(fresh[-1])
-            if held >= BLOCK or text is False and held:
-                k, n = np.unique(np.concatenate(fresh), return_counts=True)
-                keys, where = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-                fresh, held = [], 0
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _deepest(grams_: DataFrame) -> DataFrame:
-    """(cell, a, b) at depth ``DEPTH`` from the counts of grams: zeros and ones at each node on the way to the byte."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for bit in range(8):
-                one = (gram >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
-                keys, where = np.unique(cells_of(gram, DEPTH, bit), return_inverse=True)
-                a, b = (np.bincount(where, n * x, len(keys)).astype(np.int64) for x in (1 - one, one))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
-
-    return grams_.mapInArrow(tidy(run), "cell long, a long, b long").groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-
-
-def _weigh(cells: DataFrame, leaves: bool) -> DataFrame:
-    """``cells(cell, a, b, below)`` with the log weighted probability, and the weight of the cell's own estimate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, a, b, below = _columns(batch)
-            own = kt_log(a, b)
-            weighted = own if leaves else np.logaddexp(own, below) - math.log(2)
-            share = np.ones(len(own)) if leaves else np.exp(own - np.logaddexp(own, below))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, a, b, weighted, share)], names=["cell", "a", "b", "weighted", "share"])
-
-    return cells.mapInArrow(tidy(run), "cell long, a long, b long, weighted double, share double")
-
-
-def _parents(level: DataFrame, depth: int) -> DataFrame:
-    """The cells one depth up, with their counts and the product (as a sum of logarithms) of what is below."""
-    up = f"shiftleft({depth}L, 56) | shiftleft(shiftrightunsigned(cell, 8) & {(1 << 8 * (depth - 1)) - 1}L, 8) | (cell & 255L)"
-    return level.groupBy(F.expr(up).alias("cell")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("below"))
+    """Stirling's series, for large arguments."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
 
 
-def _descend(level: DataFrame, above: DataFrame | None, depth: int) -> DataFrame:
-    """(cell, p, base, rest): the mixed estimate of a one if nothing deeper is seen; with deeper cells it is base + rest * theirs."""
-    one = F.expr("(b + 0.5) / (a + b + 1.0)")
-    if above is None:
-        base, rest = F.lit(0.0), F.lit(1.0)
-    else:
-        up = f"shiftleft({depth}L, 56) | shiftleft(shiftrightunsigned(cell, 8) & {(1 << 8 * (depth - 1)) - 1}L, 8) | (cell & 255L)"
-        level = level.withColumn("up", F.expr(up)).join(above.select(F.col("cell").alias("up"), "base", "rest"), "up")
-        base, rest = F.col("base"), F.col("rest")
-    return level.select("cell", (base + rest * one).alias("p"), (base + rest * F.col("share") * one).alias("base"), (rest * (1 - F.col("share"))).alias("rest"))
+def _gammas(k: np.ndarray, known: np.ndarray, more: float) -> np.ndarray:
+    out = known[np.minimum(k, _TABLE - 1)]
+    large = np.flatnonzero(k >= _TABLE)
+    out[large] = _log_gamma(k[large] + more)
+    return out
 
 
-def _bit_cells(grams_: DataFrame, depth: int) -> DataFrame:
-    """(gram, bit, cell, hit): the cells of each gram at a depth, and whether the bit is a one."""
+def kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the Krichevsky-Trofimov probability of ``a`` zeros and ``b`` ones."""
+    return _gammas(a, _LG_HALF, 0.5) + _gammas(b, _LG_HALF, 0.5) - math.log(math.pi) - _gammas(a + b, _LG_ONE, 1.0)
+
+
+def _weigh(a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell the log weighted probability, and the weight of its own estimate; ``below`` is that of its children."""
+    own = kt_log(a, b)
+    if below is None:
+        return own, np.ones(len(own))
+    both = np.logaddexp(own, below)
+    return both - math.log(2), np.exp(own - both)
+
+
+def deep_cells(gram: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, dict[int, tuple[np.ndarray, ...]]]]:
+    """For each bit, by depth down to 2: each gram's cell, and the cells' zeros, ones, log weighted probability, weight, and one gram."""
+    byte, context = gram & _U(255), gram >> _U(8)
+    sorted_ = []
+    for depth in range(DEPTH, 1, -1):
+        key = (context & _U((1 << 8 * depth) - 1)) << _U(8) | byte
+        order = np.argsort(key)
+        sorted_.append((depth, order, key[order], n[order], byte[order]))
+    for bit in range(8):
+        out, last = {}, None
+        for depth, order, key, count, own_byte in sorted_:
+            k = key >> _U(8 - bit)
+            new = np.append(True, k[1:] != k[:-1])
+            at, cell = np.flatnonzero(new), np.empty(len(k), np.int64)
+            cell[order] = np.cumsum(new) - 1
+            every = np.add.reduceat(count, at)
+            b = np.add.reduceat(count * (own_byte >> _U(7 - bit) & _U(1)).astype(np.int64), at)
+            below = None if last is None else np.bincount(cell[last[5]], last[3], len(at))
+            last = out[depth] = (cell, every - b, b, *_weigh(every - b, b, below), order[at])
+        yield bit, out
+
+
+def _upper(gram: np.ndarray, bit: int) -> np.ndarray:
+    """The cell of depth 1: the last byte before, and the node (a leading one and the bits so far)."""
+    return (gram >> _U(8) & _U(255)).astype(np.int64) << 8 | 1 << bit | (gram & _U(255)).astype(np.int64) >> (8 - bit)
+
+
+def _grouped(grams_: DataFrame, schema: str, run) -> DataFrame:
+    """``run(gram, n)`` on all grams of some two-byte contexts at a time."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for b in found:
+            held.append(tuple(c.to_numpy() for c in b.columns))
+            size += b.num_rows
+            if size < GROUPED:
+                continue
+            c2, gram, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            cut = int(np.searchsorted(c2, c2[-1]))
+            if cut:
+                yield from run(gram[:cut].view(np.uint64), n[:cut])
+            held, size = [(c2[cut:], gram[cut:], n[cut:])], len(c2) - cut
+        if size:
+            _, gram, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield from run(gram.view(np.uint64), n)
+
+    keyed = grams_.select(F.expr("cast(shiftrightunsigned(gram, 8) & 65535 AS int)").alias("c2"), "gram", "n")
+    return keyed.repartition("c2").sortWithinPartitions("c2").mapInArrow(tidy(batches), schema)
+
+
+class Top:
+    """The cells of depth 0 and 1, from the sums for those of depth 1 (zeros, ones, log probability below)."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, below: np.ndarray):
+        one, share = [], []
+        weighted, own = _weigh(a, b, below)
+        a0, b0, below0 = (x.reshape(256, 256).sum(axis=0) for x in (a, b, weighted))
+        _, own0 = _weigh(a0, b0, below0)
+        node = np.arange(1 << 16) & 255
+        one, share = (b0 + 0.5) / (a0 + b0 + 1), np.where(a0 + b0 > 0, own0, 0.0)
+        p, base, rest = np.where(a0 + b0 > 0, one, 0.5)[node], (share * one)[node], (1 - share)[node]
+        one, seen = (b + 0.5) / (a + b + 1), a + b > 0
+        #: By cell of depth 1: the estimate if nothing deeper is seen; with deeper cells it is base + rest * theirs.
+        self.p = np.where(seen, base + rest * one, p)
+        self.base = np.where(seen, base + rest * own * one, base)
+        self.rest = np.where(seen, rest * (1 - own), rest)
+
+
+def _upward(grams_: DataFrame) -> Top:
+    """The sums of all cells of depth 2 by their cell of depth 1: 65,280 rows at most come to the driver."""
+
+    def run(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b, below = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16)
+        for bit, cells in deep_cells(gram, n):
+            _, zeros, ones, weighted, _, first = cells[2]
+            up = _upper(gram[first], bit)
+            np.add.at(a, up, zeros)
+            np.add.at(b, up, ones)
+            np.add.at(below, up, weighted)
+        used = np.flatnonzero(a + b)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(a[used]), pa.array(b[used]), pa.array(below[used])], names=["cell", "a", "b", "below"])
+
+    sums = _grouped(grams_, "cell int, a long, b long, below double", run).groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).toArrow()
+    a, b, below = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16)
+    for x, name in ((a, "a"), (b, "b"), (below, "below")):
+        x[sums["cell"].to_numpy()] = sums[name].to_numpy()
+    return Top(a, b, below)
+
+
+def gram_table(grams_: DataFrame, top: Top) -> DataFrame:
+    """(gram, n, log) from (gram, n): log10 of the byte after the bytes before it, of grams seen and not seen."""
+    shared = grams_.sparkSession.sparkContext.broadcast(top)
+
+    def run(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        up, log = shared.value, np.zeros(len(gram))
+        for bit, cells in deep_cells(gram, n):
+            at = _upper(gram, bit)
+            p, base, rest = up.p[at], up.base[at], up.rest[at]
+            for depth in range(2, DEPTH + 1):
+                cell, a, b, _, share, _ = cells[depth]
+                one, seen = ((b + 0.5) / (a + b + 1))[cell], (a + b > 0)[cell]
+                p = np.where(seen, base + rest * one, p)
+                share = np.where(seen, share[cell], 0.0)
+                base, rest = base + rest * share * one, rest * (1 - share)
+            log += np.log10(np.where(gram >> _U(7 - bit) & _U(1) == 1, p, 1 - p))
+        for lo in range(0, len(gram), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (gram.view(np.int64), n, log)], names=["gram", "n", "log"])
+
+    return _grouped(grams_, "gram long, n long, log double", run)
+
+
+def _of_texts(values: np.ndarray, begins: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The text's value at each place of a stretch of the stream."""
+    first, upto = max(int(np.searchsorted(begins, lo, "right")) - 1, 0), int(np.searchsorted(begins, hi))
+    return np.repeat(values[first:upto], np.diff(np.clip(np.append(begins[first:upto], hi), lo, hi)))
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return [key[at]], [np.add.reduceat(n, at) if len(at) else n]
+
+
+def corpus_counts(rows: DataFrame) -> DataFrame:
+    """From ``rows(text, learn)``: (gram, null, n) and (null, word, n), n over the rows to learn from; the end is the empty word.
+
+    Words are listed only if they are learnt, grams of all rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held, names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, ["gram", "word", "n"]
         for batch in batches:
-            gram = batch.column(0).to_numpy().view(np.uint64)
-            for bit in range(8):
-                hit = (gram >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(gram), bit, np.int32)), pa.array(cells_of(gram, depth, bit).view(np.int64)), pa.array(hit)], names=["gram", "bit", "cell", "hit"])
-
-    return grams_.select("gram").mapInArrow(tidy(run), "gram long, bit int, cell long, hit boolean")
-
-
-def _logs(grams_: DataFrame, cells: list[DataFrame], depths: range) -> DataFrame:
-    """(gram, log) of distinct grams: log10 of the last byte after the bytes before it; grams without any seen cell have no row."""
-    found = None
-    for depth in depths:
-        known = cells[depth].select("cell", "p")
-        part = _bit_cells(grams_, depth).join(F.broadcast(known) if depth < 2 else known, "cell")  # fewer than 2 ** 16 cells
-        part = part.select("gram", "bit", F.lit(depth).alias("depth"), F.when(F.col("hit"), F.col("p")).otherwise(1 - F.col("p")).alias("p"))
-        found = part if found is None else found.union(part)
-    if len(depths) > 1:
-        found = found.groupBy("gram", "bit").agg(F.max_by("p", "depth").alias("p"))
-    return found.groupBy("gram").agg((F.sum(F.log10("p")) + (8 - F.count("*")) * F.lit(_HALF)).alias("log"))
-
-
-def build(scratch: Scratch, training: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """All cells by depth, as (cell, p, base, rest), and (gram, n, log) of all training grams."""
-    counts = scratch.keep(_gram_counts(training), "grams")
-    level, kept = _deepest(counts).withColumn("below", F.lit(0.0)), []
-    for depth in range(DEPTH, -1, -1):
-        kept.append(scratch.keep(_weigh(level, depth == DEPTH), "level"))
-        if depth:
-            level = _parents(kept[-1], depth)
-    cells = []
-    for depth, level in enumerate(reversed(kept)):
-        cells.append(scratch.keep(_descend(level, cells[-1] if depth else None, depth), "cells"))
-    scratch.drop(*kept)
-    return cells, scratch.keep(counts.join(_logs(counts, cells, range(DEPTH, DEPTH + 1)), "gram").select("gram", "n", "log"), "learnt")
-
-
-def gram_logs(gram: np.ndarray, cells: list[DataFrame], learnt: DataFrame) -> np.ndarray:
+            every, bounds = text_bytes(batch.column(0))
+            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for top, bottom in parts(bounds, PART):
+                data, offsets, learn = every[bounds[top] : bounds[bottom]], bounds[top : bottom + 1] - bounds[top], flags[top:bottom]
+                out, real, begins = stream(data, offsets)
+                for lo in range(0, len(real), BLOCK):
+                    hi = min(lo + BLOCK, len(real))
+                    learnt = _of_texts(learn, begins, lo, hi)
+                    g = (grams_at(out, lo, hi) << _U(1) | learnt)[real[lo:hi]]
+                    g.sort()
+                    at = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+                    n = np.diff(np.append(at, len(g)))
+                    n[g[at] & _U(1) == 0] = 0
+                    keys.append(g[at] >> _U(1))
+                    counts.append(n)
+                    held += len(at)
+                    if held >= HELD:
+                        keys, counts = _added(keys, counts)
+                        held = 0
+                if learn.any():
+                    low = LOWER[data]
+                    starts, ends = word_bounds(low, offsets)
+                    mine = np.repeat(learn, np.diff(np.searchsorted(starts, offsets)))
+                    starts, ends = starts[mine], ends[mine]
+                    first, number = distinct(word_keys(low, starts, ends))
+                    words = pa.concat_arrays([binary_array(low, starts[first], ends[first]), pa.array([b""], pa.binary())])
+                    n = pa.array(np.append(np.bincount(number, minlength=len(first)), learn.sum()).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), words, n], names=names)
+        key, n = _added(keys, counts)
+        for lo in range(0, len(key[0]), 100_000):
+            part = pa.array(key[0][lo : lo + 100_000].view(np.int64))
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.binary()), pa.array(n[0][lo : lo + 100_000])], names=names)
+
+    return rows.select("text", "learn").mapInArrow(tidy(run), "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+
+
+def build(scratch: Scratch, training: DataFrame) -> tuple[DataFrame, Top]:
+    """The counts of all grams of ``training``, and the cells of depth 0 and 1."""
+    counts = corpus_counts(training.select("text", F.lit(True).alias("learn")))
+    seen = scratch.keep(counts.where("word IS NULL").select("gram", "n"), "grams")
+    return seen, _upward(seen)
+
+
+def gram_logs(gram: np.ndarray, seen: DataFrame, top: Top) -> np.ndarray:
     """log10 of the probability of each gram's last byte after the bytes before it, for a few grams."""
-    asked = learnt.sparkSession.createDataFrame([(int(g),) for g in np.unique(gram)], "gram long")
-    logs = dict(_logs(asked, cells, range(DEPTH + 1)).collect())
-    return np.array([logs.get(int(g), 8 * _HALF) for g in gram])
+    asked = seen.sparkSession.createDataFrame([(int(g), 0) for g in np.unique(gram)], "gram long, n long")
+    every = gram_table(seen.union(asked).groupBy("gram").agg(F.sum("n").alias("n")), top)
+    logs = {r.gram: r.log for r in every.join(asked.select("gram"), "gram", "left_semi").collect()}
+    return np.array([logs[int(g)] for g in gram])
 
 
 def _most_frequent(learnt: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, n, log) of the training grams of at least some count, sorted by gram; ``KNOWN`` at most."""
-    step = F.floor(F.log2("n") * 8)
+    """(gram, n, log) of the grams of at least some count; ``KNOWN`` at most."""
+    step = F.floor(F.log2(F.col("n") + 1) * 8)
     total, least = 0, None
     for r in learnt.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred rows
         total += r["count"]
@@ -217,127 +302,102 @@ def _most_frequent(learnt: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
         least = r["step"]
     got = learnt.where(step >= least if least is not None else F.lit(False)).toArrow()
     gram, n, log = (got[c].to_numpy() for c in ("gram", "n", "log"))
-    order = np.argsort(gram)
-    return gram[order].astype(np.uint64), n[order], log[order]
-
-
-class Known:
-    """Log probabilities by gram: by a table of slots, and by search for those whose slot has another key."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, logs: np.ndarray):
-        self.keys, self.logs = keys, logs
-        self.index = np.zeros(1 << SLOT_BITS, np.int32)
-        order = np.argsort(n, kind="stable")  # the most frequent of a slot comes last and stays
-        self.index[slots(keys[order])] = order
-
-    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The log of each gram, zero where it isn't known, and the positions of those."""
-        if not len(self.keys):
-            return np.zeros(len(gram)), np.arange(len(gram))
-        at = self.index[slots(gram)]
-        other = np.flatnonzero(self.keys[at] != gram)
-        at[other] = np.minimum(np.searchsorted(self.keys, gram[other]), len(self.keys) - 1)
-        absent = other[self.keys[at[other]] != gram[other]]
-        out = self.logs[at]
-        out[absent] = 0
-        return out, absent
-
-
-def score_texts(texts: list[str | None], known: Known) -> tuple[list[float], list[list[np.ndarray]], list[list[np.ndarray]]]:
-    """Of each text the log10 probability of its known grams, and its other grams with their counts, in parts."""
-    total, block, owner, held = np.zeros(len(texts)), [], [], 0
-    others, counts = [[] for _ in texts], [[] for _ in texts]
-
-    def add() -> None:
-        every, starts = np.concatenate(block), np.cumsum([0, *(len(b) for b in block[:-1])])
-        logs, absent = known.find(every)
-        np.add.at(total, owner, np.add.reduceat(logs, starts))
-        cuts = np.searchsorted(absent, [*starts, len(every)])
-        for i, lo, hi in zip(owner, cuts, cuts[1:], strict=False):
-            if lo < hi:
-                keys, n = np.unique(every[absent[lo:hi]], return_counts=True)
-                others[i].append(keys.view(np.int64))
-                counts[i].append(n)
-
-    for i, text in enumerate(texts):
-        g = grams(text)
-        for at in range(0, len(g), BLOCK):
-            block.append(g[at : at + BLOCK])
-            owner.append(i)
-            held += len(block[-1])
-            if held >= BLOCK:
-                add()
-                block, owner, held = [], [], 0
-    if block:
-        add()
-    return total.tolist(), others, counts
-
-
-def _lists(parts: list[list[np.ndarray]]) -> pa.Array:
-    flat = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64), pa.int64()))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): the training tokens of all of ``docs``; a task holds the distinct words of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c: Counter[bytes] = Counter()
-            for text in b.column(0).to_pylist():
-                c.update(tokens(text))
-            yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def score_documents(docs: DataFrame, training: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with n_tokens, n_known, train_tokens, base_score and score, learnt from ``training``."""
+    return gram.astype(np.uint64), n, log
+
+
+def _gram_keys(gram: np.ndarray) -> np.ndarray:
+    return np.stack([gram, mixed(gram * _U(0x9E3779B97F4A7C15))])
+
+
+def _per_text(owner: np.ndarray, values: np.ndarray, texts: int) -> pa.Array:
+    """Values in the order of their texts, as one list a text."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=texts))).astype(np.int32)), values)
+
+
+class Scorer:
+    """What a scoring task knows: some words' and some grams' log probabilities."""
+
+    def __init__(self, words: np.ndarray, word_n: np.ndarray, end_n: int, gram: np.ndarray, n: np.ndarray, log: np.ndarray):
+        self.words, self.grams, self.end_n = Lookup(words, word_n), Lookup(_gram_keys(gram), n), end_n
+        self.word_logs, self.gram_logs = np.log10(word_n + 1.0)[self.words.order], log[self.grams.order]
+        self.words.order = self.grams.order = None  # it is sent to all tasks
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        """Of each text: tokens, how many of them the task knows, their logs, the log of known grams; the other words, grams and their counts."""
+        size, low = len(offsets) - 1, LOWER[data]
+        starts, ends = word_bounds(low, offsets)
+        n_words = np.diff(np.searchsorted(starts, offsets))
+        owner = np.repeat(np.arange(size), n_words)
+        at = self.words.find(word_keys(low, starts, ends))
+        rare, found = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
+        said = np.bincount(owner[found], self.word_logs[at[found]], size) + math.log10(self.end_n + 1)
+        known = np.bincount(owner[found], minlength=size) + (self.end_n > 0)
+        score, keys, counts, owners = np.zeros(size), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out, real, begins = stream(data, offsets)
+        for lo in range(0, len(real), BLOCK):
+            hi = min(lo + BLOCK, len(real))
+            mine, g = _of_texts(np.arange(size), begins, lo, hi)[real[lo:hi]], grams_at(out, lo, hi)[real[lo:hi]]
+            at = self.grams.find(_gram_keys(g))
+            here, other = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            score += np.bincount(mine[here], self.gram_logs[at[here]], size)
+            order = other[np.lexsort((g[other], mine[other]))]
+            g, mine = g[order], mine[order]
+            new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (mine[1:] != mine[:-1]))[: len(g)])
+            keys.append(g[new])
+            owners.append(mine[new])
+            counts.append(np.diff(np.append(new, len(g))))
+        keys, counts, owners = (np.concatenate(x) for x in (keys, counts, owners))
+        numbers = [pa.array(x) for x in ((n_words + 1).astype(np.int64), known.astype(np.int64), said, score)]
+        return [*numbers, _per_text(owner[rare], binary_array(low, starts[rare], ends[rare]), size), _per_text(owners, pa.array(keys.view(np.int64)), size), _per_text(owners, pa.array(counts.astype(np.int64)), size)]
+
+
+def score_documents(docs: DataFrame, training: DataFrame | Column, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``docs`` with n_tokens, n_known, train_tokens, base_score and score.
+
+    It learns from the rows of ``training(text)``, or from those rows of ``docs`` for which the column holds.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    words = scratch.keep(word_counts(training), "words")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = {bytes(r[0]): math.log10(r[1] + 1) for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
-    cells, learnt = build(scratch, training)
-    shared = spark.sparkContext.broadcast((top, *_most_frequent(learnt)))
+    if isinstance(training, Column):
+        rows = docs.select("text", F.coalesce(training, F.lit(False)).alias("learn"))
+    else:
+        rows = docs.select("text", F.lit(False).alias("learn")).union(training.select("text", F.lit(True)))
+    counts = scratch.keep(corpus_counts(rows), "counts")
+    words, seen = counts.where("word IS NOT NULL").select("word", "n"), counts.where("word IS NULL").select("gram", "n")
+    total, v, end = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0))).first()
+    sent = words.where(F.octet_length("word").between(1, LONGEST_SENT)).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    data, offsets = text_bytes(sent["word"].combine_chunks())
+    known = word_keys(data, offsets[:-1], offsets[1:]), sent["n"].to_numpy()
+    learnt = scratch.keep(gram_table(seen, _upward(seen)), "learnt")
+    shared = spark.sparkContext.broadcast(Scorer(*known, end, *_most_frequent(learnt)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, *arrays = shared.value
-        known = Known(*arrays)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts, rows = batch.column(batch.num_columns - 1).to_pylist(), []
-            scores, others, counts = score_texts(texts, known)
-            for text, score in zip(texts, scores, strict=True):
-                said = tokens(text)
-                logs = [frequent.get(w) for w in said]
-                rare = [w for w, x in zip(said, logs, strict=True) if x is None]
-                rows.append((row, len(said), len(said) - len(rare), math.fsum(x for x in logs if x is not None), score, rare))
-                row += 1
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-            arrays = [*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))]
-            yield pa.RecordBatch.from_arrays([*arrays, _lists(others), _lists(counts)], names=[*batch.schema.names[:-1], "row", "n_tokens", "known", "logs", "score", "rare", "others", "counts"])
+            data, bounds = text_bytes(batch.column(batch.num_columns - 1))
+            for lo, hi in parts(bounds, PART):
+                found = shared.value.score(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                rows = pa.array(np.arange(row, row + hi - lo))
+                row += hi - lo
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], rows, *found], names=[*batch.schema.names[:-1], "row", "n_tokens", "known", "logs", "score", "rare", "others", "counts"])
 
     chosen = docs.select(*keep, "text")
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     scored = chosen.mapInArrow(tidy(run), f"{head}, row long, n_tokens long, known long, logs double, score double, rare array<binary>, others array<long>, counts array<long>")
     scored = scratch.keep(scored, "scored")
-    rare = scored.select("row", F.explode("rare").alias("word"))
-    found = rare.join(words, "word").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("l"))
-    found = found.withColumnRenamed("row", "of")
-    base = F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    # Grams that weren't sent: from the table of training grams, or from the cells where training never had them.
-    other = scratch.keep(scored.select("row", F.explode(F.arrays_zip("others", "counts")).alias("x")).select("row", F.col("x.others").alias("gram"), F.col("x.counts").alias("times")), "other")
-    logs, asked = learnt.select("gram", "log"), other.select("gram").distinct()
-    logs = scratch.keep(asked.join(logs, "gram").union(_logs(scratch.keep(asked.join(logs, "gram", "left_anti"), "unseen"), cells, range(DEPTH + 1)).select("gram", "log")), "logs")
-    more = other.join(logs, "gram", "left").groupBy(F.col("row").alias("in")).agg(F.sum(F.col("times") * F.coalesce("log", F.lit(8 * _HALF))).alias("more"))
-    out = scored.join(found, F.col("row") == F.col("of"), "left").join(more, F.col("row") == F.col("in"), "left")
-    return out.select(*keep, "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    word = scored.select("row", F.explode("rare").alias("word")).join(words, "word")
+    word = word.select("row", F.lit(1).alias("k"), F.log10(F.col("n") + 1).alias("l"), F.lit(0.0).alias("more"))
+    gram = scored.select("row", F.explode(F.arrays_zip("others", "counts")).alias("x")).select("row", F.col("x.others").alias("gram"), F.col("x.counts").alias("times"))
+    gram = gram.join(learnt.select("gram", "log"), "gram").select("row", F.lit(0).alias("k"), F.lit(0.0).alias("l"), (F.col("times") * F.col("log")).alias("more"))
+    rest = word.union(gram).groupBy(F.col("row").alias("of")).agg(F.sum("k").alias("k"), F.sum("l").alias("l"), F.sum("more").alias("more"))
+    zero = lambda name: F.coalesce(name, F.lit(0.0))
+    base = F.col("logs") + zero("l") - F.col("n_tokens") * F.lit(math.log10(total + v + 1))
+    out = scored.join(rest, F.col("row") == F.col("of"), "left")
+    return out.select(*keep, "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + zero("more")).alias("score"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` scored by a model of those whose crc32 of the id is not 2 modulo 7."""
     held = F.coalesce(crc_remainder(F.col("doc_id"), 7) == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
-    return score_documents(docs, docs.where("NOT held_out"), ["doc_id", "held_out"])
+    return score_documents(docs, ~F.col("held_out"), ["doc_id", "held_out"])
