@@ -1,19 +1,23 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A block of texts is cut into units that no piece of the vocabulary crosses (a run of space marks and what follows
-it). The units not met before are concatenated and indexed by a suffix array, truncated to the longest piece, by
-prefix doubling; every piece is binary-searched for its range of suffixes; ranges are unrolled to edges, sorted by
-where they end, and relaxed in step over all units. For a unigram model relaxing keeps the best sum of scores. For
-a BPE model an edge holds if its piece may follow the last piece of the text before it, that is if merging the
-two pieces' text gives just those two; every position has one such edge, so the path is that of the merges.
-Characters without a piece become one piece a byte.
-
-The model file is read on the driver, parsed, and sent to the tasks, which see no local file. Units already
-encoded are kept in a worker's table of at most ``MOST_UNITS``; a full table is emptied, which changes no result.
+it), as arrays over the block's bytes. The block's distinct units that were not met before are concatenated and
+indexed by a suffix array, truncated to the longest piece, by prefix doubling; every piece is binary-searched for its
+range of suffixes; ranges are unrolled to edges, sorted by where they end, and relaxed in step over all units, which
+are cut once more wherever no edge crosses. For a unigram model relaxing keeps the best sum of scores. For a BPE
+model an edge holds if its piece may follow the last piece of the text before it, that is if merging the two pieces'
+text gives just those two; every position has one such edge, so the path is that of the merges. Characters without
+a piece become one piece a byte.
+
+Units are told apart by numbers (``word_blocks``), and every text's pieces are decoded and held against the text's
+bytes: a text that they don't give back is encoded again by itself. The model file is read on the driver, parsed, and
+sent to the tasks, which see no local file. Units already encoded are kept in a worker's table of at most
+``MOST_UNITS``; a full table is emptied, which changes no result.
 
 Defined results: a null text is empty and has no piece; decoding gives the text back but for the mark U+2581,
 which the format itself turns into a space; repeated rows are encoded each; an empty table gives an empty result;
-other columns are ignored by ``encode_documents``.
+other columns are ignored by ``encode_documents``. Models with a character map or with user-defined pieces are
+refused.
 """
 
 from __future__ import annotations
@@ -30,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from orderweave.llm.common import table, tidy
+from orderweave.llm.word_blocks import Lookup, distinct, parts, slices, text_bytes, word_keys
 
 MODEL_FILE = os.environ.get("ORDERWEAVE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-BLOCK_ROWS, BLOCK_CHARS, UNITS_AT_ONCE, MOST_UNITS = 800, 4_000_000, 40_000, 400_000
+PART = 1 << 22  # bytes of text encoded at once, or one text
+CHARS_AT_ONCE, MOST_UNITS, MOST_IDS = 500_000, 400_000, 1 << 23
 # Numbers of the model format.
 UNIGRAM, BPE = 1, 2
-NORMAL, UNKNOWN, BYTE = 1, 2, 6
+NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -85,6 +91,8 @@ class PieceModel:
                 if f.get(2):
                     raise ValueError("models with a character map are not supported")
                 self.prefix, self.squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
+        if USER_DEFINED in self.kinds:
+            raise ValueError("models with user-defined pieces are not supported")
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
@@ -102,6 +110,41 @@ class PieceModel:
         text = self.normalise(text)
         return (re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", text) if self.splits else [text]) if text else []
 
+    def normalised(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``normalise`` for the bytes of many texts; a mark is one byte, a space."""
+        begins = offsets[:-1][offsets[1:] > offsets[:-1]]
+        if self.squeeze:
+            space = data == 32
+            after = np.append(True, space[:-1])[: len(data)]
+            after[begins] = True
+            data, offsets = _without(data, offsets, np.flatnonzero(space & after))
+            last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+            data, offsets = _without(data, offsets, last[data[last] == 32])
+        mark = _marks(data)
+        if len(mark):
+            data = data.copy()
+            data[mark] = 32
+            data, offsets = _without(data, offsets, np.concatenate([mark + 1, mark + 2]))
+        if self.prefix:
+            full = offsets[1:] > offsets[:-1]
+            offsets = offsets + np.append(0, np.cumsum(full))
+            out, text = np.full(offsets[-1], 32, np.uint8), np.ones(offsets[-1], bool)
+            text[offsets[:-1][full]] = False
+            out[text] = data
+            data = out
+        return data, offsets
+
+    def unit_bounds(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the units of ``normalised`` texts begin and end."""
+        begins = offsets[:-1][offsets[1:] > offsets[:-1]]
+        if self.splits:
+            space = data == 32
+            first = space.copy()
+            first[1:] &= ~space[:-1]
+            first[begins] = True
+            begins = np.flatnonzero(first)
+        return begins, np.append(begins[1:], len(data))[: len(begins)]
+
     def merge_tree(self, piece: str) -> tuple | None:
         """How a piece's characters merge, best-scored neighbours first and leftmost among equals: nested (id, left, right); None if not to one."""
         nodes = [(self.ids.get(c, -1), None, None) for c in piece]
@@ -120,6 +163,19 @@ class PieceModel:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+def _marks(data: np.ndarray) -> np.ndarray:
+    a, b, c = MARK.encode()
+    return np.flatnonzero((data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)) if len(data) > 2 else np.zeros(0, np.int64)
+
+
+def _without(data: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(places):
+        return data, offsets
+    stay = np.ones(len(data), bool)
+    stay[places] = False
+    return data[stay], offsets - np.searchsorted(np.sort(places), offsets)
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes in the order of their first ``depth`` numbers at least, by prefix doubling."""
     n, rank, width = len(text), np.unique(text, return_inverse=True)[1].astype(np.int64), 1
@@ -214,18 +270,6 @@ class Neighbours:
         return ok
 
 
-class _Numbers(dict):
-    """Numbers units as they come; ``fresh`` has those that aren't encoded yet."""
-
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = number = len(self)
-        self.fresh.append(unit)
-        return number
-
-
 class Encoder:
     """Encodes blocks of texts; keeps what it knows of units."""
 
@@ -239,46 +283,80 @@ class Encoder:
             self.rows[r, : len(p)] = list(map(ord, p))
         self.lengths = np.array([len(p) for p, _ in use])
         self.scores = np.array(model.scores)
+        raw = [r.replace(MARK.encode(), b" ") for r in model.raw]
+        self.raw, self.raw_at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
         self.pair_keys = np.full(1 << 20, -1, np.int64)
         self.pair_values = np.zeros(1 << 20, bool)
         self._empty()
 
     def _empty(self) -> None:
-        self.known = _Numbers()
+        self.keys = np.zeros((4, 0), np.uint64)
+        self.known = Lookup(self.keys)
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        out: list[np.ndarray] = []
-        block, held = [], 0
-        for text in texts:
-            units = self.model.units(text or "")
-            block.append(units)
-            held += len(text or "")
-            if held >= BLOCK_CHARS:
-                out += self._block(block)
-                block, held = [], 0
-        return out + self._block(block)
-
-    def _block(self, block: list[list[str]]) -> list[np.ndarray]:
-        if len(self.known) > MOST_UNITS:
+        ids, at, *_ = self.encode_block(*text_bytes(pa.array(texts, pa.string())))
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a block of texts: the ids and each text's offsets in them, what they decode to, and whether that is the text."""
+        norm, bounds = self.model.normalised(data, offsets)
+        begin, end = self.model.unit_bounds(norm, bounds)
+        keys = word_keys(norm, begin, end)
+        first, number = distinct(keys)
+        at = self._place(keys[:, first], norm, begin[first], end[first])[number]
+        ids, upto = slices(self.flat, self.starts[at], self.starts[at + 1])
+        ids_at = upto[np.searchsorted(begin, bounds)]
+        back, back_at = self.decode(ids, ids_at)
+        if len(back) != len(norm) or (back != norm).any():
+            lost = [i for i in range(len(bounds) - 1) if back[back_at[i] : back_at[i + 1]].tobytes() != norm[bounds[i] : bounds[i + 1]].tobytes()]
+            alone = {i: self._alone(data[offsets[i] : offsets[i + 1]].tobytes()) for i in lost}
+            every = [alone.get(i, ids[ids_at[i] : ids_at[i + 1]]) for i in range(len(bounds) - 1)]
+            ids, ids_at = np.concatenate(every), np.cumsum([0, *map(len, every)])
+            back, back_at = self.decode(ids, ids_at)
+        if self.model.prefix:
+            begins = back_at[:-1][back_at[1:] > back_at[:-1]]
+            back, back_at = _without(back, back_at, begins[back[begins] == 32])
+        plain, plain_at = data, offsets
+        if len(mark := _marks(data)):
+            plain = data.copy()
+            plain[mark] = 32
+            plain, plain_at = _without(plain, offsets, np.concatenate([mark + 1, mark + 2]))
+        same = np.diff(back_at) == np.diff(plain_at)
+        if not same.all() or (back != plain).any():
+            same = np.array([back[a:b].tobytes() == plain[c:d].tobytes() for a, b, c, d in zip(back_at[:-1], back_at[1:], plain_at[:-1], plain_at[1:], strict=True)], bool)
+        return ids, ids_at, back, back_at, same
+
+    def decode(self, ids: np.ndarray, ids_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of many texts' ids one after another, a mark as a space, and each text's offsets in them."""
+        back, upto = slices(self.raw, self.raw_at[ids], self.raw_at[ids + 1])
+        return back, upto[ids_at]
+
+    def _place(self, keys: np.ndarray, norm: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place in the table of each distinct unit; encodes those that aren't in it."""
+        if self.keys.shape[1] + len(begin) > MOST_UNITS or len(self.flat) > MOST_IDS:
             self._empty()
-        numbers = [np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)) for units in block]
-        fresh, self.known.fresh = self.known.fresh, []
-        flat, counts = [self.flat], [np.zeros(0, np.int64)]
-        for at in range(0, len(fresh), UNITS_AT_ONCE):
-            ids, each = self._units(fresh[at : at + UNITS_AT_ONCE])
-            flat.append(ids)
-            counts.append(each)
-        self.flat = np.concatenate(flat)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))])
-        out = []
-        for k in numbers:
-            start, count = self.starts[k], self.starts[k + 1] - self.starts[k]
-            upto = np.cumsum(count)
-            at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - (upto - count), count)
-            out.append(self.flat[at])
-        return out
+        found = self.known.find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            raw = memoryview(np.ascontiguousarray(norm))
+            units = [bytes(raw[a:b]).decode("utf-8", "surrogatepass").replace(" ", MARK) for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
+            flat, starts, last = [self.flat], [self.starts], self.starts[-1]
+            for lo, hi in parts(np.cumsum([0, *map(len, units)]), CHARS_AT_ONCE):
+                ids, each = self._units(units[lo:hi])
+                flat.append(ids)
+                starts.append(last + np.cumsum(each))
+                last = starts[-1][-1]
+            self.flat, self.starts = np.concatenate(flat), np.concatenate(starts)
+            self.keys = np.concatenate([self.keys, keys[:, new]], axis=1)
+            self.known = Lookup(self.keys)
+            found = self.known.find(keys)
+        return self.known.order[found]
+
+    def _alone(self, text: bytes) -> np.ndarray:
+        units = self.model.units(text.decode("utf-8", "surrogatepass"))
+        return self._units(units)[0] if units else np.zeros(0, np.int32)
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id) of all occurrences of pieces; a character without a piece has one of id -1."""
@@ -312,10 +390,17 @@ class Encoder:
         """Ids of all units one after another, and how many each has."""
         sizes = np.array([len(u) for u in units])
         text = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32).astype(np.int64)
-        begin = np.cumsum(np.append(0, sizes[:-1] + 1))
-        text[begin + sizes] = -1  # between units, also where a unit has the separator itself
+        whole = np.cumsum(np.append(0, sizes[:-1] + 1))
+        text[whole + sizes] = -1  # between units, also where a unit has the separator itself
         start, end, piece = self._edges(text)
-        step = end - np.repeat(begin, sizes + 1)[start]
+        # A unit falls apart wherever no edge crosses: nothing is merged over such a place.
+        wide = end > start + 1
+        crossing = np.cumsum(np.bincount(start[wide] + 1, minlength=len(text) + 1) - np.bincount(end[wide], minlength=len(text) + 1))
+        real = text >= 0
+        begin = np.flatnonzero(real & ((crossing[:-1] == 0) | ~np.append(False, real[:-1])))
+        stop = np.append(begin[1:], len(text))
+        stop = np.minimum(stop, (whole + sizes)[np.searchsorted(whole, begin, "right") - 1])
+        step = end - np.repeat(begin, np.diff(np.append(begin, len(text))))[start - begin[0]]
         order = np.argsort(step << 32 | end)
         start, end, piece, step = start[order], end[order], piece[order], step[order]
         last, back = np.full(len(text) + 1, -1), np.full(len(text) + 1, -1)
@@ -336,7 +421,8 @@ class Encoder:
                 ok = np.zeros(len(s), bool)
                 ok[top] = True
             last[e[ok]], back[e[ok]] = p[ok], s[ok]
-        return self._walk(text, begin, sizes, last, back)
+        ids, each = self._walk(text, begin, stop - begin, last, back)
+        return ids, np.bincount(np.searchsorted(whole, begin, "right") - 1, each, len(units)).astype(np.int64)
 
     def _walk(self, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, last: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, owner, ends, ids = begin + sizes, np.arange(len(begin)), [], []
@@ -389,27 +475,28 @@ def _encoded(docs: DataFrame, model_file: str, id_col: str, text_col: str, diges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(at, BLOCK_ROWS)
-                texts = batch.column(1).to_pylist()
-                ids = encoder.encode(texts)
-                decoded = [encoder.model.decode(i.tolist()) for i in ids]
-                offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(1))
+            for lo, hi in parts(bounds, PART):
+                ids, ids_at, back, back_at, same = encoder.encode_block(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                key, lists = batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ids_at.astype(np.int32)), pa.array(ids))
                 if not digests:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+                    decoded = pa.Array.from_buffers(pa.string(), hi - lo, [None, pa.py_buffer(back_at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(back))])
+                    yield pa.RecordBatch.from_arrays([key, lists, decoded], names=["doc_id", "ids", "decoded"])
                     continue
-                same = [d == (t or "").replace(MARK, " ") for d, t in zip(decoded, texts, strict=True)]
-                sha = [hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids]
-                back = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(sha, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
+                sha = [_sha(ids.astype("<i4", copy=False), ids_at), _sha(back, back_at)]
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(ids_at).astype(np.int64)), lists, *sha, pa.array(same)], names=["doc_id", "n_pieces", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
     schema = "n_pieces long, ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean" if digests else "ids array<int>, decoded string"
     return chosen.mapInArrow(tidy(run), f"doc_id {kind}, {schema}")
 
 
+def _sha(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    raw = memoryview(np.ascontiguousarray(values))
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
+
+
 def encode_digests(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     """(doc_id, n_pieces, ids, ids_sha256 of little-endian 32-bit ids, decoded_sha256, round_trip)."""
     return _encoded(docs, model_file, "doc_id", "text", digests=True)

@@ -1,5 +1,6 @@
 """Each operator against a plain version, and the defined results for odd rows."""
 
+import functools
 import hashlib
 import math
 import random
@@ -12,7 +13,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from orderweave.llm import chat_format, context_tree, fingerprints, language_id, piece_tokens, quality_rules, repeat_removal, secret_scan, simhash_dedup, source_mixing
+from orderweave.llm import chat_format, context_tree, fingerprints, language_id, piece_tokens, quality_rules, repeat_removal, secret_scan, simhash_dedup, source_mixing, word_blocks
 
 from .helpers import ENGLISH, FRENCH, SCHEMA, digests, documents, prose, rows
 
@@ -99,19 +100,20 @@ def test_fingerprints(spark, bits):
     assert got[900].near_next == 1.0
 
 
-def _tree_probability(training, text):
+def _nodes(g):
+    for bit in range(8):
+        yield bit, (1 << bit) | (g & 255) >> (8 - bit), (g >> (7 - bit)) & 1
+
+
+@functools.cache
+def _tree(training):
     """Context-tree weighting by the book, with a dictionary for cells."""
     depth = context_tree.DEPTH
     counts, children = {}, {}
-
-    def nodes(g):
-        for bit in range(8):
-            yield bit, (1 << bit) | (g & 255) >> (8 - bit), (g >> (7 - bit)) & 1
-
     for t in training:
         for g in context_tree.grams(t).tolist():
             context = g >> 8
-            for _, node, one in nodes(g):
+            for _, node, one in _nodes(g):
                 for d in range(depth + 1):
                     key = (d, context & ((1 << 8 * d) - 1), node)
                     counts.setdefault(key, [0, 0])[one] += 1
@@ -123,15 +125,19 @@ def _tree_probability(training, text):
         own[key] = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
         below = sum(weighted[c] for c in children.get(key, ()))
         weighted[key] = own[key] if key[0] == depth else np.logaddexp(own[key], below) - math.log(2)
-    total = 0.0
+    return counts, own, {k: sum(weighted[c] for c in children.get(k, ())) for k in counts}
+
+
+def _tree_probability(training, text):
+    counts, own, beneath = _tree(tuple(training))
+    depth, total = context_tree.DEPTH, 0.0
     for g in context_tree.grams(text).tolist():
-        for _, node, one in nodes(g):
+        for _, node, one in _nodes(g):
             p, deeper = 0.5, False
             for d in range(depth, -1, -1):
                 key = (d, (g >> 8) & ((1 << 8 * d) - 1), node)
                 if key in counts:
-                    below = sum(weighted[c] for c in children.get(key, ()))
-                    share = math.exp(own[key] - np.logaddexp(own[key], below)) if deeper else 1.0
+                    share = math.exp(own[key] - np.logaddexp(own[key], beneath[key])) if deeper else 1.0
                     a, b = counts[key]
                     p, deeper = share * (b + 0.5) / (a + b + 1) + (1 - share) * p, True
             total += math.log10(p if one else 1 - p)
@@ -167,22 +173,33 @@ def test_lm_without_training(spark):
 
 
 @pytest.mark.parametrize("known", [40, 1 << 20])
-def test_lm_unseen_context_is_not_another_cell(spark, monkeypatch, known):
-    """A context never seen, whose cell has the slot of a training cell; with few grams sent to the tasks, and with all."""
-    monkeypatch.setattr(context_tree, "KNOWN", known, raising=False)
-    training = ["the cat " * 30, "a cat sat"]
-    g = np.concatenate([context_tree.grams(t) for t in training])
-    taken = np.concatenate([context_tree.slots(context_tree.cells_of(g, d, bit)) for d in range(5) for bit in range(8)])
-    letters = np.arange(97, 123, dtype=np.uint64)
-    free = letters[:, None, None, None] << np.uint64(32) | letters[:, None, None] << np.uint64(24) | letters[:, None] << np.uint64(16) | letters << np.uint64(8)
-    free = free.ravel()[~np.isin(free.ravel() >> np.uint64(8), g >> np.uint64(8))] | np.uint64(101)
-    hit = np.concatenate([free[np.isin(context_tree.slots(context_tree.cells_of(free, 4, bit)), taken)][:8] for bit in range(3, 8)])
-    texts = [*training, *(int(x).to_bytes(5, "big").decode() for x in hit), "où the cab"]
-    assert len(hit) >= 20
-    df = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
-    got = {r.doc_id: r.score for r in context_tree.score_documents(df, df.where("doc_id < 2"), ["doc_id"]).collect()}
-    for i, text in enumerate(texts):
-        assert got[i] == pytest.approx(_tree_probability(training, text), rel=1e-4)
+def test_lm_scores_of_unseen_contexts(spark, monkeypatch, known):
+    """Several hundred thousand cells, and texts whose contexts training hardly has; with few grams sent to the tasks, and with all."""
+    monkeypatch.setattr(context_tree, "KNOWN", known)
+    monkeypatch.setattr(context_tree, "BLOCK", 700)
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéü \n") for _ in range(n))
+    training = [noise(2500) for _ in range(10)] + ["the cat " * 300, prose(rnd, ENGLISH, 1000)]
+    texts = [training[0][:400], *(noise(150) for _ in range(4)), "the cat sat " * 5, "où the cab", "漢字" * 20]
+    df = documents(spark, [(i, t, None, None, 0) for i, t in enumerate([*training, *texts])])
+    got = {r.doc_id: r.score for r in context_tree.score_documents(df, df.doc_id < len(training), ["doc_id"]).collect()}
+    for i, text in enumerate(texts, len(training)):
+        assert got[i] == pytest.approx(_tree_probability(tuple(training), text), rel=1e-9)
+
+
+def test_words_of_one_hash_are_told_apart():
+    data = np.frombuffer(b"aa bb aa a\0 a cc aaaaaaaaaaaaaaaaaaaaaa bb aaaaaaaaaaaaaaaaaaaaab", np.uint8)
+    starts, ends = word_blocks.word_bounds(data, np.array([0, len(data)]))
+    keys = word_blocks.word_keys(data, starts, ends)
+    for h in (keys[3], np.full(len(starts), 7, np.uint64)):
+        keys[3] = h
+        first, number = word_blocks.distinct(keys)
+        said = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        assert [said[first[k]] for k in number] == said and len(first) == len(set(said))
+        table = word_blocks.Lookup(keys[:, first])
+        assert [said[first[table.order[k]]] for k in table.find(keys)] == said
+        few = word_blocks.Lookup(keys[:, first[1:3]])
+        assert [k >= 0 for k in few.find(keys)] == [w in (said[first[1]], said[first[2]]) for w in said]
 
 
 CHAT = [
@@ -245,7 +262,7 @@ def test_pieces_match_the_library(spark):
     lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=piece_tokens.MODEL_FILE)
     rnd = random.Random(2)
     odd = ["".join(rnd.choice(["the", " ", "  ", "ing", "漢", "é", "\n", "\0", "==", "12", "Un", "h", "▁", "😀"]) for _ in range(50)) for _ in range(300)]
-    data = [(i, t, None, None, None) for i, t in enumerate([None, "", " ", "a" * 3000, *odd])] + [(10_000 + i, t, *r) for i, t, *r in rows()]
+    data = [(i, t, None, None, None) for i, t in enumerate([None, "", " ", "a" * 3000, "".join(rnd.choice(["漢", "字", "の", "Qx7", "/", "ing", "é"]) for _ in range(400_000)), *odd])] + [(10_000 + i, t, *r) for i, t, *r in rows()]
     got = {r.doc_id: r for r in piece_tokens.encode_documents(documents(spark, data)).collect()}
     for i, text, *_ in data:
         assert got[i].ids == lib.encode(text or "")
