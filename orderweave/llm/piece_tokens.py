@@ -405,7 +405,6 @@ class Encoder:
         start, end, piece, step = start[order], end[order], piece[order], step[order]
         last, back = np.full(len(text) + 1, -1), np.full(len(text) + 1, -1)
         best = np.full(len(text) + 1, -np.inf)
-        best[begin] = 0
         cuts = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step))
         first = np.zeros(len(text) + 1, bool)
         first[begin] = True
@@ -414,7 +413,7 @@ class Encoder:
             if self.model.model == BPE:
                 ok = self._pairs(np.where(first[s], -1, last[s]), p)
             else:
-                total = best[s] + np.where(p >= 0, self.scores[p], self.scores.min() - 10)
+                total = np.where(first[s], 0.0, best[s]) + np.where(p >= 0, self.scores[p], self.scores.min() - 10)
                 o = np.lexsort((total, e))
                 top = o[np.append(e[o][1:] != e[o][:-1], True)]
                 best[e[top]] = total[top]
