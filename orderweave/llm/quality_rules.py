@@ -4,9 +4,10 @@ Each rule is a row of ``RULES``: a measure, a bound on either side, the least nu
 speaks, and the words that the measure counts, if it counts any. ``quality_rules`` turns the table into columns of
 a single ``select``; there is no shuffle, so the work is spread as the scan is and no key can be hot.
 
-Repeated windows are found through numbers: each window's 32-bit hash above its position, sorted as longs. Only
-windows whose hash comes twice are looked at again, and their words are compared; where two of equal hash differ,
-which is rare, the text's windows are sorted by content instead. So the count is exact.
+Repeated windows are found through numbers. A text whose windows' 32-bit hashes are all distinct has none. Of the
+others the hashes, each above its position, are sorted as longs; only windows whose hash comes twice are looked at
+again, and their words are compared; where two of equal hash differ, which is rare, the text's windows are sorted by
+content instead. So the count is exact.
 
 Defined results: a null text counts as empty (no word, fails the base rule); repeated rows are judged each by
 itself; an empty table gives an empty result; columns of the input other than id and text are ignored, so names
@@ -15,6 +16,7 @@ cannot clash; a text of any length is judged whole.
 
 from __future__ import annotations
 
+from itertools import product
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,16 +65,29 @@ def _same_hash(x: Column, y: Column) -> Column:
     return F.coalesce(F.shiftright(x.bitwiseXOR(y), 32) == 0, F.lit(False))
 
 
+def _hashes() -> Column:
+    """A hash for each window; the last two words begin none."""
+    every = F.transform("w", lambda x, i: F.hash(x, F.get("w", i + 1), F.get("w", i + 2)))
+    return F.when(F.col("n") >= 3, F.slice(every, F.lit(1), F.col("n") - 2))
+
+
 def _sorted_hashes() -> Column:
     """A long for each window, sorted: its hash above its position."""
-    high = lambda i: F.shiftleft(F.hash(*_window(i)).cast("long"), 32)
-    return F.when(F.col("n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: high(i).bitwiseOR(i.cast("long")))))
+    return F.sort_array(F.transform("h", lambda x, i: F.shiftleft(x.cast("long"), 32).bitwiseOR(i.cast("long"))))
 
 
 def _position(x: Column) -> Column:
     return x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
+def _among(word: Column, counted: list[str]) -> Column:
+    """Whether a word is one of the list, case aside; of plain ASCII words all spellings are listed, which spares folding the word."""
+    folds = all(w.isascii() and w == w.lower() and "k" not in w for w in counted)  # K has a spelling outside ASCII
+    if not folds or sum(1 << len(w) for w in counted) > 4096:
+        return F.lower(word).isin(counted)
+    return word.isin(sorted({"".join(c) for w in counted for c in product(*zip(w, w.upper(), strict=True))}))
+
+
 def _collide(x: Column, y: Column) -> Column:
     """Whether two windows of equal hash differ in a word."""
     one, two, three = (p != q for p, q in zip(_window(_position(x)), _window(_position(y)), strict=True))
@@ -101,11 +116,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("w", lambda x: F.lower(x).isin(counted))).cast("long").alias("n_stop"),
-        F.size(F.filter("w", lambda x: x.endswith("!!"))).cast("long").alias("n_bang"),
+        F.size(F.filter("w", lambda x: _among(x, counted))).cast("long").alias("n_stop"),
+        F.when(F.col("t").contains("!!"), F.size(F.filter("w", lambda x: x.endswith("!!")))).otherwise(F.lit(0)).cast("long").alias("n_bang"),
     )
     rest = [k for k in c.columns if k not in ("w", "n")]
-    d = c.select(*rest, "w", "n", _sorted_hashes().alias("s"))
+    c = c.select(*rest, "w", "n", _hashes().alias("h"))
+    d = c.select(*rest, "w", "n", F.when(F.size(F.array_distinct("h")) < F.size("h"), _sorted_hashes()).alias("s"))
     twice = F.filter("s", lambda x, k: _same_hash(x, F.get("s", k - 1)) | _same_hash(x, F.get("s", k + 1)))
     e = d.select(*rest, "w", "n", twice.alias("twice"))
     collide = F.exists(F.zip_with("twice", F.slice("twice", 2, F.greatest(F.size("twice"), F.lit(1))), _collide), lambda z: z)
