@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A block of texts is cut into units that no piece of the vocabulary crosses (a run of space marks and what follows
-it), as arrays over the block's bytes. The block's distinct units that were not met before are concatenated and
-indexed by a suffix array, truncated to the longest piece, by prefix doubling; every piece is binary-searched for its
-range of suffixes; ranges are unrolled to edges, sorted by where they end, and relaxed in step over all units, which
+A block of texts is cut into units that no piece of the vocabulary crosses: between two bytes that are neighbours in
+no piece. The block's distinct units that were not met before are concatenated and indexed by a suffix array,
+truncated to the longest piece (the first characters packed to a number, then prefix doubling); every piece is
+binary-searched for its range of suffixes; ranges are unrolled to edges, sorted by where they end, and relaxed in step over all units, which
 are cut once more wherever no edge crosses. For a unigram model relaxing keeps the best sum of scores. For a BPE
 model an edge holds if its piece may follow the last piece of the text before it, that is if merging the two pieces'
 text gives just those two; every position has one such edge, so the path is that of the merges. Characters without
@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from orderweave.llm.common import table, tidy
-from orderweave.llm.word_blocks import Lookup, distinct, parts, slices, text_bytes, word_keys
+from orderweave.llm.word_blocks import Seen, distinct, parts, slices, text_bytes, word_keys
 
 MODEL_FILE = os.environ.get("ORDERWEAVE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 PART = 1 << 22  # bytes of text encoded at once, or one text
-CHARS_AT_ONCE, MOST_UNITS, MOST_IDS = 500_000, 400_000, 1 << 23
+CHARS_AT_ONCE, MOST_UNITS, MOST_IDS = 500_000, 1_500_000, 1 << 23
 # Numbers of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
@@ -97,8 +97,12 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         self.longest = max(map(len, self.ids))
-        #: No piece has a mark after anything else: then texts fall apart before marks.
-        self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        #: By two bytes: whether they are neighbours in some piece (a mark as a space) or in a character.
+        self.joins = np.zeros(1 << 16, bool)
+        self.joins.reshape(256, 256)[:, 0x80:0xC0] = True
+        for p in self.ids:
+            raw = np.frombuffer(p.replace(MARK, " ").encode(), np.uint8).astype(np.int64)
+            self.joins[raw[:-1] << 8 | raw[1:]] = True
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k == NORMAL else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def normalise(self, text: str) -> str:
@@ -106,10 +110,6 @@ class PieceModel:
             text = re.sub(" +", " ", text).strip(" ")
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
-    def units(self, text: str) -> list[str]:
-        text = self.normalise(text)
-        return (re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", text) if self.splits else [text]) if text else []
-
     def normalised(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``normalise`` for the bytes of many texts; a mark is one byte, a space."""
         begins = offsets[:-1][offsets[1:] > offsets[:-1]]
@@ -136,13 +136,11 @@ class PieceModel:
 
     def unit_bounds(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the units of ``normalised`` texts begin and end."""
-        begins = offsets[:-1][offsets[1:] > offsets[:-1]]
-        if self.splits:
-            space = data == 32
-            first = space.copy()
-            first[1:] &= ~space[:-1]
-            first[begins] = True
-            begins = np.flatnonzero(first)
+        pair = data.astype(np.uint16)
+        pair[1:] |= pair[:-1] << np.uint16(8)
+        first = ~self.joins[pair]
+        first[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        begins = np.flatnonzero(first)
         return begins, np.append(begins[1:], len(data))[: len(begins)]
 
     def merge_tree(self, piece: str) -> tuple | None:
@@ -176,28 +174,38 @@ def _without(data: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> tuple
     return data[stay], offsets - np.searchsorted(np.sort(places), offsets)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in the order of their first ``depth`` numbers at least, by prefix doubling."""
-    n, rank, width = len(text), np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    order = np.argsort(rank)
-    while width < depth and n:
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Starts of all suffixes in the order of their first ``depth`` numbers at least; the sorted packed heads, bits a number, numbers a head.
+
+    As many numbers as fit are packed to one to begin with, then prefix doubling goes on. Numbers are small and not negative.
+    """
+    n, bits = len(text), max(1, int(text.max(initial=0)).bit_length())
+    width = min(depth, 63 // bits)
+    padded, head = np.append(text, np.zeros(width, np.int64)), np.zeros(n, np.int64)
+    for k in range(width):
+        head = head << bits | padded[k : k + n]
+    order, size = np.argsort(head), width
+    heads = sorted_ = head[order]
+    while size < depth and n:
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1]))
         after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1
+        after[: max(n - size, 0)] = rank[size:] + 1
         key = rank * (n + 2) + after
         order = np.argsort(key)
-        sorted_ = key[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1]))
-        rank, width = new, width * 2
-    return order
-
-
-def piece_ranges(text: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece (a row, padded with -1) the range of ``order`` whose suffixes begin with it."""
-    n, k = len(order), len(pieces)
-    lo, hi = np.zeros(k, np.int64), np.full(k, n, np.int64)
-    padded = np.append(text, np.full(pieces.shape[1] + 1, -1))
-    for at in range(pieces.shape[1]):
+        sorted_, size = key[order], size * 2
+    return order, heads, bits, width
+
+
+def piece_ranges(text: np.ndarray, order: np.ndarray, heads: np.ndarray, bits: int, width: int, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece (a row, padded with 0) the range of ``order`` whose suffixes begin with it."""
+    n, packed = len(order), np.zeros(len(pieces), np.int64)
+    for k in range(width):
+        packed = packed << bits | (pieces[:, k] if k < pieces.shape[1] else 0)
+    rest = bits * np.maximum(width - lengths, 0)
+    lo, hi = np.searchsorted(heads, packed), np.searchsorted(heads, packed + (np.int64(1) << rest))
+    padded = np.append(text, np.zeros(pieces.shape[1] + 1, np.int64))
+    for at in range(width, pieces.shape[1]):  # longer ones, number by number
         live = np.flatnonzero((lengths > at) & (lo < hi))
         if not len(live):
             break
@@ -277,10 +285,14 @@ class Encoder:
         self.model = model
         self.neighbours = Neighbours(model) if model.model == BPE else None
         use = [(p, i) for p, i in model.ids.items() if self.neighbours is None or self.neighbours.whole[i]]
-        self.rows = np.full((len(use), model.longest), -1, np.int64)
+        #: Numbers of the characters that pieces have; all others are 1, and 0 is what is between units.
+        self.numbers = np.ones(0x110000, np.int32)
+        letters = sorted({ord(c) for p, _ in use for c in p})
+        self.numbers[letters] = np.arange(2, len(letters) + 2)
+        self.rows = np.zeros((len(use), model.longest), np.int64)
         self.row_ids = np.array([i for _, i in use])
         for r, (p, _) in enumerate(use):
-            self.rows[r, : len(p)] = list(map(ord, p))
+            self.rows[r, : len(p)] = self.numbers[list(map(ord, p))]
         self.lengths = np.array([len(p) for p, _ in use])
         self.scores = np.array(model.scores)
         raw = [r.replace(MARK.encode(), b" ") for r in model.raw]
@@ -290,8 +302,7 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.keys = np.zeros((4, 0), np.uint64)
-        self.known = Lookup(self.keys)
+        self.seen = Seen()
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -303,15 +314,13 @@ class Encoder:
         """Of a block of texts: the ids and each text's offsets in them, what they decode to, and whether that is the text."""
         norm, bounds = self.model.normalised(data, offsets)
         begin, end = self.model.unit_bounds(norm, bounds)
-        keys = word_keys(norm, begin, end)
-        first, number = distinct(keys)
-        at = self._place(keys[:, first], norm, begin[first], end[first])[number]
+        at = self._places(word_keys(norm, begin, end), norm, begin, end)
         ids, upto = slices(self.flat, self.starts[at], self.starts[at + 1])
         ids_at = upto[np.searchsorted(begin, bounds)]
         back, back_at = self.decode(ids, ids_at)
         if len(back) != len(norm) or (back != norm).any():
             lost = [i for i in range(len(bounds) - 1) if back[back_at[i] : back_at[i + 1]].tobytes() != norm[bounds[i] : bounds[i + 1]].tobytes()]
-            alone = {i: self._alone(data[offsets[i] : offsets[i + 1]].tobytes()) for i in lost}
+            alone = {i: self._alone(norm[bounds[i] : bounds[i + 1]]) for i in lost}
             every = [alone.get(i, ids[ids_at[i] : ids_at[i + 1]]) for i in range(len(bounds) - 1)]
             ids, ids_at = np.concatenate(every), np.cumsum([0, *map(len, every)])
             back, back_at = self.decode(ids, ids_at)
@@ -333,43 +342,52 @@ class Encoder:
         back, upto = slices(self.raw, self.raw_at[ids], self.raw_at[ids + 1])
         return back, upto[ids_at]
 
-    def _place(self, keys: np.ndarray, norm: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The place in the table of each distinct unit; encodes those that aren't in it."""
-        if self.keys.shape[1] + len(begin) > MOST_UNITS or len(self.flat) > MOST_IDS:
+    def _places(self, keys: np.ndarray, norm: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place in the table of each unit; encodes those that aren't in it."""
+        place = self.seen.find(keys)
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place
+        first, number = distinct(keys[:, new])
+        if len(self.seen) + len(first) > MOST_UNITS or len(self.flat) > MOST_IDS:
             self._empty()
-        found = self.known.find(keys)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            raw = memoryview(np.ascontiguousarray(norm))
-            units = [bytes(raw[a:b]).decode("utf-8", "surrogatepass").replace(" ", MARK) for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
-            flat, starts, last = [self.flat], [self.starts], self.starts[-1]
-            for lo, hi in parts(np.cumsum([0, *map(len, units)]), CHARS_AT_ONCE):
-                ids, each = self._units(units[lo:hi])
-                flat.append(ids)
-                starts.append(last + np.cumsum(each))
-                last = starts[-1][-1]
-            self.flat, self.starts = np.concatenate(flat), np.concatenate(starts)
-            self.keys = np.concatenate([self.keys, keys[:, new]], axis=1)
-            self.known = Lookup(self.keys)
-            found = self.known.find(keys)
-        return self.known.order[found]
-
-    def _alone(self, text: bytes) -> np.ndarray:
-        units = self.model.units(text.decode("utf-8", "surrogatepass"))
-        return self._units(units)[0] if units else np.zeros(0, np.int32)
+            new = np.arange(keys.shape[1])
+            first, number = distinct(keys)
+        place[new] = len(self.seen) + number
+        first = new[first]
+        text, bounds = slices(norm, begin[first], end[first])
+        flat, starts = [self.flat], [self.starts]
+        for lo, hi in parts(bounds, CHARS_AT_ONCE):
+            ids, each = self._units(text[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            flat.append(ids)
+            starts.append(starts[-1][-1] + np.cumsum(each))
+        self.flat, self.starts = np.concatenate(flat), np.concatenate(starts)
+        self.seen.learn(keys[:, first])
+        return place
+
+    def _alone(self, norm: np.ndarray) -> np.ndarray:
+        begin, end = self.model.unit_bounds(norm, np.array([0, len(norm)]))
+        return self._units(norm, np.append(begin, len(norm)))[0] if len(begin) else np.zeros(0, np.int32)
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id) of all occurrences of pieces; a character without a piece has one of id -1."""
-        order = suffix_order(text, self.model.longest)
-        lo, hi = piece_ranges(text, order, self.rows, self.lengths)
+        used = np.flatnonzero(np.bincount(text, minlength=2))
+        small = np.zeros(int(self.numbers.max()) + 1, np.int64)
+        small[used] = np.arange(len(used)) if used[0] == 0 else np.arange(1, len(used) + 1)
+        there = np.zeros(len(small), bool)
+        there[used] = there[0] = True
+        live = np.flatnonzero(there[self.rows].all(axis=1))
+        dense, rows, lengths = small[text], small[self.rows[live]], self.lengths[live]
+        order, *heads = suffix_order(dense, self.model.longest)
+        lo, hi = piece_ranges(dense, order, *heads, rows, lengths)
         count = hi - lo
         upto = np.cumsum(count)
         at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(lo - (upto - count), count)
-        start, row = order[at], np.repeat(np.arange(len(lo)), count)
+        start, row = order[at], np.repeat(live, count)
         end, piece = start + self.lengths[row], self.row_ids[row]
         bare = np.ones(len(text), bool)
         bare[start[end == start + 1]] = False
-        bare = np.flatnonzero(bare & (text >= 0))
+        bare = np.flatnonzero(bare & (text > 0))
         return np.concatenate([start, bare]), np.concatenate([end, bare + 1]), np.concatenate([piece, np.full(len(bare), -1)])
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -386,22 +404,25 @@ class Encoder:
             self.pair_keys[slot[missing]], self.pair_values[slot[missing]] = key[missing], said[where]
         return free | value
 
-    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units one after another, and how many each has."""
-        sizes = np.array([len(u) for u in units])
-        text = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32).astype(np.int64)
+    def _units(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units (their bytes, a mark as a space) one after another, and how many each has."""
+        code = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code[code == 32] = ord(MARK)
+        sizes = np.add.reduceat((raw & 0xC0) != 0x80, bounds[:-1], dtype=np.int64)
         whole = np.cumsum(np.append(0, sizes[:-1] + 1))
-        text[whole + sizes] = -1  # between units, also where a unit has the separator itself
+        text, codes, inside = np.zeros(len(code) + len(sizes), np.int64), np.zeros(len(code) + len(sizes), np.int64), np.ones(len(code) + len(sizes), bool)
+        inside[whole + sizes] = False
+        text[inside], codes[inside] = self.numbers[code], code
         start, end, piece = self._edges(text)
         # A unit falls apart wherever no edge crosses: nothing is merged over such a place.
         wide = end > start + 1
         crossing = np.cumsum(np.bincount(start[wide] + 1, minlength=len(text) + 1) - np.bincount(end[wide], minlength=len(text) + 1))
-        real = text >= 0
+        real = text > 0
         begin = np.flatnonzero(real & ((crossing[:-1] == 0) | ~np.append(False, real[:-1])))
         stop = np.append(begin[1:], len(text))
         stop = np.minimum(stop, (whole + sizes)[np.searchsorted(whole, begin, "right") - 1])
         step = end - np.repeat(begin, np.diff(np.append(begin, len(text))))[start - begin[0]]
-        order = np.argsort(step << 32 | end)
+        order = np.argsort(step.astype(np.uint16) if int(step.max(initial=0)) < 1 << 16 else step, kind="stable")
         start, end, piece, step = start[order], end[order], piece[order], step[order]
         last, back = np.full(len(text) + 1, -1), np.full(len(text) + 1, -1)
         best = np.full(len(text) + 1, -np.inf)
@@ -420,8 +441,8 @@ class Encoder:
                 ok = np.zeros(len(s), bool)
                 ok[top] = True
             last[e[ok]], back[e[ok]] = p[ok], s[ok]
-        ids, each = self._walk(text, begin, stop - begin, last, back)
-        return ids, np.bincount(np.searchsorted(whole, begin, "right") - 1, each, len(units)).astype(np.int64)
+        ids, each = self._walk(codes, begin, stop - begin, last, back)
+        return ids, np.bincount(np.searchsorted(whole, begin, "right") - 1, each, len(sizes)).astype(np.int64)
 
     def _walk(self, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, last: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, owner, ends, ids = begin + sizes, np.arange(len(begin)), [], []

@@ -147,3 +147,31 @@ class Lookup:
         for mine, want in zip(self.keys[:-1], keys[:-1], strict=True):
             same &= mine[at] == want
         return same
+
+
+class Seen:
+    """A growing table of keys, made of parts, each at least twice as large as the next."""
+
+    def __init__(self) -> None:
+        self.keys, self.tables = np.zeros((4, 0), np.uint64), []
+
+    def __len__(self) -> int:
+        return self.keys.shape[1]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, counted as they came, or -1."""
+        place, left = np.full(keys.shape[1], -1, np.int64), np.arange(keys.shape[1])
+        for _, first, table in self.tables:
+            at = table.find(keys if len(left) == keys.shape[1] else keys[:, left])
+            hit = at >= 0
+            place[left[hit]] = first + table.order[at[hit]]
+            left = left[~hit]
+        return place
+
+    def learn(self, keys: np.ndarray) -> None:
+        """Adds keys, which are distinct and not there yet."""
+        first = len(self)
+        self.keys = np.concatenate([self.keys, keys], axis=1)
+        while self.tables and self.tables[-1][0] < 2 * (len(self) - first):
+            first = self.tables.pop()[1]
+        self.tables.append((len(self) - first, first, Lookup(self.keys[:, first:])))
