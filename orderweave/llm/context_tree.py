@@ -35,14 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderweave.llm.common import Scratch, crc_remainder, table, tidy
-from orderweave.llm.word_blocks import LOWER, Lookup, binary_array, distinct, loads, mixed, parts, text_bytes, word_bounds, word_keys
+from orderweave.llm.word_blocks import LOWER, Lookup, Seen, binary_array, distinct, loads, mixed, parts, text_bytes, word_bounds, word_keys
 
 DEPTH = 4
-FREQUENT, KNOWN = 1 << 16, 1 << 21
+FREQUENT, KNOWN = 1 << 19, 1 << 21
 LONGEST_SENT = 64  # bytes of a word that is sent to all tasks
 BLOCK = 1 << 21  # bytes whose grams are counted or scored at once
 PART = 1 << 23  # bytes of text whose words are, or one text
-HELD = 1 << 22  # distinct grams that a task holds before it adds them up
+HELD, HELD_WORDS = 1 << 22, 1 << 20  # distinct grams that a task holds before it adds them up, and distinct words before it passes them on
 GROUPED = 1 << 19  # grams worked out together, unless one two-byte context has more
 _HALF = math.log10(0.5)
 _END = 0xFF
@@ -223,6 +223,39 @@ def _of_texts(values: np.ndarray, begins: np.ndarray, lo: int, hi: int) -> np.nd
     return np.repeat(values[first:upto], np.diff(np.clip(np.append(begins[first:upto], hi), lo, hi)))
 
 
+class _Words:
+    """Counts the words of a task."""
+
+    def __init__(self) -> None:
+        self.seen, self.words, self.n, self.ends = Seen(), [], np.zeros(0, np.int64), 0
+
+    def add(self, data: np.ndarray, offsets: np.ndarray, learn: np.ndarray) -> None:
+        low = LOWER[data]
+        starts, ends = word_bounds(low, offsets)
+        if not learn.all():
+            mine = np.repeat(learn, np.diff(np.searchsorted(starts, offsets)))
+            starts, ends = starts[mine], ends[mine]
+        keys = word_keys(low, starts, ends)
+        at = self.seen.find(keys)
+        new = np.flatnonzero(at < 0)
+        first, number = distinct(keys[:, new])
+        at[new] = len(self.seen) + number
+        first = new[first]
+        self.seen.learn(keys[:, first])
+        self.words.append(binary_array(low, starts[first], ends[first]))
+        self.n = np.bincount(at, minlength=len(self.seen)) + np.append(self.n, np.zeros(len(first), np.int64))
+        self.ends += int(learn.sum())
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        """All words so far; it begins anew."""
+        words = pa.concat_arrays([*self.words, pa.array([b""], pa.binary())])
+        n = pa.array(np.append(self.n, self.ends).astype(np.int64))
+        every = pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), words, n], names=["gram", "word", "n"])
+        for lo in range(0, len(n) if self.ends else 0, 100_000):
+            yield every.slice(lo, 100_000)
+        self.__init__()
+
+
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     key, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
@@ -238,7 +271,7 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held, names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, ["gram", "word", "n"]
+        keys, counts, held, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, _Words()
         for batch in batches:
             every, bounds = text_bytes(batch.column(0))
             flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -259,19 +292,14 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
                     if held >= HELD:
                         keys, counts = _added(keys, counts)
                         held = 0
-                if learn.any():
-                    low = LOWER[data]
-                    starts, ends = word_bounds(low, offsets)
-                    mine = np.repeat(learn, np.diff(np.searchsorted(starts, offsets)))
-                    starts, ends = starts[mine], ends[mine]
-                    first, number = distinct(word_keys(low, starts, ends))
-                    words = pa.concat_arrays([binary_array(low, starts[first], ends[first]), pa.array([b""], pa.binary())])
-                    n = pa.array(np.append(np.bincount(number, minlength=len(first)), learn.sum()).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), words, n], names=names)
+                words.add(data, offsets, learn)
+                if len(words.seen) >= HELD_WORDS:
+                    yield from words.told()
+        yield from words.told()
         key, n = _added(keys, counts)
         for lo in range(0, len(key[0]), 100_000):
             part = pa.array(key[0][lo : lo + 100_000].view(np.int64))
-            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.binary()), pa.array(n[0][lo : lo + 100_000])], names=names)
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.binary()), pa.array(n[0][lo : lo + 100_000])], names=["gram", "word", "n"])
 
     return rows.select("text", "learn").mapInArrow(tidy(run), "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
