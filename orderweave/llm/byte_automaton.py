@@ -197,16 +197,20 @@ class Automaton:
         stays = [i for i, a in enumerate(self.accepts) if not a and (self.table[i] == i).all()]
         self.dead = stays[0] if stays else None
 
-    def scan(self, data: bytes) -> list[tuple[int, int]]:
-        """(end, state) wherever the automaton is in a final state, in one pass over the bytes."""
-        rows, first, s, out = self.rows, self.first_final, self.start, []
+    def scan(self, data: bytes) -> list[list[int]]:
+        """[first end, last end, state] of each stretch in one final state, in one pass over the bytes."""
+        rows, first, s, out = self.rows, self.first_final, self.start, [[0, 0, -1]]
         row = rows[s]
         for i, b in enumerate(data):
             s = row[b]
             row = rows[s]
             if s >= first:
-                out.append((i + 1, s))
-        return out
+                last = out[-1]
+                if last[1] == i and last[2] == s:
+                    last[1] = i + 1
+                else:
+                    out.append([i + 1, i + 1, s])
+        return out[1:]
 
     def longest(self, data: bytes, start: int, stop: int, step: int = 1) -> int | None:
         """The furthest position at which the anchored automaton accepts, read from ``start`` towards ``stop``."""

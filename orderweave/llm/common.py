@@ -55,9 +55,21 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def words(text: Column) -> Column:
-    """The maximal runs of other than white space, in order; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` to the same columns, whatever their names; batches have them by place."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*df.columns)
+
+
+def word_count(text: Column) -> Column:
+    """How many maximal runs of other than white space a text has; a null text has none."""
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\v\f\r"))
+    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, SPACE_CLASS + "+"))).cast("long")
 
 
 def crc_remainder(key: Column, modulus: int) -> Column:

@@ -9,9 +9,12 @@ is part of the fingerprint. So fingerprints are equal exactly if canonical texts
 
 The next document is found without one global sort: ids are dealt to ranges, each range gets the first document
 of the next range as a last row of its own, and a window inside the range does the rest; texts are shuffled once.
+Ranges are parts of equal width between counted quantiles of the ids, so an outlying id moves no more than the rows
+of its own quantile together; rows without an id are dealt by a hash of their text.
 
-Defined results: a null text is empty; rows of one id are ordered by text; rows without an id come first; the
-only row is followed by itself; an empty table gives an empty result; other columns are ignored.
+Defined results: ids are whole numbers (others fail the cast); a null text is empty; rows of one id are ordered by a
+hash of the text, then by text; rows without an id come first; the only row is followed by itself; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from orderweave.llm.common import Scratch, table
 
 ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES = 20_000, 1024, 200_000
+QUANTILES = 256
 #: Digests or ids (16 bytes each) up to which a list is broadcast rather than shuffled.
 BROADCAST_KEYS = 500_000
 SECOND_LANE = 20_240_229
@@ -53,20 +57,42 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
 
+def _number(bounds: list[int], at: Column, low: int = 0) -> Column:
+    """How many of the sorted bounds are at most ``at``, by halving."""
+    if not bounds:
+        return F.lit(low)
+    mid = len(bounds) // 2
+    return F.when(at < F.lit(bounds[mid]), _number(bounds[:mid], at, low)).otherwise(_number(bounds[mid + 1 :], at, low + mid + 1))
+
+
+def ranged(own: DataFrame) -> DataFrame:
+    """``own(doc_id, t)`` with ``range``, which goes up with (doc_id, o), and o, a hash of the text."""
+    ids = own.where(F.col("doc_id") != NO_ID)
+    shares = [k / QUANTILES for k in range(1, QUANTILES)]
+    least, most, n, bounds = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.percentile_approx("doc_id", shares, 10 * QUANTILES)).first()
+    bounds = sorted({*(bounds or ()), least or 0} - {None})
+    ranges = min(max(LEAST_RANGES, n // ROWS_A_RANGE), MOST_RANGES) // QUANTILES
+    ends = [*bounds[1:], (most or 0) + 1]
+    widths = [max(1, -(-(e - b) // ranges)) for b, e in zip(bounds, ends, strict=True)]
+    part = _number(bounds[1:], F.col("doc_id"))
+    pick = lambda values: F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col("part") + 1)
+    rows = own.withColumns({"o": F.xxhash64("t"), "part": part})
+    inside = F.floor((F.col("doc_id") - pick(bounds)) / pick(widths))
+    dealt = F.when(F.col("doc_id") == NO_ID, F.shiftright("o", 54) - 1024).otherwise(F.col("part").cast("long") * ranges + F.least(inside, F.lit(ranges - 1)))
+    return rows.select("doc_id", "t", "o", dealt.cast("long").alias("range"))
+
+
 def with_next(own: DataFrame) -> DataFrame:
     """``own(doc_id, t)`` with next_id and next_t: the row that follows by id, after the last the first."""
-    least, most, n = own.where(F.col("doc_id") != NO_ID).agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    ranges = min(max(LEAST_RANGES, n // ROWS_A_RANGE), MOST_RANGES)
-    width = max(1, -(-((most or 0) - (least or 0) + 1) // ranges))
-    own = own.withColumn("range", F.when(F.col("doc_id") == NO_ID, F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(least or 0)) / F.lit(width))).cast("long"))
-    # One row a range, at most MOST_RANGES and one: small enough for one task and for a broadcast.
-    firsts = own.groupBy("range").agg(F.min("doc_id").alias("first"))
+    own = ranged(own)
+    # One row a range, at most MOST_RANGES and 1024: small enough for one task and for a broadcast.
+    firsts = own.groupBy("range").agg(F.min(F.struct("doc_id", "o")).alias("first"))
     w = W.orderBy("range")
     firsts = firsts.select("range", F.coalesce(F.lead("first").over(w), F.first("first").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("of"))
-    heads = own.select("doc_id", "t").join(F.broadcast(firsts), F.col("doc_id") == F.col("of"))
-    heads = heads.groupBy("range").agg(F.min("t").alias("t"), F.first("doc_id").alias("doc_id"))
-    both = own.select("range", F.lit(False).alias("head"), "doc_id", "t").unionByName(heads.select("range", F.lit(True).alias("head"), "doc_id", "t"))
-    w = W.partitionBy("range").orderBy("head", "doc_id", "t")
+    heads = own.select("doc_id", "o", "t").join(F.broadcast(firsts), F.struct("doc_id", "o") == F.col("of"))
+    heads = heads.groupBy("range").agg(F.min("t").alias("t"), F.first("doc_id").alias("doc_id"), F.first("o").alias("o"))
+    both = own.select("range", F.lit(False).alias("head"), "doc_id", "o", "t").unionByName(heads.select("range", F.lit(True).alias("head"), "doc_id", "o", "t"))
+    w = W.partitionBy("range").orderBy("head", "doc_id", "o", "t")
     return both.select("head", "doc_id", "t", F.lead("doc_id").over(w).alias("next_id"), F.lead("t").over(w).alias("next_t")).where("NOT head").drop("head")
 
 

@@ -3,10 +3,11 @@
 A text is lower-cased, what isn't a letter is a word end, and each word's byte n-grams (word ends included) are
 hashed to rows of an embedding table; their mean goes through one linear layer. Embeddings and layer are trained
 together by minibatch stochastic gradient descent in numpy, on the driver, from a bounded sample: at most
-``SAMPLE_DOCS`` documents of each language of no more than ``SAMPLE_CHARS`` code points, and at most ``MOST_LANGS``
-languages. Another sample, of about ``CALIBRATE_DOCS`` documents of all languages together, is kept from training;
-on it a temperature is fitted and the score below which a text is rejected, so that no more than ``FALSE_REJECTS``
-of right answers are.
+``SAMPLE_DOCS`` documents of each language (fewer where there are so many languages that they would come to more than
+``SAMPLE_ALL``, but ``LEAST_DOCS``) of no more than ``SAMPLE_CHARS`` code points; a language that has only longer ones
+is learnt from their beginnings. More than ``MOST_LANGS`` languages are an error. Another sample, of about
+``CALIBRATE_DOCS`` documents of all languages together, is kept from training; on it a temperature is fitted and the
+score below which a text is rejected, so that no more than ``FALSE_REJECTS`` of right answers are.
 
 For prediction the table is folded with the layer into one score a bucket and language (of bounded size, and
 broadcast), and all whole texts of a batch are scored together as arrays, a bounded block at a time.
@@ -28,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm.common import crc_remainder, table, tidy
+from orderweave.llm.common import crc_remainder, map_rows, table, tidy
 
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGS = 300, 20_000, 256
+SAMPLE_DOCS, LEAST_DOCS, SAMPLE_ALL, SAMPLE_CHARS, MOST_LANGS = 300, 30, 60_000, 20_000, 2000
 GRAMS, BUCKET_BITS, DIM = (2, 3, 4), 16, 16
 SEGMENT, BATCH, EPOCHS, RATE, SEED = 96, 64, 4, 4.0, 5
 FALSE_REJECTS, CALIBRATE_DOCS = 0.002, 4000
-BLOCK = 1 << 20
+BLOCK, AT_ONCE = 1 << 20, 1 << 23  # scores in memory at once, and bytes of texts (or one text)
 _NONE = 1 << BUCKET_BITS
 _LETTER = re.compile(r"[^\W\d_]")
 #: Letters and the bytes of all that isn't ASCII stay; the rest ends words.
@@ -45,22 +46,24 @@ def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
-def gram_rows(data: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of the n-gram that begins at each byte; ``_NONE`` where it holds a word end inside or nothing else."""
-    size = len(data) - n + 1
-    if size <= 0:
-        return np.zeros(0, np.int64)
-    gap = data == 32
-    h = np.full(size, 2166136261 + n, np.uint32)
-    bad = gap[:size] & gap[n - 1 :] if n == 2 else np.zeros(size, bool)
-    for k in range(n):
-        h = (h ^ data[k : k + size].astype(np.uint32)) * np.uint32(16777619)
-        if 0 < k < n - 1:
-            bad |= gap[k : k + size]
-    h ^= h >> np.uint32(15)
-    rows = (h & np.uint32(_NONE - 1)).astype(np.int64)
-    rows[bad] = _NONE
-    return rows
+def gram_rows(data: np.ndarray) -> list[np.ndarray]:
+    """For each length of ``GRAMS`` the bucket of the n-gram that begins at each byte; ``_NONE`` where it holds a word end inside or nothing else.
+
+    After the last byte come word ends. The n-grams of one place share their first bytes' hash.
+    """
+    size, out = len(data), []
+    data = np.append(data, np.full(max(GRAMS), 32, np.uint8))
+    gap, inside = data == 32, np.zeros(size, bool)
+    h = np.full(size, 2166136261, np.uint32)
+    for k in range(max(GRAMS)):
+        h = (h ^ data[k : k + size]) * np.uint32(16777619)
+        if k > 1:
+            inside = inside | gap[k - 1 : k - 1 + size]
+        if k + 1 in GRAMS:
+            rows = ((h ^ (h >> np.uint32(15))) & np.uint32(_NONE - 1)).astype(np.intp)
+            rows[inside if k > 1 else gap[:size] & gap[1 : size + 1]] = _NONE
+            out.append(rows)
+    return out
 
 
 @dataclass
@@ -74,33 +77,31 @@ class Model:
     def logits(self, texts: list[str]) -> np.ndarray:
         """One row a text, before the temperature."""
         total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        block, owners, held = [], [], 0
-        for i, text in enumerate(texts):
-            data = b" " + _bytes(text) + b"  "
-            for at in range(0, len(data), BLOCK):
-                piece = data[at : at + BLOCK + max(GRAMS) - 1]  # n-grams that begin in this block
-                block.append(piece)
-                owners.append((i, min(BLOCK, len(data) - at), len(piece)))
-                held += len(piece)
-                if held >= BLOCK:
-                    self._add(block, owners, total, count)
-                    block, owners, held = [], [], 0
-        if block:
-            self._add(block, owners, total, count)
+        data = [b" " + _bytes(text) + b"  " for text in texts]  # so no n-gram goes over into the next text
+        lo = 0
+        while lo < len(texts):
+            hi, held = lo, 0
+            while hi < len(texts) and held < AT_ONCE:
+                held += len(data[hi])
+                hi += 1
+            self._add(np.frombuffer(b"".join(data[lo:hi]), np.uint8), np.cumsum([0, *map(len, data[lo:hi])]), total[lo:hi], count[lo:hi])
+            lo = hi
         return total / np.maximum(count, 1)[:, None] + self.bias
 
-    def _add(self, block: list[bytes], owners: list[tuple[int, int, int]], total: np.ndarray, count: np.ndarray) -> None:
-        data = np.frombuffer(b"".join(block), np.uint8)
-        starts = np.cumsum([0, *(length for _, _, length in owners[:-1])])
-        # Each piece's own n-grams, then those that run into the next piece: the second segments are dropped.
-        cuts = np.ravel(np.column_stack([starts, starts + [own for _, own, _ in owners]]))
-        who = [i for i, _, _ in owners]
-        for n in GRAMS:
-            rows = np.append(gram_rows(data, n), np.full(n, _NONE))
-            at = np.minimum(cuts, len(rows) - 1)
-            np.add.at(count, who, np.add.reduceat((rows != _NONE).astype(np.int64), at)[::2])
-            for k in range(len(self.langs)):
-                np.add.at(total[:, k], who, np.add.reduceat(self.scores[:, k][rows], at)[::2])
+    def _add(self, data: np.ndarray, starts: np.ndarray, total: np.ndarray, count: np.ndarray) -> None:
+        step = max(256, BLOCK // len(self.langs))
+        for lo in range(0, len(data), step):
+            hi = min(lo + step, len(data))
+            rows = [r[: hi - lo] for r in gram_rows(data[lo : hi + max(GRAMS) - 1])]
+            scores = np.take(self.scores, rows[0], axis=0)
+            real = (rows[0] != _NONE).view(np.int8)
+            for r in rows[1:]:
+                scores += np.take(self.scores, r, axis=0)
+                real = real + (r != _NONE)
+            first, upto = int(np.searchsorted(starts, lo, "right")) - 1, int(np.searchsorted(starts, hi))
+            at = np.maximum(starts[first:upto], lo) - lo
+            total[first:upto] += np.add.reduceat(scores, at, axis=0, dtype=np.float64)
+            count[first:upto] += np.add.reduceat(real, at, dtype=np.int64)
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         z = self.logits(texts) / self.temperature
@@ -121,7 +122,7 @@ class Model:
 def _segments(text: str, rng: np.random.Generator) -> np.ndarray:
     """All n-grams of a text, dealt at random into rows of ``SEGMENT``."""
     data = np.frombuffer(b" " + _bytes(text) + b"  ", np.uint8)
-    rows = np.concatenate([gram_rows(data, n) for n in GRAMS])
+    rows = np.concatenate(gram_rows(data))
     rows = rng.permutation(rows[rows != _NONE])
     return np.resize(rows, (-(-len(rows) // SEGMENT), SEGMENT)) if len(rows) else np.zeros((0, SEGMENT), np.int64)
 
@@ -188,20 +189,29 @@ def train(rows: list[tuple[str, str, bool]]) -> Model:
 def sample(docs: DataFrame, may_learn: Column, calibrate: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str, bool]]:
     """The bounded sample: of each language about the same number, by a hash of the id."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("n"), F.count_if(calibrate).alias("held")).orderBy(F.desc("n"), lang_col).limit(MOST_LANGS).collect()
+    short = F.length(text_col) <= SAMPLE_CHARS
+    counts = [F.count("*").alias("n"), F.count_if(calibrate).alias("held"), F.count_if(short & ~calibrate).alias("short_n"), F.count_if(short & calibrate).alias("short_held")]
+    sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(*counts).limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values in {lang_col}")
     if not sizes:
         return []
-    most = {False: SAMPLE_DOCS, True: max(SAMPLE_DOCS // 3, -(-CALIBRATE_DOCS // len(sizes)))}
+    # A language without short texts is learnt from the beginnings of its long ones.
+    only_long = [r["lang"] for r in sizes if not r["short_n"]]
+    sizes = [(r["lang"], {False: r["short_n"] or r["n"] - r["held"], True: r["short_held"] if r["short_n"] else r["held"]}) for r in sizes]
+    each = min(SAMPLE_DOCS, max(LEAST_DOCS, SAMPLE_ALL // len(sizes)))
+    most = {False: each, True: max(each // 3, -(-CALIBRATE_DOCS // len(sizes)))}
 
     def share(held: bool) -> Column:
-        rates = ((r[0], min(1.0, 1.5 * most[held] / max(r["held"] if held else r["n"] - r["held"], 1))) for r in sizes)
+        rates = ((lang, min(1.0, 1.5 * most[held] / max(n[held], 1))) for lang, n in sizes)
         rates = F.create_map(*(F.lit(v) for pair in rates for v in pair))
         return F.get(F.map_values(F.map_filter(rates, lambda k, v: k == F.col(lang_col))), F.lit(0))
 
     order = F.xxhash64(F.lit(SEED), id_col)
     draw = (order.bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).alias("draw")
     few = rows.where(draw < F.coalesce(F.when(calibrate, share(True)).otherwise(share(False)), F.lit(0.0)))
-    few = few.where(F.length(text_col) <= SAMPLE_CHARS).select(order.alias("o"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), calibrate.alias("c"))
+    few = few.where(short | F.col(lang_col).isin(only_long)) if only_long else few.where(short)
+    few = few.select(order.alias("o"), F.left(F.col(text_col), F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang_col).alias("l"), calibrate.alias("c"))
     taken, out = {}, []
     for o, text, lang, held in few.orderBy("o").limit(2 * sum(most.values()) * len(sizes)).collect():
         taken[lang, held] = taken.get((lang, held), 0) + 1
@@ -216,7 +226,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(sample(docs, part != 2, part == 3, id_col, text_col, lang_col))
 
 
-def _mapped(docs: DataFrame, model: Model, text_col: str, make: Callable[[pa.RecordBatch, tuple], pa.RecordBatch], schema) -> DataFrame:
+def _mapped(docs: DataFrame, model: Model, text_col: str, make: Callable[[pa.RecordBatch, tuple], pa.RecordBatch]) -> Callable:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -224,7 +234,7 @@ def _mapped(docs: DataFrame, model: Model, text_col: str, make: Callable[[pa.Rec
         for batch in batches:
             yield make(batch, shared.value.predict(batch.column(at).to_pylist()))
 
-    return docs.mapInArrow(tidy(run), schema)
+    return run
 
 
 def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +246,7 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said[0], pa.string()), pa.array(said[1], pa.float64()), pa.array(said[2], pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return _mapped(chosen, model, "text", make, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return chosen.mapInArrow(tidy(_mapped(chosen, model, "text", make)), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -245,7 +255,7 @@ def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     def make(batch: pa.RecordBatch, said: tuple) -> pa.RecordBatch:
         return batch.filter(pa.array([not x for x in said[2]], pa.bool_()))
 
-    return _mapped(docs, model, text_col, make, docs.schema)
+    return map_rows(docs, _mapped(docs, model, text_col, make))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

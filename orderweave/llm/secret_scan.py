@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from orderweave.llm.byte_automaton import Automaton, parse, reverse
-from orderweave.llm.common import table, tidy
+from orderweave.llm.common import map_rows, table, tidy
 
 # Kind, pattern, whether letters match in either case, least length, and the group it is measured on (0: all).
 BASE_RULES = [
@@ -31,7 +31,7 @@ BASE_RULES = [
     ("hex", r"[0-9a-f]+", False, 24, 0),
 ]
 MORE_RULES = [
-    ("private_key", r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", False, 0, 0),
+    ("private_key", r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\x20\x09\x0A\x0D]*-----END ([A-Z0-9]+ )*PRIVATE KEY-----)?", False, 0, 0),
     ("web_token", r"eyJhbGciOi[A-Za-z0-9._-]+", False, 40, 0),
     ("host_token", r"gh[pousr]_[A-Za-z0-9]+", False, 40, 0),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", False, 15, 0),
@@ -67,25 +67,25 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, by start, then rule."""
-        ends: dict[int, list[int]] = {}
-        for end, state in self.all.scan(data):
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for first, last, state in self.all.scan(data):
             for rule in self.all.accepts[state]:
-                ends.setdefault(rule, []).append(end)
+                ends.setdefault(rule, []).append((first, last))
         out = []
         for rule, found in ends.items():
             _, _, _, least, group = self.rules[rule]
             floor = 0
-            for end in found:
-                if end <= floor:
-                    continue
-                start = self.backward[rule].longest(data, end, floor, -1)
-                if start is None:
-                    continue
-                stop = self.forward[rule].longest(data, start, len(data))
-                floor = stop
-                length = stop - start if not group else len(self.group[rule].fullmatch(data, start, stop)[group])
-                if length >= least:
-                    out.append((start, rule, stop))
+            for end, last in found:
+                while (end := max(end, floor + 1)) <= last:
+                    start = self.backward[rule].longest(data, end, floor, -1)
+                    if start is None:
+                        end += 1
+                        continue
+                    stop = self.forward[rule].longest(data, start, len(data))
+                    floor = stop
+                    length = stop - start if not group else len(self.group[rule].fullmatch(data, start, stop)[group])
+                    if length >= least:
+                        out.append((start, rule, stop))
         return sorted(out)
 
     def text_spans(self, text: str) -> list[tuple[int, int, int]]:
@@ -163,7 +163,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 columns[length_at] = pa.array(lengths, batch.schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return map_rows(docs, run)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

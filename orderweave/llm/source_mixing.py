@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderweave.llm.common import Scratch, table, words
+from orderweave.llm.common import Scratch, column, table, word_count
 
 BROADCAST_SOURCES = 10_000
 SEED = 17
@@ -99,7 +99,7 @@ def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), _key("doc_id", seed).alias("h"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key("doc_id", seed).alias("h"))
 
 
 def mix_rows(docs: DataFrame, weights: list[int], share: float = 1.5, epochs: float = 2.0, seed: int = SEED) -> DataFrame:
@@ -116,8 +116,8 @@ def mix_documents(docs: DataFrame, weights: list[int], share: float = 1.5, epoch
     rows = scratch.keep(_sized(docs, seed), "sized")
     plan = plan_mix(scratch, rows, weights, share, epochs)
     scratch.drop(rows)
-    own = docs.withColumns({"__size": F.size(words(F.col("text"))).cast("long"), "__h": _key("doc_id", seed)})
-    named = own.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.col("__size").alias("size"), F.col("__h").alias("h"))
+    size = word_count(F.col("text")).alias("size")
+    named = docs.select(F.struct(*map(column, docs.columns)).alias("row"), "doc_id", "source", size, _key("doc_id", seed).alias("h"))
     out = _joined(named, plan).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return out.select("row.*")
 

@@ -11,7 +11,9 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orderweave.llm import chat_format, context_tree, fingerprints, language_id, piece_tokens, quality_rules, repeat_removal, secret_scan, simhash_dedup, source_mixing, word_blocks
 
@@ -289,7 +291,11 @@ def test_unigram_pieces_relax_to_the_best_sum():
         assert model.decode(ids) == text and sum(model.scores[i] for i in ids) == pytest.approx(best(model.normalise(text)))
 
 
-def test_quality(spark):
+@pytest.mark.parametrize("bits", [32, 2])
+def test_quality(spark, monkeypatch, bits):
+    whole = quality_rules._hashes
+    if bits < 32:  # windows of one hash that differ
+        monkeypatch.setattr(quality_rules, "_hashes", lambda: F.transform(whole(), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))))
     data = [*rows(), (500, "a b c d a b c d " * 15, None, None, 0), (501, "x y z", None, None, 0), (502, ("# $ % " * 9 + "\n") * 20, None, None, 0)]
     for r, (_, text, *_) in zip(quality_rules.quality_rules(documents(spark, data)).orderBy("doc_id").collect(), data, strict=True):
         text = text or ""
@@ -396,11 +402,79 @@ def test_simhash(spark):
     for r in got:
         assert r.fingerprint == f"{fp[r.doc_id]:016x}"
         assert r.component_id == min(i for i in fp if root[fp[i]] == root[fp[r.doc_id]])
-    kept = simhash_dedup.drop_near_copies(documents(spark, clash=True))
-    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in got}
-    some = rows()[:4]
-    odd = documents(spark, [*some, (None, "alone here", None, None, None), (None, some[0][1], None, None, None)])
-    assert sorted(str(r.doc_id) for r in simhash_dedup.drop_near_copies(odd).collect()) == ["0", "1", "2", "3", "None", "None"]
+
+
+def _wide(text):
+    """The wide fingerprint as a list of bits, by whole numbers."""
+    m = (1 << 64) - 1
+
+    def mixed(h):
+        for _ in range(2):
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & m
+        return h ^ h >> 32
+
+    words = [w.translate(word_blocks.LOWER.tobytes()) for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+    hashes = [int(word_blocks.word_keys(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[3, 0]) for w in words]
+    counts, n = [0] * 256, max(1, len(hashes) - 4) if hashes else 0
+    for i in range(n):
+        h = mixed(hashes[i] * 0x9E3779B97F4A7C15 & m)
+        for more in hashes[i + 1 : i + 5]:
+            h = mixed((h * 0xC2B2AE3D27D4EB4F & m) ^ more)
+        lanes = b"".join(mixed(h + (k + 1) * 0xD6E8FEB86659FD93 & m).to_bytes(8, "little") for k in range(4))
+        for k in range(256):
+            counts[k] += lanes[k // 8] >> (7 - k % 8) & 1
+    return [2 * c > n for c in counts]
+
+
+def _near(a, b):
+    bands = lambda x: [tuple(y[i : i + 16]) for y in (x, x[::2]) for i in range(0, len(y), 16)]
+    return sum(x != y for x, y in zip(a, b, strict=True)) <= simhash_dedup.most_differing(0.8) and any(x == y for x, y in zip(bands(a), bands(b), strict=True))
+
+
+def kept_by_brute_force(data):
+    """Of (id, text) the places that stay: one of each group, the one of the least id, those without one last."""
+    order = sorted(range(len(data)), key=lambda k: (data[k][0] is None, data[k][0] or 0))
+    prints, p = [_wide(data[k][1]) for k in order], list(range(len(data)))
+    for a in range(len(order)):
+        for b in range(a):
+            if p[a] != p[b] and _near(prints[a], prints[b]):
+                low, high = sorted((p[a], p[b]))
+                p = [low if x == high else x for x in p]
+    return sorted(order[k] for k in set(p))
+
+
+def test_near_copies(spark):
+    rnd = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    texts = [t for _, t, *_ in rows(n=12)] + [" ".join(rnd.choice(words) for _ in range(n)) for n in (3, 5, 200, 300)]
+    for base in texts[-2:]:
+        for share in (0.005, 0.01, 0.02, 0.05, 0.2):  # edited copies, near and not so near
+            texts.append(" ".join(rnd.choice(words) if rnd.random() < share else w for w in base.split()))
+    data = list(enumerate(texts))
+    want = {data[k][0] for k in kept_by_brute_force(data)}
+    got = simhash_dedup.drop_near_copies(documents(spark, [(i, t, None, None, None) for i, t in data], clash=True))
+    assert {r.doc_id for r in got.collect()} == want and len(want) < len(data) - 6
+    odd = [(None, texts[0]), (None, "alone here"), (None, "alone here"), *data[:6], data[0], data[2]]
+    got = simhash_dedup.drop_near_copies(documents(spark, [(i, t, None, None, None) for i, t in odd]))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(odd[k] for k in kept_by_brute_force(odd))
+
+
+def test_near_copies_are_found():
+    """Recall among pairs of a five-word similarity of 0.8 and more, and none among others."""
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    prints = lambda texts: simhash_dedup.wide_fingerprints(*word_blocks.text_bytes(pa.array(texts)))
+    found, pairs = 0, 0
+    for share in (0.005, 0.01, 0.02, 0.03):
+        bases = [[rnd.choice(words) for _ in range(rnd.randint(150, 400))] for _ in range(100)]
+        edited = [[rnd.choice(words) if rnd.random() < share else w for w in b] for b in bases]
+        shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        alike = np.array([len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(bases, edited, strict=True)])
+        a, b = prints([" ".join(x) for x in bases]), prints([" ".join(x) for x in edited])
+        close = (np.bitwise_count(a ^ b).sum(axis=1) <= simhash_dedup.most_differing(0.8)) & (simhash_dedup.band_keys(a) == simhash_dedup.band_keys(b)).any(axis=1)
+        found, pairs = found + close[alike >= 0.8].sum(), pairs + (alike >= 0.8).sum()
+        assert not (np.bitwise_count(a ^ np.roll(b, 1, axis=0)).sum(axis=1) <= simhash_dedup.most_differing(0.8)).any()
+    assert pairs > 200 and found >= 0.9 * pairs
 
 
 @pytest.mark.parametrize("large", [4096, 60])

@@ -10,7 +10,7 @@ import corpus_pipeline
 from orderweave.llm import language_id, piece_tokens, registry, secret_scan, source_mixing
 
 from .helpers import documents, rows
-from .test_operators import _components, _secrets, _simhash
+from .test_operators import _secrets, kept_by_brute_force
 
 
 def test_pipeline(spark, tmp_path):
@@ -21,9 +21,7 @@ def test_pipeline(spark, tmp_path):
     model = language_id.fit(spark.read.parquet(path))
     docs = [r for r in rows() if not model.predict([r[1]])[2][0]]
     assert 0 < len(docs) < len(rows())
-    fp = {r[0]: _simhash(r[1]) for r in docs}
-    root = _components(fp.values())
-    docs = [r for r in docs if r[0] == min(i for i in fp if root[fp[i]] == root[fp[r[0]]])]
+    docs = [docs[k] for k in kept_by_brute_force([r[:2] for r in docs])]
     text = {r[0]: secret_scan.redact(r[1], _secrets(r[1]), "[secret]") for r in docs}
     mixed = source_mixing.mix_rows(documents(spark, [(r[0], text[r[0]], *r[2:]) for r in docs]), corpus_pipeline.WEIGHTS).collect()
     assert Counter(r.doc_id for r in got) == Counter({r.doc_id: r.copies for r in mixed if r.copies})
