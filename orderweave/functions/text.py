@@ -26,17 +26,21 @@ ABBREVIATIONS = [
     (r"(\d+)\s*ств\b", "$1створка"),
     (r"(?<![а-яёa-z0-9])ств\b", "створка"),
 ]
+# Collections and their short names.
 COLLECTIONS = {"сп": "спальня", "к": "кухня", "прих": "прихожая", "г": "гостиная"}
+# Names of product lines.
 SUB_BRANDS = [
     "вайт", "white", "роял", "royal", "тренд", "trend", "классик", "classic", "люкс", "lux", "luxe", "модерн", "modern",
     "эко", "eco", "лайт", "light", "плюс", "plus", "престиж", "prestige", "комфорт", "comfort", "мини", "mini",
     "макси", "maxi", "элит", "elite", "софт", "soft", "гранд", "grand", "про", "pro", "нью", "new",
 ]
+# Words that tell nothing apart, in general and as product words.
 STOP_WORDS = ["система", "упаковка", "корпус", "и", "the"]
 GENERIC_TOKENS = [
     "система", "упаковка", "корпус", "фасад", "фасады", "фурнитура", "и", "к", "д", "шт", "навесная", "навесной", "стекло",
     "полировка", "комплект", "набор", "пр", "imp", "кат1", "кат", "для", "the", "оптовые", "продажи",
 ]
+# Hardware words, what hints at hardware, lists of widths, ratios; below so many, a width is in centimetres.
 HARDWARE = r"корнер|планка|плинтус|профиль|заглушка|светильник|\bопора\b|\bпетл(?:я|и|ю)\b|\bручк(?:а|и|у)\b|стяжк[а-яё]*|\bнавес\b|\bугол\b|доводчик|направляющ|полкодерж"
 HARDWARE_HINT = r"планка|корнер|заглушка|плинтус|профиль|\bопора\b|угол.{0,24}цокол|цокол.{0,24}угол|петл|\bручка\b|стяжк|\bнавес\b|светильник|доводчик|направляющ|ящик с доводчиком|полкодерж"
 WIDTH_LIST = r"(?<![\d/])(\d{2,4}(?:/\d{2,4}){2,})(?![\d/])"
@@ -188,6 +192,14 @@ def identity_tokens(text: Column) -> Column:
     return F.filter(significant_tokens(slug(search_text(text))), lambda t: (F.length(t) >= 4) & ~t.isin(GENERIC_TOKENS))
 
 
+def clean_alias(alias: Column) -> Column:
+    """A factory's name of a product without what it is compatible with and its import prefix."""
+    # The patterns that go.
+    for pattern in (r"(?s)совместимость\s*:.*", r"д/шкаф[а-яё]*\s+[^;,.]*", r"^IMP\s+ст\s+"):
+        alias = F.regexp_replace(alias, f"(?iuU){pattern}", "")
+    return squeeze(F.replace(alias, F.lit("="), F.lit(" ")))
+
+
 def package_ratio(text: Column) -> Column:
     """The first ratio outside width lists, or null."""
     found = F.regexp_extract(F.regexp_replace(text, WIDTH_LIST, " "), f"(?iuU){RATIO}", 1)
@@ -291,9 +303,8 @@ def restore_barcode(value: Column) -> Column:
 
 
 def ean13_valid(value: Column) -> Column:
-    digits = F.transform(F.sequence(F.lit(1), F.lit(13)), lambda i: F.substring(value, i, F.lit(1)).try_cast("int"))
-    total = F.aggregate(F.transform(digits, lambda d, i: d * F.when(i % 2 == 1, 3).otherwise(1)), F.lit(0), lambda a, x: a + x)
-    return F.coalesce(value.rlike(r"^\d{13}$"), F.lit(False)) & F.coalesce(total % 10 == 0, F.lit(False))
+    """Thirteen digits; the check digit isn't looked at."""
+    return F.coalesce(F.trim(value).rlike(r"^\d{13}$"), F.lit(False))
 
 
 def optional_text(value: Column) -> Column:

@@ -31,6 +31,21 @@ def prepared_catalog(catalog: DataFrame) -> DataFrame:
     })
 
 
+def with_order_text(blocks: DataFrame) -> DataFrame:
+    """Adds what is searched for (``query``) and what constraints read (``match_text``): the description, and an alias that goes with it.
+
+    It does if more than half of the description's product words are in it. What is searched for takes the alias
+    without compatibility and import prefix, and only if it says something else.
+    """
+    d, alias = F.trim("client_description"), F.trim(F.coalesce("factory_alias", F.lit("")))
+    b = blocks.withColumns({"__words": F.array_distinct(T.identity_tokens(d)), "__alias": alias, "__clean": T.clean_alias(alias)})
+    b = b.withColumns({"__in": F.lower(T.search_text(F.col("__alias"))), "__in_clean": F.lower(T.search_text(F.col("__clean")))})
+    goes = lambda c: (F.size("__words") == 0) | (2 * F.size(F.filter("__words", F.col(c).contains)) > F.size("__words"))
+    more = F.when((F.col("__clean") != "") & (F.lower("__clean") != F.lower(d)) & goes("__in_clean"), F.col("__clean"))
+    b = b.withColumns({"match_text": F.trim(F.concat_ws(" ", "client_description", F.when((F.col("__alias") != "") & goes("__in"), F.col("__alias")))), "__asked": F.concat_ws(" ", d, more)})
+    return b.withColumn("query", T.search_text(F.col("__asked"))).drop("__words", "__alias", "__clean", "__in", "__in_clean", "__asked")
+
+
 def prepared_blocks(blocks: DataFrame) -> DataFrame:
     """Order lines with their features. Each layer reads the one before, so that a text is normalised once."""
     d = F.col("client_description")
@@ -39,6 +54,8 @@ def prepared_blocks(blocks: DataFrame) -> DataFrame:
     b = b.withColumn("query", T.search_form(F.col("plain")))
     colored = d.rlike(r"(?iuU)\bбез\s+цвета\b")
     b = b.withColumn("bare", T.slug(F.col("query")))
+    if "factory_alias" in blocks.columns:  # the alias takes part in the search, not in the name
+        b = with_order_text(b.drop("query"))
     b = b.withColumns({
         "slug": F.when(colored, T.core_slug(d)).otherwise(F.col("bare")),
         "tokens": F.filter(T.significant_tokens(F.col("bare")), lambda t: (F.length(t) >= 4) & ~t.isin(T.GENERIC_TOKENS)),

@@ -18,7 +18,7 @@ from orderweave.operators.linkage import KEY, dimension_conflict, packaging_comp
 AUTO, TUPLE_FLOOR, GAP = 0.83, 0.88, 0.03
 PACKAGE_BOOST, MODEL_BOOST, COLOR_BOOST = 0.03, 0.03, 0.02
 BRAND_BOOST, BRAND_PENALTY, COMPOSITE_PENALTY = 0.35, 0.50, 0.10
-TOP_K, POOL = 30, 5
+TOP_K, POOL, MOST_QUERIES = 30, 5, 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,12 +28,20 @@ def dot(a: Column, b: Column) -> Column:
 def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 4096) -> DataFrame:
     """``queries(query_id, embedding)`` against all ``vectors(vec_id, embedding)``: (query_id, vec_id, score, rank0).
 
-    The stated queries are sent to all tasks, so they must be few (they are counted); each task compares them with
-    its vectors by blocks and keeps the best of the task, and the best of those are taken. Vectors never move.
+    The stated queries go to all tasks, ``MOST_QUERIES`` or so at a time; each task compares them with its vectors by
+    blocks and keeps the best of the task, and the best of those are taken. Vectors never move.
     """
-    few = queries.limit(100_001).select("query_id", "embedding").collect()
-    if len(few) > 100_000:
-        raise ValueError("at most 100,000 query vectors at a time")
+    parts = max(1, -(-queries.count() // MOST_QUERIES))
+    each = [_knn(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p), vectors, k, block) for p in range(parts)]
+    found = each[0]
+    for more in each[1:]:
+        found = found.unionByName(more)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")) - 1
+    return found.withColumn("rank0", rank).where(F.col("rank0") < k)
+
+
+def _knn(queries: DataFrame, vectors: DataFrame, k: int, block: int) -> DataFrame:
+    few = queries.select("query_id", "embedding").collect()
     shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in few], np.int64), np.array([r[1] for r in few], np.float64)))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,9 +58,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 409
         n = score.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(found.ravel()), pa.array(score.ravel())], names=["query_id", "vec_id", "score"])
 
-    each = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")) - 1
-    return each.withColumn("rank0", rank).where(F.col("rank0") < k)
+    return vectors.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
 
 
 def knn_lines(lines: DataFrame, vectors: DataFrame, k: int = TOP_K, slice_rows: int = 200_000) -> DataFrame:
@@ -209,6 +215,28 @@ def high_confidence() -> Column:
     return F.coalesce((F.size("models") > 0) & (F.col("label_model") != "") & overlap(F.col("models"), F.col("label_model")) & T.packaging_equal(F.col("ratio"), F.col("entity_ratio")) & (F.size("colors") > 0) & (F.col("color") != "") & overlap(F.col("colors"), F.col("color")) & named, F.lit(False))
 
 
+def with_alignment(pairs: DataFrame) -> DataFrame:
+    """Adds ``aligned``: what tells products apart agrees (decor codes, product words, part types, sizes, the name as a whole).
+
+    ``pairs`` also have client_description, match_text (the description and its alias) and part_types. Each layer
+    reads the one before, so that a text is worked out once.
+    """
+    p = pairs.withColumns({"__low": F.lower("search"), "__text": T.search_text(F.col("client_description")), "__asks": T.is_hardware(F.col("match_text"))})
+    p = p.withColumns({"__packed": F.replace(F.col("__low"), F.lit(" "), F.lit("")), "__own": T.slug(F.col("__text")), "__other": T.slug(F.col("search"))})
+    p = p.withColumns({
+        "__codes": T.matches(F.lower("match_text"), r"(?U)\b\d{3,4}/[a-z]{1,3}\b"), "__mine": F.array_distinct(T.significant_tokens(F.col("__own"))),
+        "__theirs": T.significant_tokens(F.col("__other")), "__words": F.filter(T.significant_tokens(F.col("__own")), lambda t: (F.length(t) >= 4) & ~t.isin(T.GENERIC_TOKENS)),
+    })
+    e, words, own, other, mine = (F.col(c) for c in ("__low", "__words", "__own", "__other", "__mine"))
+    named = (F.size(words) == 0) | (F.size(F.filter(words, e.contains)) >= 0.75 * F.size(words))
+    typed = F.forall(F.filter("part_types", lambda t: (F.length(t) >= 5) & ~F.lower(t).isin(T.GENERIC_TOKENS)), lambda t: e.contains(F.lower(t)))
+    sized = F.when(F.size("widths") > 0, widths_compatible(F.col("widths"), F.col("search"))).when(F.size("pairs") > 0, F.arrays_overlap("pairs", "entity_pairs")).otherwise(F.lit(True))
+    alike = (own == "") | (other == "") | other.contains(own) | own.contains(other) | (F.size(mine) == 0) | (2 * F.size(F.array_intersect(mine, "__theirs")) >= F.size(mine))
+    plain = F.forall("__codes", F.col("__packed").contains) & named & typed & sized & alike
+    fits = F.when(F.col("__asks"), hardware_matches(F.col("match_text"), F.col("colors"), F.col("search"), F.col("color"))).otherwise(plain)
+    return p.withColumn("aligned", F.coalesce(fits, F.lit(False))).select(*pairs.columns, "aligned")
+
+
 def boosted(pairs: DataFrame) -> DataFrame:
     """Adds packaging, model and colour boosts to scores of pairs that passed, one at most."""
     passed = F.col("reason").isNull()
@@ -217,7 +245,7 @@ def boosted(pairs: DataFrame) -> DataFrame:
         + F.when((F.size("models") > 0) & (F.col("label_model") != "") & overlap(F.col("models"), F.col("label_model")), MODEL_BOOST).otherwise(0.0)
         + F.when((F.size("colors") > 0) & (F.col("color") != "") & overlap(F.col("colors"), F.col("color")), COLOR_BOOST).otherwise(0.0)
     )
-    return pairs.withColumn("score", F.when(passed, F.least(F.lit(1.0), F.col("score") + boost)).otherwise(F.col("score")))
+    return pairs.withColumn("boost", boost).withColumn("score", F.when(passed, F.least(F.lit(1.0), F.col("score") + F.col("boost"))).otherwise(F.col("score")))
 
 
 def sub_brand_barrier(pairs: DataFrame) -> DataFrame:
@@ -255,17 +283,33 @@ def top1(pairs: DataFrame) -> DataFrame:
     return p.withColumns({"rival": rival, "n_passed": F.count("*").over(every)}).where("rn = 1").drop("rn", "top_key")
 
 
+def _clear() -> Column:
+    return F.col("rival").isNull() | (F.round(F.col("score") - F.col("rival"), 9) >= GAP)
+
+
 def status(top: DataFrame) -> Column:
-    """Auto only above the threshold and clear of rivals of the same kind."""
-    clear = F.col("rival").isNull() | (F.round(F.col("score") - F.col("rival"), 9) >= GAP)
-    return F.when((F.col("score") >= AUTO) & clear, "MATCHED_AUTO").otherwise("NEEDS_LLM")
+    """Auto at once for a ``sure`` pair; else only one that is ``aligned``, clear of rivals of the same kind, and above the threshold."""
+    return F.when(F.col("sure") | (F.col("aligned") & _clear() & (F.col("score") >= AUTO)), "MATCHED_AUTO").otherwise("NEEDS_LLM")
 
 
 def explain(top: DataFrame) -> Column:
     """Why a line's best pair isn't taken by itself, or that it is."""
-    close = F.col("rival").isNotNull() & (F.round(F.col("score") - F.col("rival"), 9) < GAP)
     gap = F.format_number(F.col("score") - F.col("rival"), 3)
-    return F.when(close, F.concat(F.lit("ambiguous collision among same-characteristic candidates (gap="), gap, F.lit(f" < {GAP})"))).when(F.col("score") < AUTO, F.concat(F.lit("score "), F.format_number("score", 3), F.lit(f" below auto threshold {AUTO}"))).otherwise("auto-matched")
+    # The wording.
+    return (
+        F.when(status(top) == "MATCHED_AUTO", "auto-matched")
+        .when(~F.col("aligned"), "distinctive product tokens/decor codes do not align with top candidate")
+        .when(~_clear(), F.concat(F.lit("ambiguous collision among same-characteristic candidates (gap="), gap, F.lit(f" < {GAP})")))
+        .when(F.col("score") < AUTO, F.concat(F.lit("score "), F.format_number("score", 3), F.lit(f" below auto threshold {AUTO} (feature boost="), F.format_number("boost", 2), F.lit(")")))
+    )
+
+
+def explain_empty(pairs: DataFrame) -> DataFrame:
+    """(line, why) of lines whose every pair broke a constraint: the first three by rank, with what they broke."""
+    w = W.partitionBy(*KEY).orderBy("rank0", "code")
+    p = pairs.withColumns({"n_passed": F.count_if(F.col("reason").isNull()).over(W.partitionBy(*KEY)), "rn": F.row_number().over(w)}).where("n_passed = 0 AND rn <= 3")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(": ", "reason", F.left("nomenclature", F.lit(50))).alias("v")))), lambda x: x["v"])
+    return p.groupBy(*KEY).agg(F.concat(F.lit("no candidates passed hard filters (QUARANTINE) — "), F.array_join(said, "; ")).alias("why"))
 
 
 def resolver_jobs(decisions: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderweave.functions import text as T
-from orderweave.operators import dictionary, linkage, reports, scoring
+from orderweave.operators import answers, dictionary, documents, linkage, reports, scoring
+from orderweave.plans import sheets
 from orderweave.plans.standins import WITH, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,13 @@ def q_scan_catalog(spark, sf_dir):
     return views(spark, sf_dir)["cat"].where(T.optional_text(F.col("nomenclature")).isNotNull())
 
 
+@query("SELECT code, nomenclature, label_model, label_type, color, module, packaging, barcode, weight::DOUBLE AS weight, filling FROM (SELECT *, NULL::VARCHAR AS filling FROM cat)")
+def q_load_catalog(spark, sf_dir):
+    from orderweave.sources.catalog import load_catalog
+
+    return load_catalog(sheets.catalog(views(spark, sf_dir)["cat"])).select("code", "nomenclature", "label_model", "label_type", "color", "module", "packaging", "barcode", "weight", "filling")
+
+
 @query("SELECT count(*) AS n_rows, count(barcode) AS n_barcode, count(*) FILTER (WHERE barcode IS NULL) AS n_without, count(*) FILTER (WHERE code IS NULL OR nomenclature IS NULL) AS n_broken FROM cat")
 def q_catalog_required_fields(spark, sf_dir):
     blank = lambda c: T.optional_text(F.col(c)).isNull()
@@ -61,10 +68,29 @@ def q_format_sniff(spark, sf_dir):
     return _read(spark, sf_dir, "pages").groupBy(sniff(F.col("html")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS n_k FROM events GROUP BY 1", cat=False)
+@query("SELECT cast(o_orderkey AS VARCHAR) AS order_id, o_custkey AS total_rows, 'Customer ' || o_custkey AS customer_name FROM orders", cat=False)
 def q_json_manifest(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("n_k"))
+    from orderweave.sources.export import manifest_runs
+
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("order_id"), F.col("o_custkey").alias("total_rows"), F.concat(F.lit("Customer "), "o_custkey").alias("customer_name"), (F.col("o_orderkey") % 500).alias("shift"))
+    runs = o.groupBy("shift").agg(F.collect_list(F.struct("order_id", "total_rows", "customer_name")).alias("runs"))
+    text = F.when(F.col("shift") % 2 == 0, F.to_json(F.struct("runs"))).otherwise(F.to_json("runs"))
+    return manifest_runs(runs.select(text.alias("value"))).select("order_id", "total_rows", "customer_name")
+
+
+@query(
+    r"""SELECT '/in/' || order_id || '.xls' AS doc_id, r::INT AS row, c AS col, t AS text, '' AS fill FROM (
+  SELECT order_id, 1 AS r, 1 AS c, 'Товар' AS t FROM blk GROUP BY 1 UNION ALL SELECT order_id, line_number + 1, 1, cast(line_number AS VARCHAR) FROM blk
+  UNION ALL SELECT order_id, line_number + 1, 2, trim(regexp_replace(client_description, '\s+', ' ', 'g')) FROM blk)"""
+)
+def q_html_grid(spark, sf_dir):
+    from orderweave.sources.sheet import cells_of
+
+    b = views(spark, sf_dir)["blk"]
+    row = F.concat(F.lit("<tr><td>"), F.col("line_number").cast("string"), F.lit("</td><td><b>"), "client_description", F.lit("</b></td><td></td></tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", row.alias("h")))), lambda x: x["h"]), "\n")
+    files = b.groupBy("order_id").agg(F.concat(F.lit("<html><table><tr><td>small</td></tr></table><table><tr><th>Товар</th></tr>"), rows, F.lit("</table></html>")).alias("h"))
+    return cells_of(files.select(F.concat(F.lit("/in/"), F.col("order_id").cast("string"), F.lit(".xls")).alias("path"), F.col("h").cast("binary").alias("content")))
 
 
 @query("SELECT code, ltrim(code, '0') AS bare, lpad(ltrim(code, '0'), 11, '0') AS padded FROM cat")
@@ -83,11 +109,12 @@ def q_barcode_repair(spark, sf_dir):
     return v["part"].join(v["cat"], F.col("code") == F.lpad(F.col("p_partkey").cast("string"), 11, "0")).select("p_partkey", T.restore_barcode(raw).alias("restored"), T.restore_barcode(F.concat(F.lit(" "), "barcode", F.lit(" "))).alias("barcode"))
 
 
-@query(
-    "SELECT code, barcode, list_sum(list_transform(range(1, 14), lambda i: cast(substr(barcode, i, 1) AS INT) * (CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END))) % 10 = 0 AS valid FROM cat WHERE barcode IS NOT NULL"
-)
+@query("SELECT code, shown, length(shown) = 13 AND regexp_matches(shown, '^[0-9]+$') AS valid FROM (SELECT code, CASE right(code, 1) WHEN '1' THEN barcode || '0' WHEN '2' THEN left(barcode, 12) WHEN '3' THEN left(barcode, 12) || 'x' ELSE barcode END AS shown FROM cat WHERE barcode IS NOT NULL)")
 def q_ean_valid(spark, sf_dir):
-    return views(spark, sf_dir)["cat"].where("barcode IS NOT NULL").select("code", "barcode", T.ean13_valid(F.col("barcode")).alias("valid"))
+    c, last = views(spark, sf_dir)["cat"].where("barcode IS NOT NULL"), F.right("code", F.lit(1))
+    short = F.left("barcode", F.lit(12))
+    shown = F.when(last == "1", F.concat("barcode", F.lit("0"))).when(last == "2", short).when(last == "3", F.concat(short, F.lit("x"))).otherwise(F.col("barcode"))
+    return c.select("code", shown.alias("shown")).withColumn("valid", T.ean13_valid(F.col("shown")))
 
 
 @query("SELECT DISTINCT customer_name, replace(customer_name, ' ', '_') || '_' || cast(shift_date AS VARCHAR) AS stem, sha256(customer_name || '|' || cast(shift_date AS VARCHAR)) AS run_id FROM blk")
@@ -170,6 +197,25 @@ def q_hardware_types(spark, sf_dir):
     return views(spark, sf_dir)["cat"].select("code", T.hardware_types(text).alias("types"), T.is_hardware(text).alias("hardware"))
 
 
+@query("""SELECT code, 'IMP спальня ' || color AS collection, color || ' упаковка 2/3' AS wrapped, color AS place, CASE WHEN cast(right(code, 1) AS INT) % 2 = 0 THEN ['люкс', 'роял'] ELSE [] END AS brands,
+  cast(right(code, 1) AS INT) % 2 = 0 AS composite, 'a № b' AS cell FROM cat""")
+def q_text_rest(spark, sf_dir):
+    even = F.right("code", F.lit(1)).cast("int") % 2 == 0
+    return views(spark, sf_dir)["cat"].select(
+        "code", T.expand_collections(F.concat(F.lit("IMP сп "), "color")).alias("collection"), T.wrap_ratios(F.concat("color", F.lit("  2/3"))).alias("wrapped"),
+        T.sanitize_topology(F.concat(F.lit("Р12.3 секция  4 "), "color")).alias("place"), T.sub_brands(F.when(even, "Роял люкс роял").otherwise("роялти")).alias("brands"),
+        T.composite_color(F.when(even, "дуб сонома/белый").otherwise("дуб 1/2")).alias("composite"), T.incoming_text(F.lit(" a  № b ")).alias("cell"),
+    )
+
+
+@query(rf"""SELECT order_id, line_number, regexp_replace(trim(regexp_replace({_DIMS.format("t")}, '\s+', ' ', 'g')), '(\d+/\d+)', 'упаковка \1', 'g') AS query FROM (
+  SELECT order_id, line_number, trim(client_description) || CASE line_number % 3 WHEN 0 THEN ' ' || trim(client_description) || ' extra' ELSE '' END AS t FROM blk)""")
+def q_order_query(spark, sf_dir):
+    d, k = F.col("client_description"), F.col("line_number") % 3
+    alias = F.when(k == 0, F.concat(F.lit("IMP ст "), F.trim(d), F.lit(" = extra совместимость: all"))).when(k == 1, F.lit("quite another"))
+    return linkage.with_order_text(views(spark, sf_dir)["blk"].withColumn("factory_alias", alias)).select("order_id", "line_number", "query")
+
+
 # Vocabularies and indexes
 
 
@@ -207,7 +253,7 @@ def q_inverted_index(spark, sf_dir):
 
 def _prepared(spark, sf_dir):
     v = views(spark, sf_dir)
-    return linkage.prepared_blocks(v["blk"]).persist(), linkage.prepared_catalog(v["cat"]).persist()
+    return linkage.prepared_blocks(v["blk"]), linkage.prepared_catalog(v["cat"])
 
 
 _KEYS = f", b AS (SELECT *, {_NAME.format('client_description')} AS name_key, {_SLUG.format('client_description')} AS slug FROM blk), c AS (SELECT *, {_NAME.format('nomenclature')} AS name_key, {_SLUG.format('nomenclature')} AS slug FROM cat)"
@@ -305,19 +351,26 @@ def _pairs(spark, sf_dir):
         "order_id", "line_number", "code", "label_model", "color", "entity_ratio", F.col("module").alias("entity_module"), F.col("d0").alias("module"),
         T.default_ratio(T.package_ratio(F.col("client_description")), F.lit("")).alias("ratio"), F.array("m0").alias("models"), F.array("c0").alias("colors"),
         half(F.col("m0")).alias("sub_brands"), half(F.col("label_model")).alias("entity_brands"), F.array("d0").alias("pairs"), F.array("module").alias("entity_pairs"),
-        F.lit("").alias("query"), F.lit("").alias("search"), F.lit(False).alias("composite"), F.concat_ws("|", "label_model", "color").alias("same_key"),
+        "client_description", F.col("client_description").alias("query"), F.col("client_description").alias("match_text"), T.search_text(F.concat_ws(" ", "nomenclature", "module", "label_type", "color")).alias("search"),
+        F.lit(False).alias("composite"), F.concat_ws("|", "label_model", "color").alias("same_key"), F.array().cast("array<int>").alias("widths"), F.array().cast("array<string>").alias("part_types"), "nomenclature",
         (0.7 + F.right("code", F.lit(2)).cast("int") / 500.0).alias("score"), F.right("code", F.lit(4)).cast("int").alias("rank0"),
     )
     return p.withColumn("reason", scoring.constraint_reason(p))
 
 
+def _best(spark, sf_dir):
+    """Each line's best pair, with what decides whether it is taken."""
+    t = scoring.top1(scoring.sub_brand_barrier(scoring.boosted(_pairs(spark, sf_dir))))
+    return scoring.with_alignment(t.withColumn("sure", scoring.high_confidence()))
+
+
 _PAIRS = r""", p0 AS (SELECT b.order_id, b.line_number, c.code, c.label_model, c.color, c.packaging AS entity_ratio, c.module AS entity_module, o.module, o.label_model AS m0,
   coalesce(nullif(regexp_extract(b.client_description, '\d+/\d+'), ''), '1/1') AS ratio, 0.7::DOUBLE + cast(right(c.code, 2) AS INT) / 500.0::DOUBLE AS score, cast(right(c.code, 4) AS INT) AS rank0,
-  right(o.label_model, 1) IN ('1', '2', '3') AS bb, right(c.label_model, 1) IN ('1', '2', '3') AS eb, c.label_model || '|' || c.color AS same_key
+  b.client_description AS d, concat(c.nomenclature, ' ', c.module, ' ', c.label_type, ' ', c.color) AS e, right(o.label_model, 1) IN ('1', '2', '3') AS bb, right(c.label_model, 1) IN ('1', '2', '3') AS eb, c.label_model || '|' || c.color AS same_key
   FROM blk b JOIN cat o ON o.code = lpad(cast(b.partkey AS VARCHAR), 11, '0') JOIN cat c ON c.color = o.color AND c.label_type = o.label_type AND split_part(c.module, 'x', 1) = split_part(o.module, 'x', 1)),
 p AS (SELECT *, CASE WHEN ratio <> entity_ratio THEN 'Package ratio mismatch'
   WHEN module <> entity_module AND (split_part(module, 'x', 1) = split_part(entity_module, 'x', 1)) <> (split_part(module, 'x', 2) = split_part(entity_module, 'x', 2)) THEN 'dimension conflict: ' || module END AS reason FROM p0),
-s1 AS (SELECT *, CASE WHEN reason IS NULL THEN least(1.0, score + ((0.03::DOUBLE + CASE WHEN contains(label_model, m0) OR contains(m0, label_model) THEN 0.03::DOUBLE ELSE 0.0 END) + 0.02::DOUBLE)) ELSE score END AS s FROM p),
+s1 AS (SELECT *, CASE WHEN reason IS NULL THEN least(1.0, score + boost) ELSE score END AS s FROM (SELECT *, (CASE WHEN ratio = entity_ratio THEN 0.03::DOUBLE ELSE 0.0 END + CASE WHEN contains(label_model, m0) OR contains(m0, label_model) THEN 0.03::DOUBLE ELSE 0.0 END) + 0.02::DOUBLE AS boost FROM p)),
 s2 AS (SELECT *, CASE WHEN reason IS NOT NULL THEN s WHEN bb AND bool_or(reason IS NULL AND eb) OVER w THEN CASE WHEN eb THEN least(1.0, s + 0.35::DOUBLE) ELSE greatest(0.0, s - 0.5::DOUBLE) END
   WHEN NOT bb AND bool_or(reason IS NULL AND NOT eb) OVER w AND eb THEN greatest(0.0, s - 0.5::DOUBLE) ELSE s END AS t FROM s1 WINDOW w AS (PARTITION BY order_id, line_number))"""
 
@@ -327,6 +380,48 @@ def q_constraints_reason(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy(F.coalesce(F.regexp_replace("reason", ":.*", ""), F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+_CASES = [
+    ("корпус шкаф", "ящик с доводчиком", "Corpus vs drawer/slide isolation"),
+    ("фасад (FE)", "фасад (SB)", "facade finish mismatch: FE vs SB"),
+    ("стол люкс", "стол роял", "Sub-brand conflict"),
+    ("стол 400/450/500", "стол 600", "dimension mismatch: none of the widths"),
+    ("полка 4мм", "полка дсп", "glass/material mismatch"),
+    ("планка 38мм", "планка 26мм", "hardware type/size/color mismatch"),
+    ("столешница 1.5 м 38мм", "столешница 26мм 3 м", "linear dimension or thickness mismatch"),
+    ("зеркало 400x700", "зеркало 400x800", "custom size not in catalog"),
+    ("комод 400x700", "комод 400x800", "dimension conflict: 400x700"),
+    ("стол 400/450/500", "стол 450", "passed"),
+    ("полка 1/3", "полка 1/2", "Package ratio mismatch"),
+]
+
+
+@query("SELECT code, CASE cast(code AS BIGINT) % " + str(len(_CASES)) + "".join(f" WHEN {k} THEN '{x[2]}'" for k, x in enumerate(_CASES)) + " END AS reason FROM cat")
+def q_all_constraints(spark, sf_dir):
+    """Each hard constraint by a pair of texts that breaks it."""
+    q, e = (F.element_at(F.array(*(F.lit(x[i]) for x in _CASES)), (F.col("code").cast("long") % len(_CASES)).cast("int") + 1) for i in (0, 1))
+    c = views(spark, sf_dir)["cat"].select("code", q.alias("query"), e.alias("search"))
+    q, e = F.col("query"), F.col("search")
+    c = c.withColumns({
+        "ratio": T.package_ratio(q), "entity_ratio": T.package_ratio(e), "sub_brands": T.sub_brands(q), "entity_brands": T.sub_brands(e), "pairs": T.dimension_pairs(q), "entity_pairs": T.dimension_pairs(e),
+        "widths": T.alternative_widths(q), "thick": T.thicknesses(q), "metres": T.linear_metres(q), "item_type": F.lit(""), "colors": F.array().cast("array<string>"), "color": F.lit(""),
+    })
+    return c.select("code", F.coalesce(scoring.full_constraint_reason(), F.lit("passed")).alias("reason"))
+
+
+_HARDWARE = "CASE cast({c} AS BIGINT) % 3 WHEN 0 THEN 'планка' WHEN 1 THEN 'заглушка' ELSE 'опора' END"
+
+
+@query(f"SELECT b.order_id, b.line_number, c.code FROM blk b JOIN cat o ON o.code = lpad(cast(b.partkey AS VARCHAR), 11, '0') JOIN cat c ON {_HARDWARE.format(c='c.code')} = {_HARDWARE.format(c='o.code')} AND ends_with(split_part(c.module, 'x', 1), split_part(o.module, 'x', 1)) WHERE b.line_number = 1")
+def q_join_phrase(spark, sf_dir):
+    v = views(spark, sf_dir)
+    k, wide = F.col("code").cast("long") % 3, F.split_part("module", F.lit("x"), F.lit(1))
+    word = F.when(k == 0, "планка").when(k == 1, "заглушка").otherwise("опора")
+    named = v["cat"].withColumn("nomenclature", F.concat(F.initcap(word), F.lit(" тип "), wide, F.lit(" мм"))).withColumns({"module": F.lit(""), "label_type": F.lit("")})
+    own = v["cat"].select(F.col("code").alias("own"), F.concat(word, F.lit(" цвет "), wide, F.lit("мм")).alias("client_description"))
+    blocks = v["blk"].where("line_number = 1").drop("client_description").join(own, F.lpad(F.col("partkey").cast("string"), 11, "0") == F.col("own"))
+    return linkage.join_phrase(blocks, linkage.prepared_catalog(named))
+
+
 @query(_PAIRS + " SELECT order_id, line_number, count(*) AS n, round(sum(s), 6) AS total FROM s1 GROUP BY 1, 2")
 def q_score_boosts(spark, sf_dir):
     return scoring.boosted(_pairs(spark, sf_dir)).groupBy("order_id", "line_number").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
@@ -346,21 +441,69 @@ def q_color_barrier(spark, sf_dir):
     return scoring.color_barrier(p).groupBy("order_id", "line_number").agg(F.round(F.sum("score"), 6).alias("total"))
 
 
-_TOP = _PAIRS + """, o AS (SELECT *, row_number() OVER (PARTITION BY order_id, line_number ORDER BY t DESC, rank0, code) AS rn FROM s2 WHERE reason IS NULL),
-top AS (SELECT a.order_id, a.line_number, a.code, a.t, (SELECT max(b.t) FROM o b WHERE b.order_id = a.order_id AND b.line_number = a.line_number AND b.rn > 1 AND b.same_key = a.same_key) AS rival FROM o a WHERE rn = 1)"""
+_TOP = _PAIRS + rf""", o AS (SELECT *, row_number() OVER (PARTITION BY order_id, line_number ORDER BY t DESC, rank0, code) AS rn FROM s2 WHERE reason IS NULL),
+t0 AS (SELECT a.*, (SELECT max(b.t) FROM o b WHERE b.order_id = a.order_id AND b.line_number = a.line_number AND b.rn > 1 AND b.same_key = a.same_key) AS rival,
+  {_SLUG.format("a.d")} AS own, {_SLUG.format("a.e")} AS other, {_NAME.format("a.e")} AS et FROM o a WHERE rn = 1),
+t1 AS (SELECT *, list_distinct(list_filter(regexp_extract_all(own, '[a-z0-9]+'), lambda x: length(x) >= 3 AND x <> 'the')) AS mine, list_filter(regexp_extract_all(own, '[a-z0-9]+'), lambda x: length(x) >= 4) AS words,
+  (contains(label_model, m0) OR contains(m0, label_model)) AND ratio = entity_ratio AND contains(lower(d), lower(entity_module)) AS sure FROM t0),
+top AS (SELECT *, (len(words) = 0 OR len(list_filter(words, lambda x: contains(et, x))) >= 0.75 * len(words)) AND module = entity_module
+  AND (own = '' OR other = '' OR contains(other, own) OR contains(own, other) OR len(mine) = 0 OR 2 * len(list_intersect(mine, list_filter(regexp_extract_all(other, '[a-z0-9]+'), lambda x: length(x) >= 3 AND x <> 'the'))) >= len(mine)) AS aligned FROM t1),
+st AS (SELECT *, CASE WHEN sure OR (aligned AND (rival IS NULL OR round(t - rival, 9) >= 0.03) AND t >= 0.83) THEN 'MATCHED_AUTO' ELSE 'NEEDS_LLM' END AS status FROM top)"""
 
 
-@query(_TOP + " SELECT order_id, line_number, code, round(t, 6) AS score, round(rival, 6) AS rival, CASE WHEN t >= 0.83 AND (rival IS NULL OR round(t - rival, 9) >= 0.03) THEN 'MATCHED_AUTO' ELSE 'NEEDS_LLM' END AS status FROM top")
+@query(_TOP + " SELECT order_id, line_number, code, round(t, 6) AS score, round(rival, 6) AS rival, status FROM st")
 def q_top1_collision_gap(spark, sf_dir):
-    t = scoring.top1(scoring.sub_brand_barrier(scoring.boosted(_pairs(spark, sf_dir))))
+    t = _best(spark, sf_dir)
     return t.select("order_id", "line_number", "code", F.round("score", 6).alias("score"), F.round("rival", 6).alias("rival"), scoring.status(t).alias("status"))
 
 
-@query(_TOP + """ SELECT order_id, line_number, CASE WHEN rival IS NOT NULL AND round(t - rival, 9) < 0.03 THEN 'ambiguous collision among same-characteristic candidates (gap=' || printf('%.3f', t - rival) || ' < 0.03)'
-  WHEN t < 0.83 THEN 'score ' || printf('%.3f', t) || ' below auto threshold 0.83' ELSE 'auto-matched' END AS why FROM top""")
+@query(_TOP + " SELECT status, sure, aligned, count(*) AS n FROM st GROUP BY 1, 2, 3")
+def q_auto_match_status(spark, sf_dir):
+    t = _best(spark, sf_dir)
+    return t.groupBy(scoring.status(t).alias("status"), "sure", "aligned").agg(F.count("*").alias("n"))
+
+
+@query(_TOP + """ SELECT order_id, line_number, CASE WHEN status = 'MATCHED_AUTO' THEN 'auto-matched' WHEN NOT aligned THEN 'distinctive product tokens/decor codes do not align with top candidate'
+  WHEN rival IS NOT NULL AND round(t - rival, 9) < 0.03 THEN 'ambiguous collision among same-characteristic candidates (gap=' || printf('%.3f', t - rival) || ' < 0.03)'
+  WHEN t < 0.83 THEN 'score ' || printf('%.3f', t) || ' below auto threshold 0.83 (feature boost=' || printf('%.2f', boost) || ')' END AS why FROM st
+UNION ALL SELECT order_id, line_number, 'no candidates passed hard filters (QUARANTINE) — ' || string_agg(reason || ': ' || left(nomenclature, 50), '; ' ORDER BY rn) AS why
+  FROM (SELECT p.*, cat.nomenclature, bool_and(reason IS NOT NULL) OVER (PARTITION BY order_id, line_number) AS none, row_number() OVER (PARTITION BY order_id, line_number ORDER BY rank0, p.code) AS rn FROM p JOIN cat USING (code)) WHERE none AND rn <= 3 GROUP BY 1, 2""")
 def q_explain_rejection(spark, sf_dir):
-    t = scoring.top1(scoring.sub_brand_barrier(scoring.boosted(_pairs(spark, sf_dir))))
-    return t.select("order_id", "line_number", scoring.explain(t).alias("why"))
+    t = _best(spark, sf_dir)
+    return t.select("order_id", "line_number", scoring.explain(t).alias("why")).unionByName(scoring.explain_empty(_pairs(spark, sf_dir)))
+
+
+_ASKED = """SELECT order_id, line_number, b.client_description, b.partkey, b.partkey % 7 AS kind, CASE b.partkey % 7 WHEN 1 THEN NULL WHEN 2 THEN '99999999999' WHEN 3 THEN lpad(cast(b.partkey % 100 + 1 AS VARCHAR), 11, '0') ELSE cast(b.partkey AS VARCHAR) END AS asked FROM blk b WHERE line_number <= 2"""
+
+
+@query(rf""", l AS ({_ASKED}), j AS (SELECT l.*, c.code, c.nomenclature, c.barcode, c.packaging, c.module, coalesce(nullif(regexp_extract(client_description, '\d+/\d+'), ''), '1/1') AS ratio,
+  regexp_extract({_DIMS.format("client_description")}, '\d+x\d+') AS pair FROM l LEFT JOIN cat c ON c.code = lpad(l.asked, 11, '0')),
+k AS (SELECT *, kind <> 0 AND kind <> 4 AND code IS NOT NULL AND ratio = packaging AND (pair = '' OR pair = module OR (split_part(pair, 'x', 1) = split_part(module, 'x', 1)) = (split_part(pair, 'x', 2) = split_part(module, 'x', 2))) AS ok FROM j)
+SELECT order_id, line_number, CASE WHEN ok THEN 'MATCHED_LLM' ELSE 'QUARANTINE' END AS status, CASE WHEN ok THEN code END AS code, CASE WHEN ok THEN nomenclature END AS nomenclature, CASE WHEN ok THEN barcode END AS barcode,
+  CASE WHEN ok THEN 0.75::DOUBLE END AS confidence, CASE WHEN ok THEN CASE WHEN barcode IS NULL THEN 'LLM_NO_BARCODE' ELSE 'LLM_GEMINI' END WHEN kind = 0 THEN 'LLM_TIMEOUT' END AS match_method,
+  CASE WHEN kind = 0 THEN '{linkage.TIMEOUT}' WHEN NOT ok THEN '{linkage.MISSING}' END AS status_detail FROM k""")
+def q_llm_merge(spark, sf_dir):
+    """Replies of all kinds (a code, one without its zeros, another entity's, an unknown one, none, broken text, a timeout) merged into the lines that asked."""
+    v = views(spark, sf_dir)
+    b = v["blk"].where("line_number <= 2").select("order_id", "line_number", "client_description", "partkey", F.col("partkey").cast("string").alias("job_key"))
+    kind, quoted = F.col("partkey") % 7, lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    code = F.when(kind == 1, F.lit("null")).when(kind == 2, F.lit('"99999999999"')).when(kind == 3, quoted(F.lpad((F.col("partkey") % 100 + 1).cast("string"), 11, "0"))).otherwise(quoted(F.col("partkey").cast("string")))
+    why = F.when(kind == 0, F.lit(answers.TIMED_OUT)).otherwise(F.lit("подходит"))
+    reply = F.concat(F.when(kind == 4, F.lit("not { json")).otherwise(F.lit("```json\n")), F.lit('{"selected_nomenclature_code": '), code, F.lit(', "confidence": 0.75, "reasoning": "'), why, F.lit('"}\n```'))
+    said = b.select("job_key", "partkey").distinct().select("job_key", answers.parse_reply(reply).alias("x")).select("job_key", "x.*")
+    d, none = F.col("client_description"), F.array().cast("array<string>")
+    lines = b.select("order_id", "line_number", "job_key", T.default_ratio(T.package_ratio(d), F.lit("")).alias("ratio"), T.dimension_pairs(d).alias("pairs"), none.alias("sub_brands"), F.lit("").alias("query"))
+    cat = v["cat"].select("code", "nomenclature", "barcode", F.col("packaging").alias("entity_ratio"), F.array("module").alias("entity_pairs"), none.alias("entity_brands"), F.lit("").alias("search"))
+    return answers.merge_answers(lines, said, cat, scoring.constraint_reason(), "gemini")
+
+
+@query("SELECT code, '[1] Код: ' || code || ' | Номенклатура: ' || nomenclature || ' | Модуль: ' || module || ' | Цвет: ' || color || ' | Начинка: - | Упаковка: ' || packaging || ' | Скор сходства: 0.50' AS line, length(nomenclature) > 0 AS asked FROM cat")
+def q_llm_prompt(spark, sf_dir):
+    c = views(spark, sf_dir)["cat"]
+    one = F.array(F.struct("code", "nomenclature", "module", "color", F.lit(None).cast("string").alias("filling"), "packaging", F.lit(0.5).alias("score")))
+    c = c.withColumns({"client_description": F.col("nomenclature"), "factory_alias": F.lit(None).cast("string"), "item_type": F.lit("")})
+    text = answers.prompt(F.col("packaging"), T.dimensions(F.col("nomenclature")), one)
+    return c.withColumn("text", text).select("code", F.split("text", "\n")[10].alias("line"), F.col("text").contains(F.concat(F.lit("- Клиентское наименование: "), "nomenclature")).alias("asked"))
 
 
 _DECIDE = _CASCADE + rf""", kept AS (SELECT cand.*, b.slug AS bs, c.slug AS cs, b.name_key AS bk, c.name_key AS ck FROM cand JOIN b USING (order_id, line_number) JOIN c USING (code)
@@ -417,7 +560,7 @@ def q_pipeline_full(spark, sf_dir):
     lines = lines.withColumns({"plain": T.expand_abbreviations(T.normalize(d)), "query": T.search_text(d)}).persist()
     lines = lines.withColumns({
         "ratio": T.default_ratio(T.package_ratio(plain), F.lit("")), "sub_brands": T.sub_brands(d), "pairs": T.dimension_pairs(plain), "widths": T.alternative_widths(plain), "thick": T.thicknesses(plain),
-        "metres": T.linear_metres(plain), "item_type": F.lit(""), "composite": T.composite_color(plain), "order_id": d, "line_number": F.lit(0), "embedding": scoring.hash_embedding(F.col("query")),
+        "metres": T.linear_metres(plain), "item_type": F.lit(""), "match_text": d, "part_types": F.array().cast("array<string>"), "composite": T.composite_color(plain), "order_id": d, "line_number": F.lit(0), "embedding": scoring.hash_embedding(F.col("query")),
     }).persist()
     cat = cat.select(
         "code", "search", "label_model", "color", F.col("ratio").alias("entity_ratio"), F.col("module").alias("entity_module"), T.sub_brands(F.col("label_model")).alias("entity_brands"),
@@ -429,6 +572,7 @@ def q_pipeline_full(spark, sf_dir):
     p = scoring.boosted(p.withColumn("reason", scoring.full_constraint_reason()))
     p = p.withColumn("score", F.when(F.col("reason").isNull() & scoring.high_confidence(), F.greatest("score", F.lit(scoring.TUPLE_FLOOR))).otherwise(F.col("score")))
     top = scoring.top1(scoring.color_barrier(scoring.sub_brand_barrier(p)))
+    top = scoring.with_alignment(top.withColumn("sure", scoring.high_confidence()))
     top = top.select(F.col("query_id").alias("client_description"), F.col("code").alias("vector_code"), F.col("score"), scoring.status(top).alias("vector_status"))
     out = done.join(top, "client_description", "left")
     auto = (F.col("status") != "MATCHED_AUTO") & (F.col("vector_status") == "MATCHED_AUTO")
@@ -531,50 +675,73 @@ def q_set_ops(spark, sf_dir):
 
 # Documents as grids of rows
 
+_DOC = "'/in/' || order_id || '.xls' AS doc_id"
+_SAID = r"trim(regexp_replace(client_description, '\s+', ' ', 'g'))"
+_STANDARD = rf""", std AS (SELECT {_DOC}, order_id, line_number::INT AS line_number, {_SAID} AS client_description, CASE WHEN line_number % 2 = 0 THEN 'Стекло' ELSE '' END AS item_type, quantity,
+  CASE line_number % 3 WHEN 1 THEN 'IMP thing ' || line_number WHEN 2 THEN 'more ' || line_number END AS factory_alias, CASE line_number % 3 WHEN 0 THEN 'Комментарий: ABC-100' || line_number ELSE '' END AS order_service_line,
+  (5 + 2 * line_number)::INT AS row_start FROM blk)"""
+_SOFT = f""", sft AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row)::INT AS line_number FROM (SELECT {_DOC}, order_id, (5 + 5 * line_number + d)::INT AS row,
+  'Диван ' || line_number || CASE WHEN line_number % 2 = 0 THEN ' велюр' ELSE '' END || CASE d WHEN 3 THEN ' Спинка 1/2' WHEN 4 THEN ' Сиденье 2/2' ELSE '' END AS client_description,
+  (quantity * CASE d WHEN 4 THEN 2 ELSE 1 END)::INT AS quantity, CASE WHEN line_number % 2 = 0 THEN 'велюр' END AS fabric, NULL::VARCHAR AS reference FROM blk, (SELECT unnest([0, 3, 4]) AS d) WHERE (line_number % 3 = 0) = (d = 0)))"""
+_BOTH = _STANDARD + _SOFT + """, bt AS (SELECT doc_id, line_number, client_description, quantity, CASE WHEN line_number >= 3 THEN 'ABC-100' || (line_number - line_number % 3) END AS order_reference, false AS is_soft_furniture FROM std
+  UNION ALL SELECT doc_id, (line_number + (SELECT max(line_number) FROM blk b WHERE b.order_id = sft.order_id))::INT, client_description, quantity, NULL, true FROM sft)"""
 
-@query(
-    """, f AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN event_id END AS ref FROM events),
-g AS (SELECT *, last_value(ref IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS block FROM f)
-SELECT user_id, block, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY block) AS k FROM g WHERE block IS NOT NULL GROUP BY 1, 2""".replace(", f AS", "WITH f AS", 1),
-    cat=False,
-)
-def q_forward_fill_reference(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _read(spark, sf_dir, "events").withColumn("block", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(w))
-    return e.where("block IS NOT NULL").groupBy("user_id", "block").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("block")).cast("long"))
 
+def _blk(spark, sf_dir):
+    return views(spark, sf_dir)["blk"]
 
-@query(
-    """WITH f AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS block FROM conversations)
-SELECT conv_id, block::BIGINT AS block, min(turn) AS first_row, count(*) AS n_rows, string_agg(text, ' ' ORDER BY turn) FILTER (role <> 'user') AS extras FROM f WHERE block > 0 GROUP BY 1, 2""",
-    cat=False,
-)
+
+@query(_STANDARD + " SELECT * EXCLUDE (order_id) FROM std")
+def q_parse_standard(spark, sf_dir):
+    return documents.parse_standard(sheets.standard(_blk(spark, sf_dir)))
+
+
+@query(_SOFT + " SELECT * EXCLUDE (order_id) FROM sft")
+def q_parse_soft(spark, sf_dir):
+    return documents.parse_soft(sheets.soft(_blk(spark, sf_dir)))
+
+
+@query(_STANDARD + " SELECT doc_id, line_number, row_start, factory_alias FROM std")
 def q_block_islands(spark, sf_dir):
-    from orderweave.operators.documents import islands
+    return documents.parse_standard(sheets.standard(_blk(spark, sf_dir))).select("doc_id", "line_number", "row_start", "factory_alias")
 
-    return islands(_read(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user", "text")
 
+@query(_BOTH + " SELECT * FROM bt")
+def q_renumber(spark, sf_dir):
+    return documents.parse_composite(sheets.composite(_blk(spark, sf_dir)))
 
-@query(
-    """WITH t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS blob FROM conversations WHERE turn < 250 GROUP BY 1)
-SELECT conv_id, CASE WHEN contains(lower(blob), ' der ') AND contains(lower(blob), ' the ') THEN 'COMPOSITE' WHEN contains(lower(blob), ' der ') THEN 'SOFT' ELSE 'STANDARD' END AS kind FROM t""",
-    cat=False,
-)
+
+@query(_BOTH + " SELECT doc_id, line_number, order_reference FROM bt WHERE order_reference IS NOT NULL")
+def q_forward_fill_reference(spark, sf_dir):
+    return documents.parse_composite(sheets.composite(_blk(spark, sf_dir))).where("order_reference IS NOT NULL").select("doc_id", "line_number", "order_reference")
+
+
+@query(f""", t AS (SELECT order_id, max(line_number) AS last, sum(quantity) AS places FROM blk GROUP BY 1)
+SELECT {_DOC}, 1::BIGINT AS section, 'STANDARD' AS kind, 1 AS first_row, (7 + 2 * last)::INT AS last_row, (places + CASE WHEN order_id % 5 = 0 THEN 1 ELSE 0 END)::INT AS declared FROM t
+UNION ALL SELECT {_DOC}, 2, 'SOFT', 100, (110 + 5 * last)::INT, 1 FROM t""")
+def q_sections(spark, sf_dir):
+    return documents.sections(sheets.composite(_blk(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT '/in/' || order_id || '.xls' AS doc_id, CASE order_id % 3 WHEN 0 THEN 'COMPOSITE_PICKING_LIST' WHEN 1 THEN 'SOFT_FURNITURE_TRANSFER' ELSE 'STANDARD_PICKING_LIST' END AS kind FROM blk")
 def q_document_class(spark, sf_dir):
-    from orderweave.operators.documents import row_text
+    return documents.document_class(sheets.titled(_blk(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT '/in/' || order_id || '.xls' AS doc_id, CASE order_id % 5 WHEN 3 THEN 'Перемещение на ' || customer_name WHEN 4 THEN 'Перемещение (' || order_id || '.xls)' ELSE customer_name END AS customer FROM blk")
+def q_customer_label(spark, sf_dir):
+    return documents.customers(sheets.parties(_blk(spark, sf_dir)))
+
 
-    blob = row_text(_read(spark, sf_dir, "conversations").where("turn < 250"), "conv_id", "turn", "text")
-    low = F.lower("blob")
-    kind = F.when(low.contains(" der ") & low.contains(" the "), "COMPOSITE").when(low.contains(" der "), "SOFT").otherwise("STANDARD")
-    return blob.select("conv_id", kind.alias("kind"))
+@query(f"SELECT {_DOC}, sum(quantity)::BIGINT AS places, (sum(quantity) + CASE WHEN order_id % 5 = 0 THEN 1 ELSE 0 END)::INT AS declared, order_id % 5 = 0 AS mismatch FROM blk GROUP BY order_id")
+def q_checksum(spark, sf_dir):
+    cells = sheets.standard(_blk(spark, sf_dir))
+    return documents.checksum(documents.parse_standard(cells), cells)
 
 
-@query("SELECT order_id, count(*) * 2 AS n_packages, sum(quantity)::BIGINT * 2 AS places, sum(quantity)::BIGINT * 2 <> sum(quantity)::BIGINT + count(*) AS checksum_mismatch FROM blk GROUP BY 1")
+@query(_SOFT + " SELECT doc_id, count(*) AS n_packages, sum(quantity)::BIGINT AS places FROM sft GROUP BY 1")
 def q_package_expand(spark, sf_dir):
-    b = views(spark, sf_dir)["blk"].select("order_id", "quantity", F.explode(F.array(F.lit("1/2"), F.lit("2/2"))).alias("package"))
-    places = F.sum("quantity").cast("long")
-    declared = (F.sum("quantity") / 2 + F.count("*") / 2).cast("long")
-    return b.groupBy("order_id").agg(F.count("*").alias("n_packages"), places.alias("places"), (places != declared).alias("checksum_mismatch"))
+    return documents.parse_soft(sheets.soft(_blk(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_packages"), F.sum("quantity").cast("long").alias("places"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", cat=False)

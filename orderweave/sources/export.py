@@ -101,9 +101,14 @@ def run_history(spark: SparkSession, path: str, shift: str | None = None) -> Dat
     return (runs.where(F.col("shift_date") == shift) if shift else runs).orderBy(F.desc("timestamp"), "order_id")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of JSON manifests, whether ``{"runs": [...]}`` or a bare list."""
+def manifest_runs(raw: DataFrame) -> DataFrame:
+    """Runs of JSON manifests, one in each row's ``value``, whether ``{"runs": [...]}`` or a bare list."""
     run = "struct<order_id:string,timestamp:string,original_filename:string,doc_type:string,total_rows:long,total_places:long,matched_auto_count:long,auto_no_barcode_count:long,quarantine_count:long,wms_excel_path:string,customer_name:string,session_path:string>"
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
+    raw = raw.select(F.trim("value").alias("t"))
     both = F.coalesce(F.when(F.col("t").startswith("["), F.from_json("t", f"array<{run}>")), F.from_json("t", f"struct<runs:array<{run}>>")["runs"])
     return raw.select(F.explode(both).alias("r")).select("r.*")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of JSON manifest files."""
+    return manifest_runs(spark.read.text(path, wholetext=True))

@@ -79,10 +79,13 @@ def test_barriers(spark):
 
 def test_top1_and_status(spark):
     df = scoring.top1(_scored(spark, _pair("a", 0.9, rank=1), _pair("b", 0.9, rank=0), _pair("c", 0.95, ratio="1/2")))
+    df = df.withColumns({"sure": F.lit(False), "aligned": F.lit(True)})
     r = df.withColumn("status", scoring.status(df)).first()
     assert (r.code, r.rival, r.n_passed, r.status) == ("b", 0.9, 2, "NEEDS_LLM")
     df = scoring.top1(_scored(spark, _pair("a", 0.9), _pair("b", 0.9, key="other", rank=5)))
-    assert df.withColumn("status", scoring.status(df)).first().status == "MATCHED_AUTO"
+    for sure, aligned, want in ((False, True, "MATCHED_AUTO"), (False, False, "NEEDS_LLM"), (True, False, "MATCHED_AUTO")):
+        d = df.withColumns({"sure": F.lit(sure), "aligned": F.lit(aligned)})
+        assert d.withColumn("status", scoring.status(d)).first().status == want
 
 
 def test_knn_is_exact(spark):
@@ -195,7 +198,7 @@ def test_without_a_header_fills_open_blocks(spark, tmp_path):
 
 
 def test_soft_document(spark):
-    grid = [(1, 1, "Мягкая мебель"), (3, 1, "№"), (3, 2, "Наименование"), (3, 3, "Кол-во"), (4, 1, "1"), (4, 2, "Диван"), (4, 3, "2"), (5, 1, "Состоит из упаковок"), (6, 1, "Спинка"), (6, 2, "1"), (7, 1, "Сиденье"), (7, 2, "3"), (8, 1, "2"), (8, 2, "Кресло"), (8, 3, "1"), (9, 1, "Итого мест 9")]
+    grid = [(1, 1, "Мягкая мебель"), (3, 1, "№"), (3, 2, "Наименование"), (3, 3, "Кол-во"), (4, 1, "1"), (4, 2, "Диван"), (4, 3, "2"), (5, 1, "Состоит из упаковок"), (6, 1, "Спинка"), (6, 3, "1"), (7, 1, "Сиденье"), (7, 3, "3"), (8, 1, "2"), (8, 2, "Кресло"), (8, 3, "1"), (9, 1, "Итого мест 9")]
     cells = spark.createDataFrame([("d", r, c, t, "") for r, c, t in grid], sheet.CELLS)
     assert documents.document_class(cells).first().kind == "SOFT_FURNITURE_TRANSFER"
     lines = documents.parse_soft(cells)
@@ -278,7 +281,7 @@ def test_composite_document(spark):
     assert documents.document_class(cells).first().kind == "COMPOSITE_PICKING_LIST"
     assert [(r.kind, r.first_row, r.last_row, r.declared) for r in documents.sections(cells).orderBy("section").collect()] == [("STANDARD", 1, 6, 3), ("SOFT", 8, 12, 1)]
     got = documents.parse_composite(cells).orderBy("line_number").collect()
-    assert [(r.line_number, r.client_description, r.quantity, r.order_reference, r.is_soft_furniture) for r in got] == [(1, "Комод", 2, "ЦНТ-001415", False), (2, "Стол", 1, "ЦНТ-001415", False), (3, "Диван", 1, None, True)]
+    assert [(r.line_number, r.client_description, r.quantity, r.order_reference, r.is_soft_furniture) for r in got] == [(1, "Комод", 2, "ЦНТ-001415", False), (2, "Стол", 1, "ЦНТ-001415", False), (3, "Диван велюр", 1, None, True)]
     assert documents.parse(cells).count() == 3
 
 
