@@ -34,11 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written once to the shared folder, so that a lost executor costs only a reread.
 
-    ``keep`` writes a frame and returns it as a scan; ``drop`` deletes a scan's files once nothing reads them.
+    ``keep`` writes a frame and returns it as a scan; ``drop`` deletes a scan's files once nothing reads them. Results
+    are lazy and may read tables late, so the folder itself is deleted when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark).rstrip('/')}/ow-{uuid.uuid4().hex}", {}
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(root)
+        fs.deleteOnExit(root)  # what isn't dropped before goes with the driver
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"

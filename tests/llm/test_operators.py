@@ -80,6 +80,68 @@ def test_language_of_a_long_text_is_that_of_its_blocks(monkeypatch):
     assert np.allclose(model.logits(texts), whole)
 
 
+def test_language_scores_by_hand():
+    model = language_id.train([(t, lang, k % 5 == 0) for k, (_, t, lang, *_) in enumerate(rows()) if t and lang and len(t) < 20_000])
+    fold = lambda t: b" " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in t.lower().encode()) + b"  "
+    texts = ["The x", "Où, là-bas?\nété", "a", "of the 12 of", "漢字 the"]
+    for text, got in zip(texts, model.logits(texts), strict=True):
+        data, total, count = fold(text), np.zeros(len(model.langs)), 0
+        for n in language_id.GRAMS:
+            for i in range(len(data) - n + 1):
+                gram = data[i : i + n]
+                if b" " in gram[1:-1] or n == 2 and gram == b"  ":
+                    continue
+                h = 2166136261
+                for b in gram:
+                    h = (h ^ b) * 16777619 & 0xFFFFFFFF
+                total += model.scores[(h ^ h >> 15) & (1 << language_id.BUCKET_BITS) - 1]
+                count += 1
+        assert np.allclose(got, total / max(count, 1) + model.bias, atol=1e-5)
+
+
+def test_languages_with_only_long_texts_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 500)
+    rnd = random.Random(2)
+    data = [(i, prose(rnd, FRENCH, 300) if i % 2 else prose(rnd, ENGLISH, 40), "fr" if i % 2 else "en", None, 0) for i in range(200)]
+    assert language_id.fit(documents(spark, data)).langs == ["en", "fr"]
+
+
+@pytest.mark.parametrize("op", ["mix", "near", "redact", "language"])
+def test_any_column_names(spark, op):
+    """Columns with dots, and with the names that operators use inside, come through as they are."""
+    docs = documents(spark).select("*", *(F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")).alias(c) for k, c in enumerate(["a.b", "__size", "__h", "row", "all", "c0", "`q`"])))
+    run = {
+        "mix": lambda: source_mixing.mix_documents(docs, [3, 1, 2]), "near": lambda: simhash_dedup.drop_near_copies(docs), "redact": lambda: secret_scan.redact_secrets(docs),
+        "language": lambda: language_id.drop_rejected(docs, language_id.fit(docs)),
+    }[op]
+    out = run()
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[5:] == tuple(f"{k}-{r.doc_id}" for k in range(7)) for r in got)
+
+
+def test_an_outlying_id_leaves_ranges_even(spark):
+    data = [*range(-500, 4000), 1 << 60, -(1 << 60)]
+    own = spark.createDataFrame([(i, f"t{i}") for i in data], "doc_id long, t string").union(spark.createDataFrame([(fingerprints.NO_ID, f"n{i}") for i in range(3000)], "doc_id long, t string"))
+    sizes = [r["count"] for r in fingerprints.ranged(own).groupBy("range").count().collect()]
+    assert max(sizes) < 60
+    got = {r.doc_id: r.next_id for r in fingerprints.with_next(own.where(F.col("doc_id") != fingerprints.NO_ID)).collect()}
+    ids = sorted(data)
+    assert got == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+
+
+def test_long_runs_take_no_memory():
+    scanner = secret_scan.Scanner()
+    assert len(scanner.all.scan(b"0f" * 500_000)) < 100
+    assert scanner.text_spans("0f" * 500_000) == [(0, 2, 1_000_000)]
+
+
+def test_private_keys_are_masked_whole():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/a\nAAAA==\n-----END RSA PRIVATE KEY-----"
+    found = secret_scan.Scanner().text_spans(f"x {key} y")
+    assert secret_scan.redact(f"x {key} y", found, "#") == "x # y"
+
+
 def _canonical(text):
     nfkc = lambda x: unicodedata.normalize("NFKC", x)
     return re.sub(r"\s+", " ", nfkc(nfkc(text).casefold())).strip(" ")
