@@ -1,7 +1,13 @@
 """A corpus pipeline of five stages; each reads all that the one before kept.
 
-Documents whose language is rejected go; of near copies one stays; secrets are masked; sources are mixed to
-target weights (a document may then come twice); what is left is encoded to pieces, and decoded to check it.
+Documents whose language is rejected go; of near copies (five-word shingles, a similarity of 0.8 and more) one
+stays; secrets are masked; sources are mixed to target weights (a document may then come twice); what is left is
+encoded to pieces, and decoded to check it.
+
+Defined results: a null text, or one without a letter, is rejected by the first stage; rows without a source are a
+source of their own, rows without an id are mixed and deduplicated like any other; of repeated rows and of ties one
+row stays, that of the least id; a text of any length is read whole by every stage; an empty table gives an empty
+result; other columns of the documents come through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
