@@ -330,3 +330,15 @@ def safe_stem(name: Column, most: int = 80) -> Column:
     """A file name stem without characters that file systems refuse."""
     stem = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r'[<>:"/\\|?*\x00-\x1F]', "_"), r"\s+", "_")
     return F.coalesce(F.nullif(F.substring(stem, 1, most), F.lit("")), F.lit("order"))
+
+
+def order_id(filename: Column, timestamp: Column, length: Column) -> Column:
+    """A run's id: the first 16 digits of the digest of file name, time and size."""
+    return F.left(F.sha2(F.concat_ws("|", filename, timestamp, length.cast("string")), 256), F.lit(16))
+
+
+def document_label(kind: Column) -> Column:
+    """What a class of documents is called in reports; a label is its own."""
+    # The labels.
+    soft = (kind == "SOFT_FURNITURE_TRANSFER") | F.lower(kind).contains("мягк")
+    return F.when(soft, "Мягкая мебель (Перемещение)").otherwise("Корпусная мебель (1С 7.7)")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +18,9 @@ from orderweave.operators.linkage import KEY, MISSING, TIMEOUT
 TIMED_OUT, UNAVAILABLE = "LLM request timeout", "LLM Fallback unavaliable"
 REPLY = "selected_nomenclature_code string, confidence double, reasoning string"
 ASKED = 5
+# What is tried once more and after how long, how long a refused key rests, how many questions go at once.
+RETRY_CODES, RETRY_WORDS = {429, 504}, ("504", "429", "DEADLINE_EXCEEDED", "RESOURCE_EXHAUSTED", "TOO MANY REQUESTS")
+RETRY_AFTER, REST, AT_ONCE = 1.5, 60.0, 8
 
 
 def prompt(ratio: Column, dimensions: Column, candidates: Column) -> Column:
@@ -76,3 +85,81 @@ def merge_answers(lines: DataFrame, answers: DataFrame, catalog: DataFrame, reas
         *KEY, F.when(F.col("taken"), "MATCHED_LLM").otherwise("QUARANTINE").alias("status"), only("code").alias("code"), only("nomenclature").alias("nomenclature"), only("barcode").alias("barcode"),
         only("confidence").alias("confidence"), method.alias("match_method"), detail.alias("status_detail"),
     )
+
+
+def may_retry(error: BaseException) -> bool:
+    """Timeouts and refusals for too many requests."""
+    codes = {getattr(error, "status_code", None), getattr(error, "code", None)}
+    return isinstance(error, TimeoutError) or bool(codes & RETRY_CODES) or any(w in str(error).upper() for w in RETRY_WORDS)
+
+
+def call_with_retry(call: Callable, delay: float = RETRY_AFTER, retry_on: Callable[[BaseException], bool] = may_retry):
+    """``call()``, and once more after a delay if the first error is one to retry."""
+    try:
+        return call()
+    except Exception as error:
+        if not retry_on(error):
+            raise
+    time.sleep(delay)
+    return call()
+
+
+class KeyRing:
+    """Keys handed out in turn; one that was refused rests for a while."""
+
+    def __init__(self, keys: list[str], rest: float = REST, clock: Callable[[], float] = time.monotonic):
+        self.keys, self.rest, self.clock = [k.strip() for k in keys if k.strip()], rest, clock
+        self.next, self.until, self.lock = 0, {}, threading.Lock()
+
+    def take(self) -> str | None:
+        """The next key that doesn't rest, or None."""
+        with self.lock:
+            now = self.clock()
+            for _ in self.keys:
+                key = self.keys[self.next]
+                self.next = (self.next + 1) % len(self.keys)
+                if self.until.get(key, now) <= now:
+                    return key
+        return None
+
+    def refuse(self, key: str) -> None:
+        with self.lock:
+            self.until[key] = self.clock() + self.rest
+
+
+def resolve(jobs: DataFrame, ask: Callable[[str, str | None], str] | None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``jobs(job_key, prompt)`` to (job_key, code, confidence, reasoning), a few questions at once in each task.
+
+    ``ask(prompt, key)`` gives the reply as text. A call that may be tried again is, with the next key; one that
+    times out twice is answered as timed out, one that fails otherwise, or is not asked, as unavailable.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ring = KeyRing(list(keys))
+
+        def one(prompt: str) -> str:
+            def call() -> str:
+                key = ring.take()
+                try:
+                    return ask(prompt, key)
+                except Exception as error:
+                    if key is not None and may_retry(error):
+                        ring.refuse(key)
+                    raise
+
+            told = lambda why: '{"reasoning": "' + why + '"}'
+            if ask is None:
+                return told(UNAVAILABLE)
+            try:
+                return call_with_retry(call)
+            except TimeoutError:
+                return told(TIMED_OUT)
+            except Exception:  # an answer all the same, without a code
+                return told(UNAVAILABLE)
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(pool.map(one, b.column(1).to_pylist())), pa.string())], names=["job_key", "reply"])
+
+    said = jobs.select("job_key", "prompt").mapInArrow(run, "job_key string, reply string")
+    return said.select("job_key", parse_reply(F.col("reply")).alias("x")).select("job_key", "x.*")

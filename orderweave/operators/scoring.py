@@ -312,25 +312,21 @@ def explain_empty(pairs: DataFrame) -> DataFrame:
     return p.groupBy(*KEY).agg(F.concat(F.lit("no candidates passed hard filters (QUARANTINE) — "), F.array_join(said, "; ")).alias("why"))
 
 
-def resolver_jobs(decisions: DataFrame) -> DataFrame:
-    """One job for all lines that ask the same of the same candidates; ``resolve`` is called once a job."""
-    key = F.sha2(F.concat_ws("", F.lower(F.trim("client_description")), F.array_join(F.array_sort("codes"), ",")), 256)
-    return decisions.withColumn("job_key", key).groupBy("job_key").agg(F.count("*").alias("n_lines"), F.min("client_description").alias("client_description"), F.first("codes").alias("codes"))
+def diagnose(pairs: DataFrame) -> DataFrame:
+    """(line, n, n_passed, top_three, why) for calibration, from pairs with reason, score, boost, nomenclature, sure and aligned.
 
+    The best three are given whether they passed or not, with what they broke.
+    """
+    w = W.partitionBy(*KEY)
+    best = w.orderBy(F.col("score").desc(), "rank0", "code")
+    top = top1(pairs)
+    said = top.select(*KEY, explain(top).alias("why")).unionByName(explain_empty(pairs))
+    p = pairs.withColumns({"n": F.count("*").over(w), "n_passed": F.count_if(F.col("reason").isNull()).over(w), "rn": F.row_number().over(best)}).where("rn <= 3")
+    each = F.transform(F.array_sort(F.collect_list(F.struct("rn", "code", "score", "reason"))), lambda x: F.struct(x["code"].alias("code"), x["score"].alias("score"), x["reason"].alias("reason")))
+    return p.groupBy(*KEY).agg(F.max("n").alias("n"), F.max("n_passed").alias("n_passed"), each.alias("top_three")).join(said, KEY, "left")
 
-def resolve(jobs: DataFrame, resolver=None) -> DataFrame:
-    """(job_key, code, confidence, reasoning) by a function of (description, codes); without one a job has no answer."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                try:
-                    code, confidence, why = resolver(row["client_description"], row["codes"]) if resolver else (None, 0.0, "no resolver")
-                except Exception as e:  # a failed call is an answer without a code
-                    code, confidence, why = None, 0.0, f"failed: {type(e).__name__}"
-                out.append((row["job_key"], code, float(confidence), why))
-            types = (pa.string(), pa.string(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, types, strict=True)], names=["job_key", "code", "confidence", "reasoning"])
-
-    return jobs.select("job_key", "client_description", "codes").mapInArrow(run, "job_key string, code string, confidence double, reasoning string")
+def resolver_jobs(decisions: DataFrame) -> DataFrame:
+    """One job for all lines that ask the same of the same candidates; ``answers.resolve`` is called once a job."""
+    key = F.sha2(F.concat_ws("", F.lower(F.trim("client_description")), F.array_join(F.array_sort("codes"), ",")), 256)
+    return decisions.withColumn("job_key", key).groupBy("job_key").agg(F.count("*").alias("n_lines"), F.min("client_description").alias("client_description"), F.first("codes").alias("codes"))

@@ -123,6 +123,14 @@ def q_safe_filename(spark, sf_dir):
     return b.select("customer_name", T.safe_stem(F.concat_ws(" ", "customer_name", "d")).alias("stem"), F.sha2(F.concat_ws("|", "customer_name", "d"), 256).alias("run_id"))
 
 
+@query("SELECT o_orderkey, substr(sha256('o' || o_orderkey || '.xls|' || cast(cast(o_orderdate AS DATE) AS VARCHAR) || '|' || o_custkey), 1, 16) AS order_id, CASE o_orderkey % 3 WHEN 0 THEN 'Мягкая мебель (Перемещение)' WHEN 1 THEN 'Мягкая мебель (Перемещение)' ELSE 'Корпусная мебель (1С 7.7)' END AS label FROM orders", cat=False)
+def q_order_id_hash(spark, sf_dir):
+    o, k = _read(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
+    name, day = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".xls")), F.col("o_orderdate").cast("date").cast("string")
+    kind = F.when(k == 0, "SOFT_FURNITURE_TRANSFER").when(k == 1, "мягкий").otherwise("STANDARD_PICKING_LIST")
+    return o.select("o_orderkey", T.order_id(name, day, F.col("o_custkey")).alias("order_id"), T.document_label(kind).alias("label"))
+
+
 # Text
 
 
@@ -473,6 +481,16 @@ def q_explain_rejection(spark, sf_dir):
     return t.select("order_id", "line_number", scoring.explain(t).alias("why")).unionByName(scoring.explain_empty(_pairs(spark, sf_dir)))
 
 
+@query(_TOP + """, g AS (SELECT order_id, line_number, count(*) AS n, count(*) FILTER (reason IS NULL) AS n_passed FROM s2 GROUP BY 1, 2),
+b AS (SELECT order_id, line_number, list(code ORDER BY rn) AS codes FROM (SELECT *, row_number() OVER (PARTITION BY order_id, line_number ORDER BY t DESC, rank0, code) AS rn FROM s2) WHERE rn <= 3 GROUP BY 1, 2)
+SELECT order_id, line_number, n, n_passed, codes, status = 'MATCHED_AUTO' AS taken FROM g JOIN b USING (order_id, line_number) LEFT JOIN st USING (order_id, line_number)""")
+def q_diagnose(spark, sf_dir):
+    p = scoring.sub_brand_barrier(scoring.boosted(_pairs(spark, sf_dir)))
+    d = scoring.diagnose(scoring.with_alignment(p.withColumn("sure", scoring.high_confidence())))
+    none = F.col("n_passed") == 0
+    return d.select("order_id", "line_number", "n", "n_passed", F.transform("top_three", lambda x: x["code"]).alias("codes"), F.when(~none, F.col("why") == "auto-matched").alias("taken"))
+
+
 _ASKED = """SELECT order_id, line_number, b.client_description, b.partkey, b.partkey % 7 AS kind, CASE b.partkey % 7 WHEN 1 THEN NULL WHEN 2 THEN '99999999999' WHEN 3 THEN lpad(cast(b.partkey % 100 + 1 AS VARCHAR), 11, '0') ELSE cast(b.partkey AS VARCHAR) END AS asked FROM blk b WHERE line_number <= 2"""
 
 

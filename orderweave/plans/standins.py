@@ -7,6 +7,7 @@ line (copied, recased, article only, other separators, unknown, custom size, amb
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CAT_SQL = """
 SELECT lpad(cast(p_partkey AS {string}), 11, '0') AS code,
@@ -46,5 +47,13 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"part": part, "lineitem": lineitem, "orders": orders, "cat": cat, "blk": blk}
 
 
+def sample_catalog(catalog: DataFrame, count: int, seed: int = 42) -> DataFrame:
+    """So many named entities, the same ones for a seed; an error if there are fewer."""
+    named = catalog.where("trim(nomenclature) <> ''")
+    if named.limit(count).count() < count:
+        raise ValueError("the catalog is too small for the sample")
+    return named.orderBy(F.xxhash64(F.lit(seed), "code"), "code").limit(count)
+
+
 #: For DuckDB queries that begin with these two.
 WITH = f"WITH cat AS ({CAT_SQL.format(string='varchar')}), blk AS ({BLK_SQL.format(string='varchar')})"

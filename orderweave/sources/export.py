@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -23,7 +24,7 @@ def _ref(row: int, col: int) -> str:
     return f"{chr(64 + col)}{row}"
 
 
-def _sheet(rows: list[list], widths: list[int]) -> str:
+def _sheet(rows: list[list], widths: list[int], filter_rows: int = 0) -> str:
     body = []
     for r, row in enumerate(rows, 1):
         cells = []
@@ -36,7 +37,17 @@ def _sheet(rows: list[list], widths: list[int]) -> str:
                 cells.append(f'<c r="{_ref(r, c)}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>')
         body.append(f'<row r="{r}">{"".join(cells)}</row>')
     cols = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(widths, 1))
-    return f"<worksheet {_NS}><cols>{cols}</cols><sheetData>{''.join(body)}</sheetData></worksheet>"
+    filter_ = f'<autoFilter ref="A1:{_ref(filter_rows, len(widths))}"/>' if filter_rows else ""
+    return f"<worksheet {_NS}><cols>{cols}</cols><sheetData>{''.join(body)}</sheetData>{filter_}</worksheet>"
+
+
+def filtered_last_row(book: bytes) -> int:
+    """The last data row that the export sheet's filter covers; totals are below it."""
+    with zipfile.ZipFile(io.BytesIO(book)) as z:
+        found = re.search(rb'<autoFilter ref="[A-Z]+\d+:[A-Z]+(\d+)"', z.read("xl/worksheets/sheet1.xml"))
+    if not found:
+        raise ValueError("the export sheet has no filter")
+    return int(found[1])
 
 
 def workbook(rows: list[tuple], summary: list[tuple]) -> bytes:
@@ -51,7 +62,7 @@ def workbook(rows: list[tuple], summary: list[tuple]) -> bytes:
         z.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook {_NS} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="WMS" sheetId="1" r:id="r1"/><sheet name="Сводка" sheetId="2" r:id="r2"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet2.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", _sheet(table, [width(c) for c in range(5)]))
+        z.writestr("xl/worksheets/sheet1.xml", _sheet(table, [width(c) for c in range(5)], total))
         z.writestr("xl/worksheets/sheet2.xml", _sheet([list(r) for r in summary], [30, 20]))
     return out.getvalue()
 

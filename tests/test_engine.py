@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from orderweave.operators import dictionary, documents, linkage, reports, scoring
+from orderweave.operators import answers, dictionary, documents, linkage, reports, scoring
 from orderweave.plans import registry
 from orderweave.sources import sheet
 from orderweave.streaming import shifts
@@ -109,13 +109,13 @@ def test_resolver_answers_each_job_once(spark):
     jobs = scoring.resolver_jobs(df)
     assert sorted(r.n_lines for r in jobs.collect()) == [1, 2]
 
-    def pick(text, codes):
-        if text == "b":
+    def pick(prompt, key):
+        if prompt.startswith("b"):
             raise RuntimeError
-        return min(codes), 0.9, "least"
+        return '{"selected_nomenclature_code": "%s", "confidence": 0.9, "reasoning": "least"}' % prompt[-1]
 
-    assert sorted((r.code or "", r.reasoning) for r in scoring.resolve(jobs, pick).collect()) == [("", "failed: RuntimeError"), ("x", "least")]
-    assert {r.reasoning for r in scoring.resolve(jobs).collect()} == {"no resolver"}
+    asked = jobs.select("job_key", F.concat_ws(" ", F.trim("client_description"), F.array_min("codes")).alias("prompt"))
+    assert sorted((r.code or "", r.reasoning) for r in answers.resolve(asked, pick).collect()) == [("", answers.UNAVAILABLE), ("x", "least")]
 
 
 def test_dictionary():
