@@ -39,7 +39,7 @@ from orderweave.llm.word_blocks import Seen, distinct, parts, slices, text_bytes
 MODEL_FILE = os.environ.get("ORDERWEAVE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 PART = 1 << 22  # bytes of text encoded at once, or one text
-CHARS_AT_ONCE, MOST_UNITS, MOST_IDS = 500_000, 1_500_000, 1 << 23
+CHARS_AT_ONCE, MOST_UNITS, MOST_IDS = 500_000, 600_000, 1 << 22
 # Numbers of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6

@@ -42,7 +42,7 @@ BITS, MOST, BLOCKS = 64, 3, 4
 SHINGLE, SEED = 3, 42
 PIVOTS, PIVOT_SEED = 48, 11
 WORDS, NEAR_SHINGLE, SIMILARITY, SLACK, BAND_BITS = 4, 5, 0.8, 6, 16
-PART, AT_ONCE = 1 << 23, 1 << 14  # bytes of text hashed at once, and shingles whose bits are counted at once
+PART, AT_ONCE = 1 << 22, 1 << 14  # bytes of text hashed at once, and shingles whose bits are counted at once
 LARGE_BUCKET, LEVELS = 4096, 5
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 _FEW = 1 << 15  # shingles whose bits are counted at once
