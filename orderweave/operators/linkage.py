@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderweave.functions import text as T
+from orderweave.operators.tables import kept
 
 KEY = ["order_id", "line_number"]
 # The reasons for quarantine.
@@ -181,37 +182,41 @@ def dimension_conflict(order_pairs, entity_pairs):
 def decide(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row a line: status, method, entity and reason. Lines without a match are kept, with why there is none.
 
-    Candidates come to their line by a left join; packaging, shared tokens and constraints are windows over the
-    line, and the row that is left of each line carries the answer, so no line can be lost or doubled.
+    Only keys and small features go through the windows over a line's candidates; packaging, shared tokens and
+    dimensions leave one row of each line that has candidates, and that is joined back to the line's own columns and
+    to the entity's names, so no line can be lost or doubled.
     """
-    # Features are read by both sides of the join; kept partitions of a lost executor are computed again.
-    b, c = prepared_blocks(blocks).persist(), prepared_catalog(catalog).persist()
-    entities = c.select("code", "nomenclature", "barcode", F.col("ratio").alias("entity_ratio"), T.significant_tokens(T.slug(F.col("search"))).alias("entity_tokens"), T.dimension_pairs(F.col("search")).alias("entity_pairs"))
-    j = b.join(candidate_table(b, c), KEY, "left").join(entities, "code", "left")
+    b, c = prepared_blocks(blocks), prepared_catalog(catalog)
+    narrow = kept(b.select(*KEY, "client_description", "name_key", "slug", "articles", "dims", "tokens", "ratio", "pairs"))
+    index = kept(c.select("code", "nomenclature", "name_key", "slug", "articles", "dims", "search", F.col("ratio").alias("entity_ratio"), T.significant_tokens(T.slug(F.col("search"))).alias("entity_tokens"), T.dimension_pairs(F.col("search")).alias("entity_pairs")))
+    j = candidate_table(narrow, index).join(narrow.select(*KEY, "tokens", "ratio", "pairs"), KEY).join(index.select("code", "entity_ratio", "entity_tokens", "entity_pairs"), "code", "left")
+    fits = F.coalesce(F.col("code").isNotNull() & packaging_compatible(F.col("ratio"), F.col("entity_ratio")), F.lit(False))
+    clash = dimension_conflict(F.col("pairs"), F.col("entity_pairs")).isNotNull()
+    j = j.select(*KEY, "stage", "code", "known", fits.alias("fits"), clash.alias("clash"), F.size(F.array_intersect("tokens", "entity_tokens")).alias("overlap"))
     line = W.partitionBy(*KEY)
-    j = j.withColumns({"fits": F.col("code").isNotNull() & packaging_compatible(F.col("ratio"), F.col("entity_ratio")), "overlap": F.size(F.array_intersect("tokens", "entity_tokens"))})
     j = j.withColumns({"best": F.max(F.when(F.col("fits"), F.col("overlap"))).over(line), "n_candidates": F.count("code").over(line)})
     j = j.withColumn("winners", F.count_if(F.col("fits") & (F.col("overlap") == F.col("best"))).over(line))
     # Most shared tokens win, if one alone has them or they are two and more.
     keep = F.col("fits") & ((F.col("best") <= 0) | (F.col("overlap") == F.col("best")) | ((F.col("winners") > 1) & (F.col("best") < 2)))
     j = j.withColumn("keep", F.coalesce(keep, F.lit(False)))
     j = j.withColumns({"n_kept": F.count_if("keep").over(line), "rn": F.row_number().over(line.orderBy(F.desc("keep"), "code"))}).where("rn = 1")
-    matched = F.col("keep") & (F.col("n_kept") == 1) & dimension_conflict(F.col("pairs"), F.col("entity_pairs")).isNull()
-    j = j.withColumn("matched", matched)
-    only = lambda c: F.when(F.col("matched"), F.col(c))
-    d = F.col("client_description")
+    matched = F.col("keep") & (F.col("n_kept") == 1) & ~F.coalesce("clash", F.lit(False))
+    won = j.select(*KEY, F.when(matched, F.col("code")).alias("code"), F.when(matched, F.col("stage")).alias("stage"), "n_candidates", "known")
+    names = catalog.select("code", "nomenclature", "barcode")
+    o = blocks.select(*KEY, "client_description", "quantity", "customer_name", "shift_date").join(won, KEY, "left").join(names, "code", "left")
+    d, matched, n = F.col("client_description"), F.col("code").isNotNull(), F.coalesce("n_candidates", F.lit(0))
     hint = d.rlike(r"(?iuU)заказн|нестандарт|под\s+заказ")
-    glass = d.rlike("(?iu)стекло|зеркал") & (F.size(T.dimensions(F.col("plain"))) > 0)
+    # Texts are normalised here only where a line has no candidate and names glass.
+    glass = F.when(d.rlike("(?iu)стекло|зеркал"), F.size(T.dimensions(T.expand_abbreviations(T.normalize(d)))) > 0).otherwise(F.lit(False))
     custom = ~d.rlike("(?iu)полкодерж") & (hint | glass)
     # Hardware that nothing was found for passes without an entity, unless it is made to measure.
-    passes = ~F.col("matched") & (F.col("n_candidates") == 0) & T.is_hardware(d) & ~custom
-    status = F.when(F.col("matched"), "MATCHED_AUTO").when(F.col("n_candidates") > 0, "NEEDS_LLM").when(passes, "MATCHED_AUTO").otherwise("QUARANTINE")
-    reason = F.when((F.size("articles") > 0) & ~F.coalesce("known", F.lit(False)), NO_ARTICLE).when(custom, CUSTOM).otherwise(MISSING)
-    j = j.withColumns({"status": status, "reason": reason})
-    return j.select(
-        *KEY, "client_description", "quantity", "customer_name", "shift_date", "status", F.coalesce(only("stage"), F.lit(0)).alias("stage"), only("code").alias("code"), only("nomenclature").alias("nomenclature"), only("barcode").alias("barcode"),
-        F.when(F.col("matched") & F.col("barcode").isNotNull(), "exact_article").when(F.col("status") == "MATCHED_AUTO", "AUTO_NO_BARCODE").alias("match_method"),
-        F.when(F.col("status") == "QUARANTINE", F.col("reason")).alias("status_detail"), "n_candidates",
+    status = F.when(matched, "MATCHED_AUTO").when(n > 0, "NEEDS_LLM").when(T.is_hardware(d) & ~custom, "MATCHED_AUTO").otherwise("QUARANTINE")
+    o = o.withColumn("status", status)
+    reason = F.when((F.size(T.article_tokens(d)) > 0) & ~F.coalesce("known", F.lit(False)), NO_ARTICLE).when(custom, CUSTOM).otherwise(MISSING)
+    return o.select(
+        *KEY, "client_description", "quantity", "customer_name", "shift_date", "status", F.coalesce("stage", F.lit(0)).alias("stage"), "code", "nomenclature", "barcode",
+        F.when(matched & F.col("barcode").isNotNull(), "exact_article").when(F.col("status") == "MATCHED_AUTO", "AUTO_NO_BARCODE").alias("match_method"),
+        F.when(F.col("status") == "QUARANTINE", reason).alias("status_detail"), n.alias("n_candidates"),
     )
 
 
