@@ -319,18 +319,16 @@ def gram_logs(gram: np.ndarray, seen: DataFrame, top: Top) -> np.ndarray:
     return np.array([logs[int(g)] for g in gram])
 
 
-def _most_frequent(learnt: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, n, log) of the grams of at least some count; ``KNOWN`` at most."""
+def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
+    """Of ``rows(n, ...)`` those of at least some count: as many as are ``most`` at most. Nothing is sorted; what comes to the driver are counts by eighths of powers of two."""
     step = F.floor(F.log2(F.col("n") + 1) * 8)
     total, least = 0, None
-    for r in learnt.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred rows
+    for r in rows.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred rows
         total += r["count"]
-        if total > KNOWN:
+        if total > most:
             break
         least = r["step"]
-    got = learnt.where(step >= least if least is not None else F.lit(False)).toArrow()
-    gram, n, log = (got[c].to_numpy() for c in ("gram", "n", "log"))
-    return gram.astype(np.uint64), n, log
+    return rows.where(step >= least if least is not None else F.lit(False))
 
 
 def _gram_keys(gram: np.ndarray) -> np.ndarray:
@@ -393,11 +391,12 @@ def score_documents(docs: DataFrame, training: DataFrame | Column, keep: list[st
     counts = scratch.keep(corpus_counts(rows), "counts")
     words, seen = counts.where("word IS NOT NULL").select("word", "n"), counts.where("word IS NULL").select("gram", "n")
     total, v, end = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0))).first()
-    sent = words.where(F.octet_length("word").between(1, LONGEST_SENT)).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    sent = _most_frequent(words.where(F.octet_length("word").between(1, LONGEST_SENT)), FREQUENT).toArrow()
     data, offsets = text_bytes(sent["word"].combine_chunks())
     known = word_keys(data, offsets[:-1], offsets[1:]), sent["n"].to_numpy()
     learnt = scratch.keep(gram_table(seen, _upward(seen)), "learnt")
-    shared = spark.sparkContext.broadcast(Scorer(*known, end, *_most_frequent(learnt)))
+    grams_ = _most_frequent(learnt, KNOWN).toArrow()
+    shared = spark.sparkContext.broadcast(Scorer(*known, end, grams_["gram"].to_numpy().astype(np.uint64), grams_["n"].to_numpy(), grams_["log"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
