@@ -20,6 +20,10 @@ LEAST_WIDTH, MOST_WIDTH = 10, 80
 _NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
 
+class _Formula(str):
+    """A cell that is worked out; any other text is text, whatever it begins with."""
+
+
 def _ref(row: int, col: int) -> str:
     return f"{chr(64 + col)}{row}"
 
@@ -29,8 +33,8 @@ def _sheet(rows: list[list], widths: list[int], filter_rows: int = 0) -> str:
     for r, row in enumerate(rows, 1):
         cells = []
         for c, v in enumerate(row, 1):
-            if isinstance(v, str) and v.startswith("="):
-                cells.append(f'<c r="{_ref(r, c)}"><f>{escape(v[1:])}</f></c>')
+            if isinstance(v, _Formula):
+                cells.append(f'<c r="{_ref(r, c)}"><f>{escape(v)}</f></c>')
             elif isinstance(v, int):
                 cells.append(f'<c r="{_ref(r, c)}"><v>{v}</v></c>')
             elif v not in (None, ""):
@@ -54,7 +58,7 @@ def workbook(rows: list[tuple], summary: list[tuple]) -> bytes:
     """An export sheet (header, rows, a blank row, totals) and a summary sheet. Barcodes are text."""
     table = [HEADER, *[[int(n), name, barcode, int(q), customer] for n, name, barcode, q, customer in rows]]
     total = len(rows) + 1
-    table += [[], ["Итого", f"{len(rows)}", "", f"=SUM(D2:D{total})" if rows else 0, ""]]
+    table += [[], ["Итого", f"{len(rows)}", "", _Formula(f"SUM(D2:D{total})") if rows else 0, ""]]
     width = lambda c: min(MOST_WIDTH, max(LEAST_WIDTH, 3 + max(len(str(r[c])) for r in table if len(r) > c)))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

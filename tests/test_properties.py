@@ -1,7 +1,7 @@
 """Properties that hold for any input."""
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from orderweave.operators import dictionary, scoring
@@ -32,6 +32,7 @@ def test_vectors_have_unit_length(text, size):
 
 
 @settings(deadline=None, max_examples=60)
+@example([("=1+1", "", 1), ("<&>'\"", "0", 2)])
 @given(st.lists(st.tuples(CELL, st.text(alphabet="0123456789", max_size=13), st.integers(1, 999)), max_size=5))
 def test_workbooks_give_back_what_went_in(rows):
     book = export.workbook([(i + 1, name, code, n, "c") for i, (name, code, n) in enumerate(rows)], [("rows", len(rows))])
