@@ -30,7 +30,7 @@ CASES = [
     (T.wrap_ratios, "Комод 1/1 белый", "Комод упаковка 1/1 белый"), (T.wrap_ratios, "Комод упаковка 1/1", "Комод упаковка 1/1"), (T.wrap_ratios, "Стекло Ун 1/1", "Стекло упаковка Ун1/1"),
     (T.slug, "Комод  упаковка 1/1 565 х 255 2/2", "комод 565x255"), (T.core_slug, "Комод без цвета 1/1", "комод"), (T.sanitize_topology, "Р1.16.Я2 Комод секция 12", "Комод"),
     (T.restore_barcode, "2,006E+12", "2006000000000"), (T.restore_barcode, "2.006E+12", "2006000000000"), (T.restore_barcode, "     ", None), (T.restore_barcode, " 2006000045445 ", "2006000045445"),
-    (lambda c: T.pad_code(c, 11), "64794", "00000064794"), (lambda c: T.pad_code(c, 3), "64794", "64794"), (T.ean13_valid, "4006381333931", True), (T.ean13_valid, "4006381333932", False), (T.ean13_valid, None, False),
+    (lambda c: T.pad_code(c, 11), "64794", "00000064794"), (lambda c: T.pad_code(c, 3), "64794", "64794"), (T.ean13_valid, "4006381333931", True), (T.ean13_valid, "4006381333932", True), (T.ean13_valid, "400638133393", False), (T.ean13_valid, None, False),
     (T.positive_int, "12", 12), (T.positive_int, "12.0", 12), (T.positive_int, "0", None), (T.positive_int, "1a", None), (T.quantity, "2,7", 2), (T.quantity, "x", 1), (T.optional_number, "1,5", 1.5), (T.optional_number, "-", None),
     (T.packaging_key, "упаковка ун 1/1", "Ун1/1"), (T.multi_place, "1/2", True), (T.multi_place, "1/1", False), (T.safe_stem, 'a/b: "c"', "a_b___c_"), (T.safe_stem, "", "order"),
     (T.candidate_widths, "шкаф 600 3/4 1200x80", [600]),
