@@ -119,15 +119,24 @@ def overlap(terms: Column, value: Column) -> Column:
     return F.exists(terms, lambda t: low.contains(F.lower(t)) | F.lower(t).contains(low))
 
 
+def finish(text: Column) -> Column:
+    """The facade finish that a text names, or ``None`` as text."""
+    return F.coalesce(F.upper(F.nullif(F.regexp_extract(text, r"(?iuU)\(\s*(FE|SB|Д)\s*\)", 1), F.lit(""))), F.lit("None"))
+
+
 def constraint_reason(pairs: DataFrame | None = None) -> Column:
-    """The first of the packaging, sub-brand, finish and dimension constraints that a (line, entity) pair breaks, or null."""
+    """The first of the packaging, sub-brand, finish and dimension constraints that a (line, entity) pair breaks, or null.
+
+    Finishes are read off ``query`` and ``search``, unless ``pairs`` have them as ``finish`` and ``entity_finish``.
+    """
     brands = F.size(F.array_intersect("sub_brands", "entity_brands")) == 0
     clash = dimension_conflict(F.col("pairs"), F.col("entity_pairs"))
-    finish = lambda c: F.coalesce(F.upper(F.nullif(F.regexp_extract(c, r"(?iuU)\(\s*(FE|SB|Д)\s*\)", 1), F.lit(""))), F.lit("None"))
+    known = pairs is not None and {"finish", "entity_finish"} <= set(pairs.columns)
+    asked, held = (F.col("finish"), F.col("entity_finish")) if known else (finish(F.col("query")), finish(F.col("search")))
     return (
         F.when(~packaging_compatible(F.col("ratio"), F.col("entity_ratio")), "Package ratio mismatch")
         .when((F.size("sub_brands") > 0) & (F.size("entity_brands") > 0) & brands, "Sub-brand conflict")
-        .when(finish(F.col("query")) != finish(F.col("search")), F.concat(F.lit("facade finish mismatch: "), finish(F.col("query")), F.lit(" vs "), finish(F.col("search"))))
+        .when(asked != held, F.concat(F.lit("facade finish mismatch: "), asked, F.lit(" vs "), held))
         .when(clash.isNotNull(), F.concat(F.lit("dimension conflict: "), clash))
     )
 
@@ -248,9 +257,9 @@ def boosted(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("boost", boost).withColumn("score", F.when(passed, F.least(F.lit(1.0), F.col("score") + F.col("boost"))).otherwise(F.col("score")))
 
 
-def sub_brand_barrier(pairs: DataFrame) -> DataFrame:
+def sub_brand_barrier(pairs: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Within a line: with a sub-brand asked for and met, those that have it rise and plain ones fall; with none asked for and a plain one there, branded ones fall."""
-    w, passed = W.partitionBy(*KEY), F.col("reason").isNull()
+    w, passed = W.partitionBy(*key), F.col("reason").isNull()
     asked, plain = F.size("sub_brands") > 0, F.size("entity_brands") == 0
     aligned = F.size(F.array_intersect("sub_brands", "entity_brands")) > 0
     p = pairs.withColumns({"any_aligned": F.max(passed & aligned).over(w), "any_plain": F.max(passed & plain).over(w)})
@@ -260,9 +269,9 @@ def sub_brand_barrier(pairs: DataFrame) -> DataFrame:
     return p.withColumn("score", s).drop("any_aligned", "any_plain")
 
 
-def color_barrier(pairs: DataFrame) -> DataFrame:
+def color_barrier(pairs: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Within a line that names one plain colour: composite decors fall if a plain one overlaps it as well."""
-    w, passed = W.partitionBy(*KEY), F.col("reason").isNull()
+    w, passed = W.partitionBy(*key), F.col("reason").isNull()
     composite, meets = F.coalesce(F.col("color"), F.lit("")).rlike("[/-]"), overlap(F.col("colors"), F.col("color"))
     wanted = (F.size("colors") > 0) & ~F.col("composite")
     p = pairs.withColumn("plain", F.max(passed & ~composite & meets).over(w))
@@ -270,12 +279,12 @@ def color_barrier(pairs: DataFrame) -> DataFrame:
     return p.withColumn("score", s).drop("plain")
 
 
-def top1(pairs: DataFrame) -> DataFrame:
+def top1(pairs: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Each line's best pair that passed, with the best rival of the same key (``rival``) and how many passed.
 
     The order is by score, then the order in which candidates came, then code.
     """
-    w = W.partitionBy(*KEY).orderBy(F.col("score").desc(), "rank0", "code")
+    w = W.partitionBy(*key).orderBy(F.col("score").desc(), "rank0", "code")
     p = pairs.where(F.col("reason").isNull()).withColumn("rn", F.row_number().over(w))
     every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     p = p.withColumn("top_key", F.first("same_key").over(every))
@@ -304,26 +313,32 @@ def explain(top: DataFrame) -> Column:
     )
 
 
-def explain_empty(pairs: DataFrame) -> DataFrame:
-    """(line, why) of lines whose every pair broke a constraint: the first three by rank, with what they broke."""
-    w = W.partitionBy(*KEY).orderBy("rank0", "code")
-    p = pairs.withColumns({"n_passed": F.count_if(F.col("reason").isNull()).over(W.partitionBy(*KEY)), "rn": F.row_number().over(w)}).where("n_passed = 0 AND rn <= 3")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(": ", "reason", F.left("nomenclature", F.lit(50))).alias("v")))), lambda x: x["v"])
-    return p.groupBy(*KEY).agg(F.concat(F.lit("no candidates passed hard filters (QUARANTINE) — "), F.array_join(said, "; ")).alias("why"))
+def explain_empty(pairs: DataFrame, key: list[str] = KEY, names: DataFrame | None = None) -> DataFrame:
+    """(line, why) of lines whose every pair broke a constraint: the first three by rank, with what they broke.
 
+    ``names(code, nomenclature)`` are for pairs without names.
+    """
+    w = W.partitionBy(*key).orderBy("rank0", "code")
+    p = pairs.withColumns({"n_passed": F.count_if(F.col("reason").isNull()).over(W.partitionBy(*key)), "rn": F.row_number().over(w)}).where("n_passed = 0 AND rn <= 3")
+    p = p if names is None else p.join(names, "code")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(": ", "reason", F.left("nomenclature", F.lit(50))).alias("v")))), lambda x: x["v"])
+    return p.groupBy(*key).agg(F.concat(F.lit("no candidates passed hard filters (QUARANTINE) — "), F.array_join(said, "; ")).alias("why"))
 
-def diagnose(pairs: DataFrame) -> DataFrame:
-    """(line, n, n_passed, top_three, why) for calibration, from pairs with reason, score, boost, nomenclature, sure and aligned.
 
-    The best three are given whether they passed or not, with what they broke.
-    """
-    w = W.partitionBy(*KEY)
+def best_three(pairs: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """(line, n, n_passed, top_three) from pairs with reason and score; the best three are given whether they passed or not, with what they broke."""
+    w = W.partitionBy(*key)
     best = w.orderBy(F.col("score").desc(), "rank0", "code")
-    top = top1(pairs)
-    said = top.select(*KEY, explain(top).alias("why")).unionByName(explain_empty(pairs))
     p = pairs.withColumns({"n": F.count("*").over(w), "n_passed": F.count_if(F.col("reason").isNull()).over(w), "rn": F.row_number().over(best)}).where("rn <= 3")
     each = F.transform(F.array_sort(F.collect_list(F.struct("rn", "code", "score", "reason"))), lambda x: F.struct(x["code"].alias("code"), x["score"].alias("score"), x["reason"].alias("reason")))
-    return p.groupBy(*KEY).agg(F.max("n").alias("n"), F.max("n_passed").alias("n_passed"), each.alias("top_three")).join(said, KEY, "left")
+    return p.groupBy(*key).agg(F.max("n").alias("n"), F.max("n_passed").alias("n_passed"), each.alias("top_three"))
+
+
+def diagnose(pairs: DataFrame) -> DataFrame:
+    """(line, n, n_passed, top_three, why) for calibration, from pairs with reason, score, boost, nomenclature, sure and aligned."""
+    top = top1(pairs)
+    said = top.select(*KEY, explain(top).alias("why")).unionByName(explain_empty(pairs))
+    return best_three(pairs).join(said, KEY, "left")
 
 
 def resolver_jobs(decisions: DataFrame) -> DataFrame:
