@@ -342,6 +342,6 @@ def diagnose(pairs: DataFrame) -> DataFrame:
 
 
 def resolver_jobs(decisions: DataFrame) -> DataFrame:
-    """One job for all lines that ask the same of the same candidates; ``answers.resolve`` is called once a job."""
+    """One job for all lines that ask the same of the same candidates; ``answers.resolve`` is called once a job. Rows may stand for ``n_lines`` lines."""
     key = F.sha2(F.concat_ws("", F.lower(F.trim("client_description")), F.array_join(F.array_sort("codes"), ",")), 256)
-    return decisions.withColumn("job_key", key).groupBy("job_key").agg(F.count("*").alias("n_lines"), F.min("client_description").alias("client_description"), F.first("codes").alias("codes"))
+    return decisions.withColumn("job_key", key).groupBy("job_key").agg((F.sum("n_lines") if "n_lines" in decisions.columns else F.count("*")).alias("n_lines"), F.min("client_description").alias("client_description"), F.first("codes").alias("codes"))
