@@ -328,3 +328,36 @@ def test_decisions_on_order_texts(spark):
     assert (got[7].status, got[7].code) == ("NEEDS_LLM", None)
     assert got[8].status == "MATCHED_AUTO"
     spark.catalog.clearCache()
+
+
+def test_each_text_is_decided_once(spark, monkeypatch):
+    seen, plain = [], linkage.prepared_blocks
+    monkeypatch.setattr(linkage, "prepared_blocks", lambda b: seen.append(b.count()) or plain(b))
+    cat = spark.createDataFrame([("1", "chair 10x20 1/1", "46", "1/1"), ("2", "table 10x20 1/2", None, "1/2")], "code string, nomenclature string, barcode string, packaging string").selectExpr("*", "'' module", "'' label_type", "'' color")
+    texts = ["chair 10x20 1/1", "thing 10x20 1/2", None] * 4
+    blocks = spark.createDataFrame([(1, i, t, 1, "c", "d") for i, t in enumerate(texts)], "order_id long, line_number long, client_description string, quantity int, customer_name string, shift_date string")
+    got = {r.line_number: (r.status, r.code, r.n_candidates) for r in linkage.decide(blocks, cat).collect()}
+    assert seen == [3] and len(got) == 12
+    assert got[9] == ("MATCHED_AUTO", "1", 1) and got[10] == ("MATCHED_AUTO", "2", 2) and got[11] == ("QUARANTINE", None, 0)
+    spark.catalog.clearCache()
+
+
+def test_pools_are_scored_once(spark):
+    from orderweave.plans.queries import _Pools
+
+    pools = _Pools(spark, SF)
+    lines, texts = pools.lines.count(), pools.texts.count()
+    assert pools.texts.select("id").distinct().count() < texts < lines
+    spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("name", ["link_flagship", "q_lexical_cascade", "q_score_boosts", "q_join_phrase"])
+def test_lines_without_a_part(spark, tmp_path, name):
+    con = duckdb.connect()
+    for t, what in (("part", "SELECT * FROM '{}' WHERE p_partkey <> 7"), ("lineitem", "SELECT * FROM '{}' WHERE l_partkey < 30"), ("orders", "SELECT * FROM '{}'")):
+        con.execute(f"COPY ({what.replace('{}', f'{SF}/{t}.parquet')}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    got, want = df.count(), len(con.sql(registry.ORACLE_SQL[name]).fetchall())
+    spark.catalog.clearCache()
+    assert got == want
