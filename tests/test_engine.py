@@ -361,3 +361,10 @@ def test_lines_without_a_part(spark, tmp_path, name):
     got, want = df.count(), len(con.sql(registry.ORACLE_SQL[name]).fetchall())
     spark.catalog.clearCache()
     assert got == want
+
+
+def test_pools_are_scored_by_many_tasks(spark):
+    from orderweave.plans.queries import _Pools
+
+    assert _Pools(spark, SF).pairs.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    spark.catalog.clearCache()
