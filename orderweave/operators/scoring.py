@@ -259,14 +259,26 @@ def boosted(pairs: DataFrame) -> DataFrame:
 
 def sub_brand_barrier(pairs: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Within a line: with a sub-brand asked for and met, those that have it rise and plain ones fall; with none asked for and a plain one there, branded ones fall."""
-    w, passed = W.partitionBy(*key), F.col("reason").isNull()
-    asked, plain = F.size("sub_brands") > 0, F.size("entity_brands") == 0
-    aligned = F.size(F.array_intersect("sub_brands", "entity_brands")) > 0
-    p = pairs.withColumns({"any_aligned": F.max(passed & aligned).over(w), "any_plain": F.max(passed & plain).over(w)})
-    s = F.col("score")
+    w = W.partitionBy(*key)
+    stays, moves, met = _barred()
+    return pairs.withColumn("__met", F.max(met).over(w)).withColumn("score", F.when(F.col("__met"), moves).otherwise(stays)).drop("__met")
+
+
+def _barred() -> tuple[Column, Column, Column]:
+    """A pair's score without and with the sub-brand barrier, and whether it is a pair for which its line's barrier holds."""
+    asked, plain, s = F.size("sub_brands") > 0, F.size("entity_brands") == 0, F.col("score")
+    passed, aligned = F.col("reason").isNull(), F.size(F.array_intersect("sub_brands", "entity_brands")) > 0
     fall = F.greatest(F.lit(0.0), s - BRAND_PENALTY)
-    s = F.when(~passed, s).when(asked & F.col("any_aligned"), F.when(aligned, F.least(F.lit(1.0), s + BRAND_BOOST)).when(plain, fall).otherwise(s)).when(~asked & F.col("any_plain") & ~plain, fall).otherwise(s)
-    return p.withColumn("score", s).drop("any_aligned", "any_plain")
+    moves = F.when(~passed, s).when(asked, F.when(aligned, F.least(F.lit(1.0), s + BRAND_BOOST)).when(plain, fall).otherwise(s)).when(~plain, fall).otherwise(s)
+    return s, moves, passed & F.when(asked, aligned).otherwise(plain)
+
+
+def barrier_totals(pairs: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """(line, best, total) of the scores that ``sub_brand_barrier`` gives, by one aggregation: pairs are neither sorted nor kept."""
+    stays, moves, met = _barred()
+    p = pairs.select(*key, stays.alias("s"), moves.alias("m"), met.alias("met"))
+    g = p.groupBy(*key).agg(F.max("met").alias("met"), *(f(c).alias(n + c) for n, f in (("best_", F.max), ("total_", F.sum)) for c in "sm"))
+    return g.select(*key, *(F.when(F.col("met"), F.col(n + "_m")).otherwise(F.col(n + "_s")).alias(n) for n in ("best", "total")))
 
 
 def color_barrier(pairs: DataFrame, key: list[str] = KEY) -> DataFrame:

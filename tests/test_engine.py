@@ -368,3 +368,15 @@ def test_pools_are_scored_by_many_tasks(spark):
 
     assert _Pools(spark, SF).pairs.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     spark.catalog.clearCache()
+
+
+def test_barrier_totals_are_those_of_the_barrier(spark):
+    every = [(b, e, r) for b in ([], ["роял"]) for e in ([], ["роял"], ["тренд"]) for r in ("1/1", "1/2")]
+    rows = [(line, i + 1, *_pair(str(i), 0.3 + i / 20, b, e, entity_ratio=r)[2:]) for line in range(40) for i, (b, e, r) in enumerate(every) if (line * 7 + i * i) % 5 < 2]
+    df = spark.createDataFrame(rows, PAIR).drop("line_number").withColumn("line_number", F.size("sub_brands"))
+    df = df.withColumn("reason", scoring.constraint_reason(df))
+    want = scoring.sub_brand_barrier(df).groupBy("order_id", "line_number").agg(F.max("score").alias("best"), F.sum("score").alias("total"))
+    told = lambda x: {(r.order_id, r.line_number): (round(r.best, 9), round(r.total, 9)) for r in x.collect()}
+    got = scoring.barrier_totals(df)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(told(got)) > 40 and told(got) == told(want)
