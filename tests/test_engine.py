@@ -380,3 +380,13 @@ def test_barrier_totals_are_those_of_the_barrier(spark):
     got = scoring.barrier_totals(df)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert len(told(got)) > 40 and told(got) == told(want)
+
+
+def test_features_are_worked_out_by_many_tasks(spark, monkeypatch):
+    from orderweave.plans.standins import keyed_views
+
+    monkeypatch.setattr(linkage, "kept", lambda df: df)
+    v, least = keyed_views(spark, SF), 4 * spark.sparkContext.defaultParallelism
+    assert linkage._text_features(v["texts"]).rdd.getNumPartitions() >= least
+    assert linkage._entity_features(v["cat"]).rdd.getNumPartitions() >= least
+    spark.catalog.clearCache()
