@@ -390,3 +390,11 @@ def test_features_are_worked_out_by_many_tasks(spark, monkeypatch):
     assert linkage._text_features(v["texts"]).rdd.getNumPartitions() >= least
     assert linkage._entity_features(v["cat"]).rdd.getNumPartitions() >= least
     spark.catalog.clearCache()
+
+
+def test_preview_decides_the_lines_that_it_shows(spark, monkeypatch):
+    seen, plain = [], linkage.decide_texts
+    monkeypatch.setattr(linkage, "decide_texts", lambda t, c: seen.append(t.count()) or plain(t, c))
+    assert [(r.order_id, r.no) for r in registry.QUERIES["q_preview_top20"](spark, SF).collect()] == sorted((r.order_id, r.line_number) for r in registry.QUERIES["link_flagship"](spark, SF).collect())[:20]
+    assert seen[0] <= 20 < seen[1]
+    spark.catalog.clearCache()
