@@ -398,3 +398,10 @@ def test_preview_decides_the_lines_that_it_shows(spark, monkeypatch):
     assert [(r.order_id, r.no) for r in registry.QUERIES["q_preview_top20"](spark, SF).collect()] == sorted((r.order_id, r.line_number) for r in registry.QUERIES["link_flagship"](spark, SF).collect())[:20]
     assert seen[0] <= 20 < seen[1]
     spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("name", ["q_overrides"])
+def test_reports_decide_once(spark, name):
+    joins = lambda q: registry.QUERIES[q](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(name) <= joins("link_flagship") + 3
+    spark.catalog.clearCache()
