@@ -52,9 +52,9 @@ def export_rows(decisions: DataFrame) -> DataFrame:
     return decisions.select("order_id", F.col("line_number").alias("no"), F.coalesce("nomenclature", "client_description").alias("name"), blank(F.col("barcode")).alias("barcode"), "quantity", F.col("customer_name").alias("customer"))
 
 
-def with_totals(rows: DataFrame) -> DataFrame:
-    """Export rows and one more an order, with its count and sum."""
-    total = rows.groupBy("order_id").agg(F.lit(None).cast("int").alias("no"), F.concat(F.lit("TOTAL "), F.count("*").cast("string")).alias("name"), F.lit("").alias("barcode"), F.sum("quantity").cast("long").alias("quantity"), F.lit("").alias("customer"))
+def with_totals(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Export rows and one more an order, with its count and sum; ``lines(order_id, quantity)`` that the rows come from spare counting the rows."""
+    total = (rows if lines is None else lines).groupBy("order_id").agg(F.lit(None).cast("int").alias("no"), F.concat(F.lit("TOTAL "), F.count("*").cast("string")).alias("name"), F.lit("").alias("barcode"), F.sum("quantity").cast("long").alias("quantity"), F.lit("").alias("customer"))
     return rows.withColumn("quantity", F.col("quantity").cast("long")).unionByName(total)
 
 

@@ -400,7 +400,7 @@ def test_preview_decides_the_lines_that_it_shows(spark, monkeypatch):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", ["q_overrides"])
+@pytest.mark.parametrize("name", ["q_overrides", "q_totals_row"])
 def test_reports_decide_once(spark, name):
     joins = lambda q: registry.QUERIES[q](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(name) <= joins("link_flagship") + 3
