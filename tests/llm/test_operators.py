@@ -555,3 +555,27 @@ def test_near_edges_of_a_crowd(spark, monkeypatch, large):
         groups.setdefault(want[f], []).append(signed(f))
     for members in groups.values():
         assert {found.get(m, m) for m in members} == {min(members)}
+
+
+def test_windows_of_large_groups_travel_as_arrays(spark, monkeypatch):
+    """Two hundred different runs around one anchor: fewer rows than windows, and what the definition says of each text."""
+    monkeypatch.setattr(repeat_removal, "LARGE_GROUP", 2)
+    seen, plain = [], repeat_removal.Scratch.keep
+    monkeypatch.setattr(repeat_removal.Scratch, "keep", lambda self, df, name: seen.append((name, (out := plain(self, df, name)).count())) or out)
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = say(700)
+    texts = [say(rng.randrange(50)) + shared[rng.randrange(150) : 700 - rng.randrange(150)] + say(200) for _ in range(200)]
+    windows: dict[str, int] = {}
+    for t in texts:
+        for i in range(len(t) - 399):
+            windows[t[i : i + 400]] = windows.get(t[i : i + 400], 0) + 1
+    want = {}
+    for k, t in enumerate(texts):
+        gone = set().union(*(range(i, i + 400) for i in range(len(t) - 399) if windows[t[i : i + 400]] > 1), set())
+        want[k] = "".join(c for i, c in enumerate(t) if i not in gone)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept).decode() for r in repeat_removal.remove_repeats(df).collect()}
+    assert got == want
+    blocks = sum(n for name, n in seen if name == "blocks")
+    assert 0 < blocks < len(windows) / 20
