@@ -12,7 +12,9 @@ STATUSES = ["MATCHED_AUTO", "MATCHED_LLM", "NEEDS_LLM", "QUARANTINE"]
 
 
 def status_counts(decisions: DataFrame) -> DataFrame:
-    """One row, a column a status, zero where there is none."""
+    """One row, a column a status, zero where there is none; a decision with ``n_lines`` counts for so many lines."""
+    if "n_lines" in decisions.columns:
+        return decisions.agg(*(F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n_lines"))), F.lit(0).cast("long")).alias(s.lower()) for s in STATUSES))
     return decisions.agg(*(F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES))
 
 

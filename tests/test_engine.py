@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from orderweave.functions import text as T
 from orderweave.operators import answers, dictionary, documents, linkage, reports, scoring
 from orderweave.plans import registry
 from orderweave.sources import sheet
@@ -405,3 +406,40 @@ def test_reports_decide_once(spark, name):
     joins = lambda q: registry.QUERIES[q](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(name) <= joins("link_flagship") + 3
     spark.catalog.clearCache()
+
+
+def test_lines_are_counted_by_text(spark):
+    plan = registry.QUERIES["q_status_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "order_id" not in plan  # lines are counted before, and don't meet decisions
+    spark.catalog.clearCache()
+
+
+def _order_texts(spark):
+    cat = spark.createDataFrame([("1", "Полка 10x20 арт 1234", "46", "1/1"), ("2", "chair 10x20 1/1", None, "1/1"), ("3", "Ручка 96 мм", "47", "1/1"), ("4", "Шкаф без цвета 30x40", None, "1/2")], "code string, nomenclature string, barcode string, packaging string").selectExpr("*", "'' module", "'' label_type", "'' color")
+    texts = ["chair 10x20 1/1", "nothing", None, "", "x 9999", "x 9999 8888", "ст 1234 5678", "Ручка 96 мм", "Ручка 128 мм", "Петля 45 гр", "Петля заказная 45 гр", "Стекло 500x600", "полкодержатель заказн", "thing 10x20", "шкаф 30x40", "Полка 1234"]
+    return cat, spark.createDataFrame([(t,) for t in texts], "client_description string")
+
+
+def test_quarantine_needs_no_choice(spark):
+    cat, texts = _order_texts(spark)
+    cols = ["client_description", "status", "status_detail"]
+    want = {tuple(r) for r in linkage.decide_texts(texts, cat).where("status = 'QUARANTINE'").select(*cols).collect()}
+    got = linkage.quarantined_texts(texts, cat).select(*cols).collect()
+    assert len(got) == len(want) > 5 and {tuple(r) for r in got} == want and {r.status_detail for r in got} == {linkage.MISSING, linkage.NO_ARTICLE, linkage.CUSTOM}
+    spark.catalog.clearCache()
+
+
+def test_decisions_add_up_lines(spark):
+    cat, texts = _order_texts(spark)
+    twice = texts.selectExpr("client_description", "2L n_lines").unionAll(texts.selectExpr("client_description", "1L n_lines"))
+    want = reports.status_counts(linkage.with_decision(texts.unionAll(texts).unionAll(texts), linkage.decide_texts(texts, cat))).first()
+    assert reports.status_counts(linkage.decide_texts(twice, cat)).first() == want and sum(want) == 48
+    assert tuple(reports.status_counts(linkage.decide_texts(twice.limit(0), cat)).first()) == (0, 0, 0, 0)
+    spark.catalog.clearCache()
+
+
+def test_catalog_slugs_are_core_slugs(spark):
+    cat, _ = _order_texts(spark)
+    cat = cat.unionByName(cat.limit(1).withColumns({"code": F.lit("5"), "nomenclature": F.lit(None).cast("string")}))
+    got = linkage.prepared_catalog(cat).select("slug", T.core_slug(F.col("nomenclature")).alias("want"), "name_key", T.name_key(F.col("nomenclature")).alias("key")).collect()
+    assert len(got) == 5 and all(r.slug == r.want and r.name_key == r.key for r in got)
