@@ -443,3 +443,26 @@ def test_catalog_slugs_are_core_slugs(spark):
     cat = cat.unionByName(cat.limit(1).withColumns({"code": F.lit("5"), "nomenclature": F.lit(None).cast("string")}))
     got = linkage.prepared_catalog(cat).select("slug", T.core_slug(F.col("nomenclature")).alias("want"), "name_key", T.name_key(F.col("nomenclature")).alias("key")).collect()
     assert len(got) == 5 and all(r.slug == r.want and r.name_key == r.key for r in got)
+
+
+def test_texts_equal_but_for_case_are_decided_once(spark, monkeypatch):
+    seen, plain = [], linkage.prepared_blocks
+    monkeypatch.setattr(linkage, "prepared_blocks", lambda b: seen.append(b.count()) or plain(b))
+    cat, _ = _order_texts(spark)
+    said = ["chair 10x20 1/1", "  CHAIR 10X20\t1/1 ", "Chair  10 x 20 1/1", "полка 10x20 арт 1234", "ПОЛКА 10x20 арт 1234", None]
+    texts = spark.createDataFrame(list(enumerate(said)), "k int, client_description string")
+    lines = texts.selectExpr("k", "k order_id", "1 line_number", "1 quantity", "'c' customer_name", "'d' shift_date")
+    got = {r.order_id: (r.client_description, r.status, r.code) for r in linkage.decide_keyed(lines, texts, cat, ["k"]).collect()}
+    want = {r.order_id: (r.client_description, r.status, r.code) for r in linkage.decide(lines.join(texts, "k"), cat).collect()}
+    assert seen[0] == 5 and got == want and [got[k][2] for k in range(5)] == ["2", "2", "2", "1", "1"]
+    spark.catalog.clearCache()
+
+
+def test_features_of_folded_texts_are_the_same(spark):
+    bits = ["fe", "(FE)", "( Fe )", "h", "H-", "B", "b_", " ", "  ", "\t", "\n", "\x1c", "1", "12", "2000", "/", "1/2", "10/20/30", "x", "X", " X ", "*", ".", "1.2.3", "Word", "Ун", "-"]
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([("".join(rng.choice(bits, 6)),) for _ in range(4000)], "client_description string")
+    told = ["name_key", "slug", "articles", "dims", "pairs", "ratio", "tokens"]
+    both = df.select(F.col("client_description").alias("d"), F.explode(F.array("client_description", T.folded(F.col("client_description")))).alias("client_description"))
+    got = linkage.prepared_blocks(both).groupBy("d").agg(F.count_distinct(F.struct(*told)).alias("n")).where("n > 1")
+    assert got.collect() == []
