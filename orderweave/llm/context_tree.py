@@ -40,9 +40,9 @@ from orderweave.llm.word_blocks import LOWER, Lookup, Seen, binary_array, distin
 DEPTH = 4
 FREQUENT, KNOWN = 1 << 19, 1 << 21
 LONGEST_SENT = 64  # bytes of a word that is sent to all tasks
-BLOCK = 1 << 21  # bytes whose grams are counted or scored at once
-PART = 1 << 23  # bytes of text whose words are, or one text
-HELD, HELD_WORDS = 1 << 22, 1 << 20  # distinct grams that a task holds before it adds them up, and distinct words before it passes them on
+BLOCK = 1 << 18  # bytes whose grams are counted or scored at once
+PART = 1 << 20  # bytes of text whose words are, or one text
+HELD, HELD_WORDS = 1 << 20, 1 << 20  # distinct grams that a task holds before it adds them up, and distinct words before it passes them on
 GROUPED = 1 << 19  # grams worked out together, unless one two-byte context has more
 _HALF = math.log10(0.5)
 _END = 0xFF

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import unicodedata
 from collections import Counter
 from zlib import crc32
@@ -251,6 +252,24 @@ def test_lm_scores_of_unseen_contexts(spark, monkeypatch, known):
         assert got[i] == pytest.approx(_tree_probability(tuple(training), text), rel=1e-9)
 
 
+def test_lm_scoring_holds_a_bounded_part_of_a_batch():
+    """A task that scores 8 MB of texts holds under 100 MB besides them and its tables (272 MB when all were scored at once)."""
+    rnd = random.Random(9)
+    text = prose(rnd, ENGLISH, 4000)
+    data, bounds = word_blocks.text_bytes(pa.array([text] * (8_000_000 // len(text.encode()))))
+    gram = np.unique(context_tree.grams(text[:2000]))
+    word = word_blocks.word_keys(data[:20], np.array([0]), np.array([3]))
+    scorer = context_tree.Scorer(word, np.ones(1, np.int64), 1, gram, np.ones(len(gram), np.int64), np.full(len(gram), -1.0))
+    tracemalloc.start()
+    tokens = 0
+    for lo, hi in word_blocks.parts(bounds, context_tree.PART):
+        tokens += sum(scorer.score(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])[0].to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tokens == (len(text.split()) + 1) * (len(bounds) - 1)
+    assert peak < 100e6
+
+
 def test_words_of_one_hash_are_told_apart():
     data = np.frombuffer(b"aa bb aa a\0 a cc aaaaaaaaaaaaaaaaaaaaaa bb aaaaaaaaaaaaaaaaaaaaab", np.uint8)
     starts, ends = word_blocks.word_bounds(data, np.array([0, len(data)]))
