@@ -1,5 +1,6 @@
 """Queries against DuckDB, and operators on small fixtures."""
 
+import re
 import zipfile
 
 import duckdb
@@ -286,6 +287,13 @@ def test_composite_document(spark):
     assert documents.parse(cells).count() == 3
 
 
+def test_composite_documents_are_dealt_once(spark):
+    """Cells that come dealt by document stay where they are: the plan deals them once for each kind of section, the same way."""
+    cells = spark.createDataFrame([(d, 1, 1, "Отборочная ведомость корпусная мебель", "") for d in ("a#1", "b")], sheet.CELLS)
+    plan = documents.parse_composite(cells.repartition(3, "doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange (hash|range|Single)", plan)) == 2 == len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+, 3\), REPARTITION_BY_NUM", plan))
+
+
 def test_workbooks_can_be_read_back(spark, tmp_path):
     from orderweave.sources import export
 
