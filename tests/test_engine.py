@@ -265,6 +265,13 @@ def test_hardware_phrases(spark):
     assert [(r.line_number, r.code) for r in linkage.join_phrase(blocks, cat).collect()] == [(1, "1")]
 
 
+def test_phrases_of_every_line(spark):
+    """Each line's own part has its phrase, so no line is without one."""
+    lines = registry.QUERIES["q_join_phrase"](spark, SF).select("order_id", "line_number").distinct().count()
+    spark.catalog.clearCache()
+    assert lines == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
 def test_knn_by_slices(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 4)).tolist()
