@@ -2,6 +2,7 @@
 
 import re
 import zipfile
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -379,6 +380,28 @@ def test_lines_without_a_part(spark, tmp_path, name):
     assert got == want
 
 
+def test_passed_and_refused_pairs_are_those_of_whole_pools(spark):
+    """Pairs that pass, and of the others the first three in an order, are made without the rest of the pools."""
+    from orderweave.plans.queries import _Pools
+
+    pools = _Pools(spark, "/root/testdata/sf0.01")
+    rows = lambda df: sorted((r.id, r.code, r.score, r.reason or "") for r in df.select("id", "code", "score", "reason").collect())
+    every, passed = rows(pools.pairs), rows(pools.passed())
+    assert passed == [x for x in every if not x[3]] and len(every) > 4 * len(passed)
+    _, asks = pools.best_passed()
+    assert {r.id: r.n_passed for r in asks.collect() if r.n_passed} == Counter(x[0] for x in passed)
+    others = defaultdict(list)
+    for x in every:
+        if x[3]:
+            others[x[0]].append(x)
+    found = defaultdict(list)
+    for x in rows(pools.refused(asks, F.col("score").desc(), "rank0", "code")):
+        found[x[0]].append(x)
+    best = lambda xs: sorted(xs, key=lambda x: (-x[2], int(x[1][-4:]), x[1]))[:3]
+    assert {k: best(v) for k, v in found.items()} == {k: best(v) for k, v in others.items()}
+    spark.catalog.clearCache()
+
+
 def test_pools_are_scored_by_many_tasks(spark):
     from orderweave.plans.queries import _Pools
 
